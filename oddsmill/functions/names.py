@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import constants as K
 from .exprs import c, lookup
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     def fold(text):
         if text is None:

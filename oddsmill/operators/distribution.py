@@ -28,8 +28,9 @@ def prefix_sums(df: DataFrame, keys: list[str], coarse: str, order: str, columns
     )
 
 
-def bucket_of(value: str, scale: float) -> Column:
-    return F.floor(F.col(value) * num(scale)).cast("bigint")
+def bucket_of(value: str, scale: float | Column) -> Column:
+    """Order-preserving bucket; ``scale`` buckets per unit (a Column when it differs per group)."""
+    return F.floor(F.col(value) * (scale if isinstance(scale, Column) else num(scale))).cast("bigint")
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -37,7 +38,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, Column | float],
-                    scale: float = 100.0) -> DataFrame:
+                    scale: float | Column = 100.0) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per level; ``n`` is the group size.
 
     A level may be a Column of ``n`` (a finite-sample corrected level, for example).

@@ -230,30 +230,37 @@ def overall_and_each(df: DataFrame, key: str, fn, label: str = "__all__") -> Dat
     return fn(both, ["_scope"]).withColumnRenamed("_scope", key)
 
 
-def psi(df: DataFrame, value: str, is_baseline: str, bins: int = 10, scale: float = 100.0) -> DataFrame:
-    """Population stability index on baseline quantile bins, with smoothing, for one feature."""
-    clean = df.filter(F.col(value).isNotNull())
-    base = clean.filter(is_baseline)
-    cuts = exact_quantiles(base, [], value, {f"q{i}": i / bins for i in range(1, bins)}, scale)
-    cut = cuts.select(F.struct(*[f"q{i}" for i in range(1, bins)])).scalar()
-    edge = [cut[f"q{i}"] for i in range(1, bins)]
-    fresh = [F.lit(True), *[e != prev for prev, e in zip(edge, edge[1:])]]   # repeated edges count once
-    index = sum(((new & (e <= F.col(value))).cast("int") for e, new in zip(edge, fresh)), F.lit(0))
-    hist = clean.groupBy(index.alias("b")).agg(
-        count_true(F.expr(is_baseline)).alias("nb"), count_true(~F.expr(is_baseline)).alias("nc"))
-    k, eps = F.max(sum((new.cast("int") for new in fresh), F.lit(0))) + 1, num(1e-4)
-    filled = hist.agg(k.cast("double").alias("k"), F.sum("nb").alias("tb"), F.sum("nc").alias("tc"),
-                      F.collect_list(F.struct("b", "nb", "nc")).alias("h"))  # <= bins entries
-    # bins without a row on either side contribute a constant term
-    pb = lambda n: (n + eps) / (F.col("tb") + eps * F.col("k"))
-    pc = lambda n: (n + eps) / (F.col("tc") + eps * F.col("k"))
-    term = lambda nb, nc: (pc(nc) - pb(nb)) * F.ln(pc(nc) / pb(nb))
+def psi(df: DataFrame, scales: dict[str, float], is_baseline: str, bins: int = 10) -> DataFrame:
+    """Population stability index per feature on baseline quantile bins, with smoothing.
+
+    All features go through one unpivoted pass; the edge table has one row per feature. ``scales`` gives the
+    bucket width used to spread the exact quantile search (buckets per unit of the feature).
+    """
+    long = unpivot(df.select(*[F.col(f).cast("double").alias(f) for f in scales], F.expr(is_baseline).alias("_base")),
+                   list(scales), ["_base"], "feature", "v")
+    names = [f"q{i}" for i in range(1, bins)]
+    scale = X.lookup({f: float(s) for f, s in scales.items()}, F.col("feature"))
+    cuts = exact_quantiles(long.filter("_base"), ["feature"], "v", {q: i / bins for i, q in enumerate(names, 1)}, scale)
+    fresh = [F.lit(True), *[F.col(b) != F.col(a) for a, b in zip(names, names[1:])]]   # repeated edges count once
+    k = sum((new.cast("int") for new in fresh), F.lit(1)).cast("double")
+    placed = long.join(F.broadcast(cuts.withColumn("_k", k).drop("n")), "feature")
+    index = sum(((new & (F.col(q) <= F.col("v"))).cast("int") for q, new in zip(names, fresh)), F.lit(0))
+    hist = placed.groupBy("feature", "_k", index.alias("b")).agg(
+        count_true(F.col("_base")).alias("nb"), count_true(~F.col("_base")).alias("nc"))
+    per = hist.groupBy("feature", "_k").agg(
+        F.sum("nb").alias("tb"), F.sum("nc").alias("tc"), F.collect_list(F.struct("nb", "nc")).alias("h"))  # <= bins entries
+    eps = num(1e-4)
+
+    def term(nb: Column, nc: Column) -> Column:
+        pb = (nb + eps) / (F.col("tb") + eps * F.col("_k"))
+        pc = (nc + eps) / (F.col("tc") + eps * F.col("_k"))
+        return (pc - pb) * F.ln(pc / pb)
+
     seen = F.aggregate("h", F.lit(0.0), lambda s, x: s + term(x["nb"], x["nc"]))
-    blank = (F.col("k") - F.size("h")) * term(num(0), num(0))
-    ok = (F.col("tb") >= 10) & (F.col("tc") >= 10) & (F.col("k") >= 2)
-    return filled.select(
-        F.lit(value).alias("feature"), F.when(ok, F.greatest(num(0), seen + blank)).otherwise(num(0)).alias("psi"),
-        F.col("tb").alias("n_baseline"), F.col("tc").alias("n_recent"))
+    blank = (F.col("_k") - F.size("h")) * term(num(0), num(0))   # bins empty on both sides
+    ok = (F.col("tb") >= 10) & (F.col("tc") >= 10) & (F.col("_k") >= 2)
+    return per.select("feature", F.when(ok, F.greatest(num(0), seen + blank)).otherwise(num(0)).alias("psi"),
+                      F.col("tb").alias("n_baseline"), F.col("tc").alias("n_recent"))
 
 
 def performance_drift(df: DataFrame, correct: str, is_baseline: str, threshold: float = 0.05, min_rows: int = 50) -> DataFrame:

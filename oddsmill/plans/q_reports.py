@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions import constants as K
@@ -191,7 +192,7 @@ def drift_frame(t):
 def sql_psi(feature: str, src: str = "dr") -> str:
     qs = ", ".join(f"{i / 10!r}" for i in range(1, 10))
     return f"""(WITH e0 AS (SELECT list_sort(list_distinct(quantile_cont({feature}, [{qs}]))) AS e FROM {src} WHERE is_base),
-   b AS (SELECT len(list_filter(e, x -> x <= {feature})) AS bin, is_base FROM {src}, e0 WHERE {feature} IS NOT NULL),
+   b AS (SELECT len(list_filter(e, lambda x: x <= {feature})) AS bin, is_base FROM {src}, e0 WHERE {feature} IS NOT NULL),
    t AS (SELECT sum(CASE WHEN is_base THEN 1e0 ELSE 0e0 END) AS tb, sum(CASE WHEN is_base THEN 0e0 ELSE 1e0 END) AS tc FROM b),
    k AS (SELECT len(e) + 1e0 AS k, e FROM e0),
    h AS (SELECT g.range AS bin, sum(CASE WHEN b.is_base THEN 1e0 ELSE 0e0 END) AS nb, sum(CASE WHEN NOT b.is_base THEN 1e0 ELSE 0e0 END) AS nc
@@ -206,9 +207,7 @@ FEATURES = {"p_final": 1000.0, "line_score": 1.0, "n_eff": 1.0}
 
 @query("rep_psi", f"WITH {DRIFT} SELECT feature, {q_r6('psi')} AS psi, n_baseline, n_recent FROM ({' UNION ALL '.join(f'SELECT * FROM {sql_psi(f)}' for f in FEATURES)})")
 def rep_psi(t):
-    d = drift_frame(t)
-    out = [R.psi(d, f, "is_base", scale=s) for f, s in FEATURES.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).withColumn("psi", r6("psi"))
+    return R.psi(drift_frame(t), FEATURES, "is_base").withColumn("psi", r6("psi"))
 
 
 @query("rep_perf_drift", f"""WITH {DRIFT}, m AS (SELECT CAST(sum(CASE WHEN is_base THEN 0 ELSE 1 END) AS BIGINT) AS n_recent, CAST(sum(CASE WHEN is_base THEN 1 ELSE 0 END) AS BIGINT) AS n_baseline,
@@ -224,8 +223,7 @@ def drift_checks(d):
     """One row per check: performance, distribution (largest PSI), calibration (ECE of the recent window)."""
     perf = R.performance_drift(d, "correct", "is_base").select(
         F.lit("performance").alias("check_type"), F.col("delta").alias("metric_value"), num(0.05).alias("threshold"))
-    parts = [R.psi(d, f, "is_base", scale=s) for f, s in FEATURES.items()]
-    dist = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.max("psi").alias("m")).select(
+    dist = R.psi(d, FEATURES, "is_base").agg(F.max("psi").alias("m")).select(
         F.lit("distribution").alias("check_type"), r6("m").alias("metric_value"), num(0.2).alias("threshold"))
     recent = d.filter(~F.col("is_base")).withColumn("over_label", (F.col("actual_value") > F.col("line_score")).cast("int"))
     cal = R.brier_ece(recent, 10, min_rows=0).select(
@@ -245,7 +243,7 @@ ck AS (SELECT *, metric_value > threshold AS is_drifted FROM ck0)"""
 @query("rep_drift_report", f"WITH {DRIFT_CHECKS} SELECT check_type, metric_value, threshold, is_drifted, CASE WHEN (SELECT bool_or(is_drifted) FROM ck) THEN 'drift_detected' ELSE 'ok' END AS status FROM ck")
 def rep_drift_report(t):
     checks = drift_checks(drift_frame(t))
-    any_drift = checks.agg(F.max("is_drifted")).scalar()
+    any_drift = F.max("is_drifted").over(Window.partitionBy())   # three rows, one per check
     return checks.withColumn("status", F.when(any_drift, "drift_detected").otherwise("ok"))
 
 
@@ -255,7 +253,7 @@ def rep_drift_report(t):
 def rep_drift_policy(t):
     """Row-fallback mode: drift of the distribution alone is advisory."""
     checks = drift_checks(drift_frame(t))
-    other = checks.agg(F.max(F.col("is_drifted") & (F.col("check_type") != "distribution"))).scalar()
+    other = F.max(F.col("is_drifted") & (F.col("check_type") != "distribution")).over(Window.partitionBy())   # three rows
     return checks.select("check_type", "is_drifted", (F.col("is_drifted") & other).alias("actionable"),
                          (F.col("is_drifted") & ~other).alias("suppressed"))
 
@@ -273,8 +271,6 @@ def fallback_windows(df, recent_hint: int, min_rows: int):
     want = max(min_rows, recent_hint)
     total = df.agg(F.count(F.lit(1))).scalar()
     tail = df.select("decision_time", "id", "p_final").orderBy(F.col("decision_time").desc(), F.col("id").desc()).limit(2 * want)
-    from pyspark.sql import Window
-
     rn = F.row_number().over(Window.orderBy(F.col("decision_time").desc(), F.col("id").desc()))   # <= 2*want rows
     k = F.least(F.lit(want), F.floor(total / 2))
     cut = tail.withColumns({"_rn": rn, "_k": k, "_n": total}).filter(
