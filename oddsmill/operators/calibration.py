@@ -49,10 +49,8 @@ def context_prior(df: DataFrame, priors: DataFrame) -> DataFrame:
     j = df.join(priors.select("stat_type", "stat_prior", "e1", "e2", "bucket0", "bucket1", "bucket2"), "stat_type", "left")
     fallback = priors.agg(F.max("global_prior")).scalar()
     b = line_bucket(F.col("line_score"), F.col("e1"), F.col("e2"))
-    two = F.col("e1") == F.col("e2")   # collapsed edges use other labels, so only the measure prior applies to known names
-    chosen = F.when(F.col("e1").isNotNull() & F.col("line_score").isNotNull() & ~two,
+    chosen = F.when(F.col("e1").isNotNull() & F.col("line_score").isNotNull(),
                     F.when(b == 0, F.col("bucket0")).when(b == 1, F.col("bucket1")).otherwise(F.col("bucket2")))
-    chosen = F.when(two & F.col("line_score").isNotNull(), F.when(b == 0, F.col("bucket0")).otherwise(F.col("bucket1"))).otherwise(chosen)
     raw = F.coalesce(chosen, F.col("stat_prior"), fallback, num(0.5))
     centred = raw + num(K.PRIOR_CENTER_WEIGHT) * (num(0.5) - raw)
     return j.withColumn("context_prior", X.clip(centred, K.PRIOR_FLOOR, K.PRIOR_CEILING)).drop("stat_prior", "e1", "e2", "bucket0", "bucket1", "bucket2")
@@ -69,11 +67,12 @@ def fit_conformal(long: DataFrame, alpha: float = 0.10) -> DataFrame:
 def majority_set_size(df: DataFrame, experts: list[str], q_hat: DataFrame) -> DataFrame:
     """1 when more than half of the present experts keep exactly one label, else 2; null without experts."""
     wide = q_hat.groupBy().agg(*[F.max(F.when(F.col("expert") == e, F.col("q_hat"))).alias(e) for e in experts])
-    q = wide.select(F.struct(*experts)).scalar()
+    df = df.withColumn("_q", wide.select(F.struct(*experts)).scalar())
+    q = F.col("_q")
     sizes = [F.when(F.col(e).isNotNull() & q[e].isNotNull(), X.set_size(e, q[e])) for e in experts]
     single = sum((F.coalesce((s == 1).cast("int"), F.lit(0)) for s in sizes), F.lit(0))
     known = sum((s.isNotNull().cast("int") for s in sizes), F.lit(0))
-    return df.withColumn("set_size", F.when(known > 0, F.when(single > known / 2, 1).otherwise(2)))
+    return df.withColumn("set_size", F.when(known > 0, F.when(single > known / 2, 1).otherwise(2))).drop("_q")
 
 
 # --- temperature -------------------------------------------------------------------------------------------
@@ -223,11 +222,12 @@ def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["w", "s", "lo", "hi"])
 
 
-def fit_isotonic(df: DataFrame, p: str, y: str, min_rows: int = 100, slices: int = 1000) -> DataFrame:
+def fit_isotonic(df: DataFrame, p: str, y: str, min_rows: int = 100, slices: int = 64) -> DataFrame:
     """Monotone map per measure and overall, as blocks (scope, lo, hi, value).
 
     Pooling is exact in any order, so it runs first on counts per (scope, probability) inside narrow slices of
-    [0, 1] in parallel, and then once per scope over the few blocks that survive.
+    [0, 1] in parallel, and then once per scope over the few blocks that survive. Raise ``slices`` when a slice
+    holds more distinct probabilities than one task should.
     """
     rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull() & ~F.col("stat_type").isin(*K.CALIBRATION_EXCLUDED_STATS))
     cells = scoped(rows).groupBy("scope", F.col(p).alias("lo")).agg(

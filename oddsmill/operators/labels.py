@@ -73,7 +73,7 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     return seq.withColumn("n", seq.agg(F.count(F.lit(1))).scalar())
 
 
-def holdout(seq: DataFrame, ratio: float = 0.2) -> Column:
+def holdout(ratio: float = 0.2) -> Column:
     return F.when(F.col("idx") >= F.floor(F.col("n") * num(1 - ratio)), "test").otherwise("train")
 
 
