@@ -164,8 +164,8 @@ def interpolate(u: Column, kx: str = "kx", ky: str = "ky", left: float | None =
     """Piecewise linear through the knots; beyond them the given constants, or the end values when None."""
     i = F.size(F.filter(kx, lambda k: k <= u))
     n = F.size(kx)
-    x = lambda k: F.element_at(kx, k)
-    y = lambda k: F.element_at(ky, k)
+    x = lambda k: F.get(kx, k - 1)
+    y = lambda k: F.get(ky, k - 1)
     inner = y(i) + (u - x(i)) / F.when(x(i + 1) > x(i), x(i + 1) - x(i)) * (y(i + 1) - y(i))
     low = num(left) if left is not None else y(F.lit(1))
     high = num(right) if right is not None else y(n)

@@ -215,3 +215,69 @@ def logged_top(log, top: int):
     pool = d.join(some, "slate").filter(F.col("ok") | ~F.col("_any"))
     out = P.diverse_top(pool, top, "rk")
     return out.select("slate", big("rank").alias("rank"), "id", r6("p").alias("prob_over"), F.col("side").alias("pick"), "edge", X.grade("edge").alias("grade"), r6("margin").alias("margin"), F.col("ok").alias("is_publishable"))
+
+
+# --- backtest of the combination strategies ----------------------------------------------------------------------
+STRATEGIES = {"logit_avg": "ens_logit_avg", "recency_weighted": "ens_recency", "per_stat": "ens_per_stat_best", "top_k": "ens_top_k"}
+BT_STATS = ["Points", "Turnovers", "Rebounds", "Dunks", "Assists"]   # the five priorities stand for these measures
+PRIORITY_OF = dict(zip(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], BT_STATS))
+
+
+def _bt_sql() -> str:
+    from .q_reports import WINDOWS
+    from .registry import CATALOGUE
+
+    st = union_sql([f"SELECT '{n}' AS strategy, {i} AS ord, id, p FROM ({CATALOGUE[q].sql})" for i, (n, q) in enumerate(STRATEGIES.items())])
+    measure = q_case(PRIORITY_OF, "rs.stat_type", "rs.stat_type").replace('"', "'")
+    agg = f"count(*) AS n, {q_r6('avg(correct)')} AS accuracy, {q_r6('avg(loss)')} AS logloss"
+    from .adapters import q_loss
+
+    return f"""WITH {RESOLVED}, {sql_priors('rs')}, st AS ({st}),
+j0 AS (SELECT st.strategy, st.ord, st.id, rs.decision_time, {measure} AS measure, rs.over_label, rs.n_eff, rs.conformal_set_size, {', '.join('rs.' + e for e in EX)}, st.p, {sql_prior_of('x').replace('line_score', 'rs.line_score')} AS context_prior
+  FROM st JOIN rs ON rs.id = st.id LEFT JOIN cp ON cp.stat_type = rs.stat_type),
+j1 AS (SELECT *, CASE WHEN measure = 'Turnovers' THEN context_prior ELSE {q_shrink('p', 'n_eff', 'context_prior')} END AS pf FROM j0 WHERE measure <> 'Dunks'),
+j2 AS (SELECT *, {q_hit('pf', 'over_label')} AS correct, {q_loss('over_label', 'pf')} AS loss, {q_pick('pf')} AS pp, {q_edge('pf', EX, 'NULL', 'n_eff', 'NULL', 'NULL', 'CAST(NULL AS DOUBLE)')} AS edge,
+   {q_pick('pf')} >= CASE WHEN conformal_set_size = 2 THEN 62e-2 ELSE 6e-1 END AS act FROM j1),
+j3 AS (SELECT *, act AND edge >= 5 AND measure <> 'Turnovers' AND conformal_set_size <> 2 AS plc, row_number() OVER (PARTITION BY strategy ORDER BY decision_time DESC, id DESC) AS rn FROM j2),
+al AS (SELECT strategy, ord, 'scored' AS slice, '' AS name, {agg} FROM j3 GROUP BY 1, 2 UNION ALL SELECT strategy, ord, 'actionable', '', {agg} FROM j3 WHERE act GROUP BY 1, 2 UNION ALL SELECT strategy, ord, 'placed', '', {agg} FROM j3 WHERE plc GROUP BY 1, 2
+ UNION ALL SELECT strategy, ord, 'measure', measure, {agg} FROM j3 GROUP BY 1, 2, 4 UNION ALL SELECT strategy, ord, 'direction', CASE WHEN pf >= 5e-1 THEN 'OVER' ELSE 'UNDER' END, {agg} FROM j3 GROUP BY 1, 2, 4
+ UNION ALL SELECT strategy, ord, 'decile', CAST({q_sum([f"CASE WHEN pp > {0.5 + 0.05 * i:.2f}e0 THEN 1 ELSE 0 END" for i in range(1, 10)])} AS VARCHAR), {agg} FROM j3 GROUP BY 1, 2, 4
+ {' '.join(f"UNION ALL SELECT strategy, ord, 'window', 'last_{w}', {agg} FROM j3 WHERE rn <= {w} GROUP BY 1, 2 HAVING count(*) = {w}" for w in WINDOWS)} UNION ALL SELECT strategy, ord, 'window', 'all_time', {agg} FROM j3 GROUP BY 1, 2)
+SELECT strategy, slice, name, n, accuracy, logloss, slice = 'window' AND row_number() OVER (PARTITION BY slice, name ORDER BY accuracy DESC, ord) = 1 AS best FROM al"""
+
+
+@query("rep_backtest", _bt_sql())
+def rep_backtest(t):
+    """Every strategy through shrinking and policy, measured by tier, measure, direction, decile and recent window."""
+    from pyspark.sql import Window
+
+    from .q_reports import WINDOWS
+    from .registry import CATALOGUE
+
+    parts = [CATALOGUE[q].plan(t).select(F.lit(n).alias("strategy"), F.lit(i).alias("ord"), "id", "p") for i, (n, q) in enumerate(STRATEGIES.items())]
+    st = parts[0]
+    for p in parts[1:]:
+        st = st.unionByName(p)
+    rows = t.resolved().select("id", "decision_time", "stat_type", "line_score", "over_label", "n_eff", "conformal_set_size", *EX)
+    rows = C.context_prior(rows, C.fit_context_priors(t.resolved())).withColumn("measure", X.lookup(PRIORITY_OF, F.col("stat_type"))).filter(~F.col("measure").isin(*K.EXCLUDED_STATS))
+    only = F.col("measure").isin(*K.PRIOR_ONLY_STATS)
+    j = st.join(rows, "id").withColumn("pf", F.when(only, F.col("context_prior")).otherwise(X.shrink("p", "n_eff", "context_prior")))
+    none = F.lit(None).cast("double")
+    act = X.p_pick("pf") >= X.threshold_for(num(K.PICK_THRESHOLD), "conformal_set_size")
+    edge = X.edge_score("pf", EX, none, "n_eff", none, none, none)
+    j = j.select("strategy", "ord", "id", "decision_time", "measure", "pf", X.hit("pf", "over_label").alias("correct"), X.log_loss("over_label", "pf").alias("loss"), act.alias("act"),
+                 (act & (edge >= K.MIN_EDGE) & ~only & (F.col("conformal_set_size") != 2)).alias("plc"))
+    j = durable(j)
+    decile = sum(((X.p_pick("pf") > num(round(0.5 + 0.05 * i, 2))).cast("int") for i in range(1, 10)), F.lit(0)).cast("string")
+    cut = lambda s, n, when=F.lit(True): F.when(when, F.struct(F.lit(s).alias("slice"), n.alias("name")))
+    slices = F.array_compact(F.array(cut("scored", F.lit("")), cut("actionable", F.lit(""), F.col("act")), cut("placed", F.lit(""), F.col("plc")), cut("measure", F.col("measure")),
+                                     cut("direction", F.when(F.col("pf") >= 0.5, "OVER").otherwise("UNDER")), cut("decile", decile), cut("window", F.lit("all_time"))))
+    agg = [F.count(F.lit(1)).alias("n"), r6(F.avg("correct")).alias("accuracy"), r6(F.avg("loss")).alias("logloss")]
+    whole = j.withColumn("s", F.explode(slices)).groupBy("strategy", "ord", "s.slice", "s.name").agg(*agg)
+    recent = Window.partitionBy("strategy").orderBy(F.desc("decision_time"), F.desc("id"))
+    tail = j.withColumn("rn", F.row_number().over(recent)).filter(F.col("rn") <= max(WINDOWS))   # cut to 200 rows inside each task
+    tail = tail.withColumn("w", F.explode(F.filter(F.array(*[F.lit(w) for w in WINDOWS]), lambda w: w >= F.col("rn"))))
+    last = tail.groupBy("strategy", "ord", F.lit("window").alias("slice"), "w").agg(*agg).filter(F.col("n") == F.col("w")).withColumn("name", F.concat(F.lit("last_"), F.col("w").cast("string"))).drop("w")
+    out = whole.unionByName(last)
+    rank = F.row_number().over(Window.partitionBy("slice", "name").orderBy(F.desc("accuracy"), "ord"))   # one row per strategy
+    return out.withColumn("best", (F.col("slice") == "window") & (rank == 1)).drop("ord")
