@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -111,10 +111,19 @@ def confidence(p: ColumnOrName) -> Column:
 
 # --- Lookups -------------------------------------------------------------------------------------
 
+def sql_literal(v: str | float | int) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{float(v)!r}D" if isinstance(v, float) else str(v)
+
+
+def constant_array(values: list) -> Column:
+    return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
+
+
 def lookup(mapping: dict, key: Column) -> Column:
     """Constant map lookup, null when absent."""
-    pairs = [F.lit(v) for kv in mapping.items() for v in kv]
-    return F.create_map(*pairs)[key]
+    return F.expr("map(" + ", ".join(sql_literal(v) for kv in mapping.items() for v in kv) + ")")[key]
 
 
 def team_code(x: ColumnOrName, overrides: dict[str, str] = K.TEAM_OVERRIDES) -> Column:
@@ -189,28 +198,27 @@ def piecewise(x: Column, knots: list[tuple[float, float]], beyond: Column) -> Co
     return out.otherwise(beyond)
 
 
-def edge_score(p, experts: list[str], set_size, n_eff, mu, line, sigma) -> Column:
-    """0-100 composite of six bounded parts."""
-    p, n, s = c(p), c(n_eff), c(sigma)
-    gap = F.abs(c(mu) - c(line))
+def with_edge(df: DataFrame, p, experts: list[str], set_size, n_eff, mu, line, sigma, out: str = "edge") -> DataFrame:
+    """Adds the 0-100 composite of six bounded parts.
+
+    Built in three projections (inputs, parts, total): each then compiles to its own small method, where one
+    nested expression would be too large for the JIT.
+    """
+    m = present(experts)
+    same = reduce(lambda a, b: a + b, [F.coalesce((pick_over(e) == pick_over(p)).cast("int"), F.lit(0)) for e in experts])
+    d = df.withColumns({"_gap": F.abs(c(mu) - c(line)), "_n": c(n_eff), "_s": c(sigma), "_m": m, "_conf": p_pick(p), "_agree": same / F.when(m > 0, m)})
+    gap, n, s, agree, conf = F.col("_gap"), F.col("_n"), F.col("_s"), F.col("_agree"), F.col("_conf")
     forecast = piecewise(gap, [(0, 0), (1, 8), (3, 25), (4, 10)], F.greatest(num(0), num(10) - (gap - 4) * 5.0))
     data = (
         F.when(n < 5, num(0)).when(n < 10, (n - 5) / num(5) * 8.0).when(n <= 20, num(20))
         .when(n <= 30, num(20) - (n - 20) / num(10) * 5.0).otherwise(num(15))
     )
-    m = present(experts)
-    same = reduce(
-        lambda a, b: a + b,
-        [F.coalesce((pick_over(e) == pick_over(p)).cast("int"), F.lit(0)) for e in experts],
-    )
-    agree = same / F.when(m > 0, m)
     split = (
         F.when(agree <= 0.5, num(25))
         .when(agree <= 0.67, num(25) - (agree - 0.5) / num(0.17) * 10.0)
         .when(agree <= 0.84, num(15) - (agree - 0.67) / num(0.17) * 5.0)
         .otherwise(num(10) - (agree - 0.84) / num(0.16) * 5.0)
     )
-    conf = p_pick(p)
     sure = (
         F.when(conf <= 0.55, (conf - 0.50) / num(0.05) * 5.0)
         .when(conf <= 0.65, num(5) + (conf - 0.55) / num(0.10) * 10.0)
@@ -218,15 +226,13 @@ def edge_score(p, experts: list[str], set_size, n_eff, mu, line, sigma) -> Colum
         .otherwise(F.greatest(num(0), num(5) - (conf - 0.75) / num(0.25) * 5.0))
     )
     spread = piecewise(s, [(0, 0), (2, 4), (6, 10), (8, 6)], F.greatest(num(0), num(6) - (s - 8)))
-    total = (
-        F.when(gap.isNotNull(), forecast).otherwise(num(0))
-        + F.when(n.isNotNull(), data).otherwise(num(0))
-        + F.when(m >= 2, split).otherwise(num(0))
-        + sure
-        + F.when(s.isNotNull(), spread).otherwise(num(0))
-        + F.when(c(set_size) == 1, num(5)).otherwise(num(0))
-    )
-    return F.round(clip(total, 0.0, 100.0), 1)
+    d = d.withColumns({
+        "_e1": F.when(gap.isNotNull(), forecast).otherwise(num(0)), "_e2": F.when(n.isNotNull(), data).otherwise(num(0)),
+        "_e3": F.when(F.col("_m") >= 2, split).otherwise(num(0)), "_e4": sure, "_e5": F.when(s.isNotNull(), spread).otherwise(num(0)),
+        "_e6": F.when(c(set_size) == 1, num(5)).otherwise(num(0)),
+    })
+    total = reduce(lambda a, b: a + b, [F.col(f"_e{i}") for i in range(1, 7)])
+    return d.withColumn(out, F.round(clip(total, 0.0, 100.0), 1)).drop("_gap", "_n", "_s", "_m", "_conf", "_agree", *[f"_e{i}" for i in range(1, 7)])
 
 
 def grade(edge: ColumnOrName) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,12 +16,18 @@ from . import constants as K
 from .exprs import c, lookup
 
 
+@lru_cache(maxsize=1)
+def _marks() -> re.Pattern:
+    """All combining code points as one character class, built once per worker from the Unicode tables."""
+    return re.compile("[" + "".join(chr(i) for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))) + "]")
+
+
 @F.pandas_udf(StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     def fold(text):
-        if text is None:
-            return None
-        return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+        if text is None or text.isascii():
+            return text
+        return _marks().sub("", unicodedata.normalize("NFKD", text))
 
     return s.map(fold)
 

@@ -16,7 +16,7 @@ from oddsmill.functions import constants as K
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import big, num, r6
 
-from .ordering import group_positions, overlapping_blocks, rolling, sorted_positions
+from .ordering import group_positions, overlapping_blocks, rolling_sums, sorted_positions
 
 EPS = 1e-6
 
@@ -126,11 +126,9 @@ def _rolled(df: DataFrame, experts: list[str], order: list[str], window: int, ke
     """Previous ``window`` rows (overall or per key): rows seen, and count and hit rate per expert."""
     rows = df.select(*order, *[k for k in keys], *experts, *[X.hit(X.clip_expert(e), "over_label").alias(f"h_{e}") for e in experts])
     seq = group_positions(rows, keys, order, "idx") if keys else sorted_positions(rows, order)
-    cols = {"_seen": lambda w: F.count(F.lit(1)).over(w)}
-    for e in experts:
-        cols[f"n_{e}"] = (lambda e: lambda w: F.count(f"h_{e}").over(w))(e)
-        cols[f"a_{e}"] = (lambda e: lambda w: F.avg(f"h_{e}").over(w))(e)
-    return rolling(seq, "idx", window, cols, keys, include_current=False)
+    out = rolling_sums(seq, "idx", window, [f"h_{e}" for e in experts], keys, include_current=False).withColumnRenamed("seen", "_seen")
+    rate = {f"a_{e}": F.when(F.col(f"n_h_{e}") > 0, F.col(f"s_h_{e}") / F.col(f"n_h_{e}")) for e in experts}
+    return out.withColumns(rate).withColumnsRenamed({f"n_h_{e}": f"n_{e}" for e in experts})
 
 
 def logit_average(experts: list[str]) -> Column:

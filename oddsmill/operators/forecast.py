@@ -1,19 +1,21 @@
 """Forecast expert: recency-weighted rate and minutes, regressed to the league, turned into a mean and spread.
 
-Decay weights depend on the cut-off, not on the line, so they are computed once per distinct
-(player, measure, cut-off day) over that player's day-bounded history array.
+Decay weights depend on the cut-off, not on the line, so everything is computed once per distinct
+(player, measure, cut-off day) and attached by an equi join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import num
 
 from . import asof as A
-from .history import KEYS, attach, before, day_features, key_arrays, league_prior, line_wins
+from .history import KEYS, attach, day_features, league_prior, line_wins
 
 # Fixed values of the forecast.
 TAU_SHORT, TAU_LONG, MINUTES_PRIOR, K_MINUTES = 7.0, 21.0, 28.0, 8.0
@@ -21,32 +23,42 @@ ALPHA_RATE, BETA_MINUTES, BETA_B2B, BETA_REST = 0.5, 0.5, -1.5, 0.5
 MIN_STD_RATE, MIN_STD_MINUTES, MIN_GAMES = 0.01, 1.0, 5
 
 
+ERA = 1024   # days per rebasing block: exp(ERA / TAU_SHORT) is far from overflow, exp(-ERA / tau) squared far below double precision
+
+
 def decay_stats(log: DataFrame, probes: DataFrame, cutoff: str = "slate") -> DataFrame:
-    """Short and long weighted means, long weighted variances and effective n per (player, measure, day)."""
-    asked = probes.select(*KEYS, F.col(cutoff).cast("date").alias("_cut")).distinct()
-    h = asked.join(key_arrays(log), KEYS).withColumn("_all", before("_h", F.col("_cut")))
-    usable = F.filter("_all", lambda e: e["minutes"] > 0)
-
-    def weight(e: Column, tau: float) -> Column:
-        return F.exp(-F.datediff(F.col("_cut"), e["game_date"]) / num(tau)) * F.least(e["minutes"] / num(24), num(1))
-
-    h = h.withColumn("_e", F.transform(usable, lambda e: F.struct(
-        (e["value"] / e["minutes"]).alias("r"), e["minutes"].alias("m"),
-        weight(e, TAU_SHORT).alias("ws"), weight(e, TAU_LONG).alias("wl"))))
-    total = lambda fn: F.aggregate("_e", num(0), lambda s, x: s + fn(x))
+    """Short and long weighted means, long weighted variances and effective n per (player, measure, cut-off day).
+
+    A weight is exp(-(cutoff - day) / tau) * min(minutes / 24, 1). The cut-off factor cancels in every ratio, so
+    running sums of exp(day / tau) terms are enough: constant work per cut-off instead of a pass over the history.
+    Days are counted from the start of their era; the previous era enters scaled by exp(-ERA / tau), and
+    anything older is below double precision next to a game of the current one.
+    """
+    day = F.datediff(F.col("game_date"), F.lit("1970-01-01").cast("date"))
+    use = F.col("minutes") > 0
+    rows = log.withColumns({"_era": F.floor(day / ERA).cast("bigint"), "_off": (day % ERA).cast("double"), "_mf": F.least(F.col("minutes") / num(24), num(1)),
+                            "_rt": F.when(use, F.col("value") / F.col("minutes"))})
+    ws, wl = F.exp(F.col("_off") / num(TAU_SHORT)) * F.col("_mf"), F.exp(F.col("_off") / num(TAU_LONG)) * F.col("_mf")
+    rows = rows.withColumns({"_s": F.when(use, ws), "_l": F.when(use, wl)})
+    S, L, r, m = F.col("_s"), F.col("_l"), F.col("_rt"), F.col("minutes")
+    fade = {"s": math.exp(-ERA / TAU_SHORT), "l": math.exp(-ERA / TAU_LONG), "q": math.exp(-2 * ERA / TAU_LONG)}
+    terms = {"ws": (S, "s"), "rs": (S * r, "s"), "ms": (S * m, "s"), "wl": (L, "l"), "rl": (L * r, "l"), "ml": (L * m, "l"),
+             "rr": (L * r * r, "l"), "mm": (L * m * m, "l"), "w2": (L * L, "q")}
+    inside = Window.partitionBy(*KEYS, "_era").orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*KEYS).orderBy("_era").rangeBetween(-1, -1)
+    so_far = Window.partitionBy(*KEYS).orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_t_{k}": e for k, (e, _) in terms.items()})
+    total = lambda k, f: F.sum(f"_t_{k}").over(inside) + num(fade[f]) * F.coalesce(F.sum(f"_t_{k}").over(earlier), num(0))
+    rows = rows.withColumns({k: total(k, f) for k, (_, f) in terms.items()} | {"_g": F.count("value").over(so_far), "_u": F.count(F.when(use, F.col("value"))).over(so_far)})
+    state = rows.select(*KEYS, "game_date", F.struct(*terms, F.col("_g").alias("g"), F.col("_u").alias("u"), F.col("game_date").alias("d")).alias("_state"))
+    prior = A.strict_prior(state, probes, KEYS, "game_date", cutoff, {"_p": lambda w: F.last("_state", ignorenulls=True).over(w)}).filter(F.col("_p").isNotNull())
+    v = lambda k: F.col(f"_p.{k}")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(num(0))
-    h = h.select(*KEYS, "_cut", "_e", F.size("_all").alias("n_games"), F.size("_e").alias("n_used"),
-                 F.array_max(F.transform("_all", lambda e: e["game_date"])).alias("_last"),
-                 total(lambda x: x["ws"]).alias("_ws"), total(lambda x: x["wl"]).alias("_wl"), total(lambda x: x["wl"] * x["wl"]).alias("_wl2"),
-                 total(lambda x: x["ws"] * x["r"]).alias("_rs"), total(lambda x: x["wl"] * x["r"]).alias("_rl"),
-                 total(lambda x: x["ws"] * x["m"]).alias("_ms"), total(lambda x: x["wl"] * x["m"]).alias("_ml"))
-    h = h.withColumns({"rate_short": ratio(F.col("_rs"), F.col("_ws")), "rate_long": ratio(F.col("_rl"), F.col("_wl")),
-                       "minutes_short": ratio(F.col("_ms"), F.col("_ws")), "minutes_long": ratio(F.col("_ml"), F.col("_wl")),
-                       "n_eff": ratio(F.col("_wl") * F.col("_wl"), F.col("_wl2"))})
-    dev = lambda field, mean: ratio(total(lambda x: x["wl"] * (x[field] - F.col(mean)) * (x[field] - F.col(mean))), F.col("_wl"))
-    gap = F.greatest(F.datediff("_cut", "_last") - 1, F.lit(0)).cast("double")
-    return h.select(*KEYS, "_cut", "n_games", "n_used", "rate_short", "rate_long", "minutes_short", "minutes_long", "n_eff",
-                    dev("r", "rate_long").alias("rate_var"), dev("m", "minutes_long").alias("minutes_var"), gap.alias("rest_days"))
+    out = prior.select(*KEYS, "_cut", v("g").alias("n_games"), v("u").alias("n_used"), ratio(v("rs"), v("ws")).alias("rate_short"), ratio(v("rl"), v("wl")).alias("rate_long"),
+                       ratio(v("ms"), v("ws")).alias("minutes_short"), ratio(v("ml"), v("wl")).alias("minutes_long"), ratio(v("wl") * v("wl"), v("w2")).alias("n_eff"),
+                       ratio(v("rr"), v("wl")).alias("_rr"), ratio(v("mm"), v("wl")).alias("_mm"), F.greatest(F.datediff("_cut", v("d")) - 1, F.lit(0)).cast("double").alias("rest_days"))
+    spread = lambda sq, mean: F.greatest(F.col(sq) - F.col(mean) * F.col(mean), num(0))
+    return out.withColumns({"rate_var": spread("_rr", "rate_long"), "minutes_var": spread("_mm", "minutes_long")}).drop("_rr", "_mm")
 
 
 def league_priors(log: DataFrame, probes: DataFrame, cutoff: str = "slate") -> DataFrame:

@@ -55,14 +55,29 @@ def overlapping_blocks(df: DataFrame, idx: str, reach: int, block: int = 1 << 16
     return df.withColumn("_blk", F.explode(blocks)).withColumn("_own", F.col("_blk") == home)
 
 
-def rolling(df: DataFrame, idx: str, window: int, columns: dict[str, "callable"], keys: list[str] = (),
-            include_current: bool = True, block: int = 1 << 16) -> DataFrame:
-    """Row-count rolling aggregates over an indexed sequence; each value of ``columns`` maps a window spec to a Column."""
-    last = 0 if include_current else -1
+def rolling_sums(df: DataFrame, idx: str, window: int, columns: list[str], keys: list[str] = (),
+                 include_current: bool = True, block: int = 1 << 16) -> DataFrame:
+    """Sum ``s_<c>`` and non-null count ``n_<c>`` of each column over the last ``window`` rows, and ``seen``, the rows.
+
+    Running sums per block minus their value ``window`` rows earlier: constant work per row whatever the window.
+    Exact for flags and counts.
+    """
     reach = window - 1 if include_current else window
     cut = overlapping_blocks(df, idx, reach, block)
-    spec = Window.partitionBy(*keys, "_blk").orderBy(idx).rowsBetween(-reach, last)
-    return (
-        cut.withColumns({name: make(spec) for name, make in columns.items()})
-        .filter("_own").drop("_blk", "_own")
-    )
+    order = Window.partitionBy(*keys, "_blk").orderBy(idx)
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    # one array per row: running sums and counts side by side, so a single lag serves all of them
+    parts = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns] + [F.col(c).isNotNull().cast("double") for c in columns]
+    cut = cut.withColumns({f"_r{i}": F.sum(p).over(run) for i, p in enumerate(parts)})
+    cut = cut.withColumn("_run", F.array(*[F.col(f"_r{i}") for i in range(len(parts))])).drop(*[f"_r{i}" for i in range(len(parts))])
+    zero = F.array(*[F.lit(0.0)] * len(parts))
+    if not include_current:
+        cut = cut.withColumn("_top", F.coalesce(F.lag("_run", 1).over(order), zero))
+        far = window + 1
+    else:
+        cut, far = cut.withColumn("_top", F.col("_run")), window
+    cut = cut.withColumn("_low", F.coalesce(F.lag("_run", far).over(order), zero)).filter("_own")
+    at = lambda i: F.get("_top", F.lit(i)) - F.get("_low", F.lit(i))
+    k = len(columns)
+    cut = cut.withColumns({"seen": at(0).cast("bigint")} | {f"s_{c}": at(1 + i) for i, c in enumerate(columns)} | {f"n_{c}": at(1 + k + i).cast("bigint") for i, c in enumerate(columns)})
+    return cut.drop("_blk", "_own", "_run", "_top", "_low")

@@ -69,7 +69,7 @@ def score_rows(df: DataFrame, experts: list[str]) -> DataFrame:
         "has_diversity": (over >= 1) & (n - over >= 1), "has_min_neff": F.coalesce(F.col("n_eff") >= K.MIN_NEFF, F.lit(False)),
         "forecast_edge_ok": F.when(F.col("mu_hat").isNotNull() & (F.col("line_score") > 0), gap <= K.MAX_FORECAST_EDGE).otherwise(True),
     })
-    d = d.withColumn("edge", X.edge_score("p_final", experts, "set_size", "n_eff", "mu_hat", "line_score", "sigma_hat"))
+    d = X.with_edge(d, "p_final", experts, "set_size", "n_eff", "mu_hat", "line_score", "sigma_hat")
     return with_threshold(d, num(K.CONFORMAL_PENALTY))
 
 

@@ -11,7 +11,7 @@ from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import big, count_true, num, r6
 
 from .distribution import exact_quantiles, rank_auc
-from .ordering import rolling, sorted_positions
+from .ordering import rolling_sums, sorted_positions
 
 
 def with_pick(df: DataFrame, p: str = "p_final", y: str = "over_label", stat: str = "stat_type") -> DataFrame:
@@ -43,12 +43,10 @@ def rolling_hit(df: DataFrame, window: int, experts: list[str], order: list[str]
     n_points = total - (need - 1)
     step = F.when(n_points > points, F.greatest(F.lit(1), F.floor(n_points / points))).otherwise(F.lit(1))
 
-    def mean_of(col: str):
-        return lambda w: F.when(F.count(col).over(w) >= need, F.avg(col).over(w))
-
-    rolled = rolling(seq, "idx", window, {f"{k}_hit_rate": mean_of(f"h_{k}") for k in flags})
+    rolled = rolling_sums(seq, "idx", window, [f"h_{k}" for k in flags])
+    mean = {k: F.when(F.col(f"n_h_{k}") >= need, F.col(f"s_h_{k}") / F.col(f"n_h_{k}")) for k in flags}
     keep = (F.col("idx") >= need - 1) & ((F.col("idx") - (need - 1)) % step == 0)
-    return rolled.filter(keep).select("idx", *[r6(f"{k}_hit_rate").alias(f"{k}_hit_rate") for k in flags])
+    return rolled.filter(keep).select("idx", *[r6(m).alias(f"{k}_hit_rate") for k, m in mean.items()])
 
 
 def tier_summary(df: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmill.functions import constants as K
+from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import num
 from oddsmill.session import pin_runtime
 
@@ -27,8 +28,7 @@ MEASURE_COLS = ["points", "rebounds", "assists", "turnovers"]
 
 def pseudo_prob(name: str, key: str, other: str) -> Column:
     a, b = PROB_COEFS[name]
-    step = (F.col(key) * F.lit(a).cast("bigint") + F.col(other) * F.lit(b).cast("bigint")) % 997
-    return F.round(num(0.02) + num(0.96) * step.cast("double") / num(996), 6)
+    return F.expr(f"round(2e-2D + 96e-2D * cast(({key} * {a}L + {other} * {b}L) % 997 as double) / 996e0D, 6)")
 
 
 def _sql_prob(name: str, key: str, other: str) -> str:
@@ -37,7 +37,7 @@ def _sql_prob(name: str, key: str, other: str) -> str:
 
 
 def pick_from(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(X.constant_array(values), (index + 1).cast("int"))
 
 
 def sql_list(values: list[str]) -> str:
@@ -50,12 +50,22 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         pin_runtime(spark)
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._views: dict[str, DataFrame] = {}
+
+    def _view(self, name: str, build) -> DataFrame:
+        """Plans are built once per query, however many steps start from them."""
+        if name not in self._views:
+            self._views[name] = build()
+        return self._views[name]
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     # --- player game log: one row per player and day ---------------------------------------------
     def game_log(self) -> DataFrame:
+        return self._view("game_log", self._game_log)
+
+    def _game_log(self) -> DataFrame:
         e = self.base("events")
 
         def measure(kind: str) -> Column:
@@ -79,6 +89,9 @@ class Tables:
 
     # --- resolved predictions: one row per order --------------------------------------------------
     def predictions(self) -> DataFrame:
+        return self._view("predictions", self._predictions)
+
+    def _predictions(self) -> DataFrame:
         o = self.base("orders")
         probs = {p: pseudo_prob(p, "o_orderkey", "o_custkey") for p in PROB_COEFS}
         probs["p_tabdl"] = F.when(F.col("o_orderkey") % 7 != 0, probs["p_tabdl"])
@@ -117,6 +130,9 @@ class Tables:
 
     # --- lines with outcomes: one row per game-log row and measure ---------------------------------
     def lines(self) -> DataFrame:
+        return self._view("lines", self._lines)
+
+    def _lines(self) -> DataFrame:
         g = self.game_log()
         legs = F.array(*[
             F.struct(F.lit(i).alias("m"), F.lit(name).alias("stat_type"), F.col(col).alias("actual"))

@@ -119,7 +119,7 @@ def src_csv_parquet(t):
     return read("csv").unionByName(read("parquet"))
 
 
-@query("snk_jsonl_csv")
+@query("snk_jsonl_csv", f"""WITH {LINE_SNAPSHOTS} SELECT {_lid} AS id, stat_type, CASE WHEN player_id % 19 <> 0 THEN CAST(line_score AS VARCHAR) END AS line_score, '["m1","' || substr(stat_type, 1, 1) || '"]' AS markets_ids FROM ls""")
 def snk_jsonl_csv(t):
     """Write a flattened table with a nested column both ways and read the CSV back."""
     f = SJ.flatten(doc_items(t), "projection", ["line_score", "stat_type"], ["new_player"], ["markets"], ["snapshot_id", "player_id"])

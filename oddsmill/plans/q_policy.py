@@ -264,7 +264,8 @@ def rep_backtest(t):
     j = st.join(rows, "id").withColumn("pf", F.when(only, F.col("context_prior")).otherwise(X.shrink("p", "n_eff", "context_prior")))
     none = F.lit(None).cast("double")
     act = X.p_pick("pf") >= X.threshold_for(num(K.PICK_THRESHOLD), "conformal_set_size")
-    edge = X.edge_score("pf", EX, none, "n_eff", none, none, none)
+    j = X.with_edge(j, "pf", EX, none, "n_eff", none, none, none)
+    edge = F.col("edge")
     j = j.select("strategy", "ord", "id", "decision_time", "measure", "pf", X.hit("pf", "over_label").alias("correct"), X.log_loss("over_label", "pf").alias("loss"), act.alias("act"),
                  (act & (edge >= K.MIN_EDGE) & ~only & (F.col("conformal_set_size") != 2)).alias("plc"))
     j = durable(j)

@@ -223,7 +223,7 @@ EDGE = PREDICTIONS + f""", ed AS (SELECT *, {q_edge('p_final', K.EXPERTS, 'confo
 
 def edge_rows(t):
     mu = F.col("line_score") + (F.col("id") % 13) / num(2) - 3
-    return t.predictions().withColumn("edge", X.edge_score("p_final", K.EXPERTS, "conformal_set_size", "n_eff", mu, "line_score", (F.col("id") % 19) / num(2)))
+    return X.with_edge(t.predictions(), "p_final", K.EXPERTS, "conformal_set_size", "n_eff", mu, "line_score", (F.col("id") % 19) / num(2))
 
 
 @query("fn_edge_score", f"WITH {EDGE} SELECT id, edge FROM ed")

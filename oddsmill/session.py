@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +21,8 @@ def build_session(app: str = "oddsmill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a static setting: call-site capture walks the stack once per expression, and plans here have thousands
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -30,21 +36,29 @@ def pin_runtime(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only local test sessions get a folder of their own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-        return
-    if not sc.master.startswith("local"):
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    """One temporary folder per process, for local sessions only; removed when the process ends."""
+    root = tempfile.mkdtemp(prefix="oddsmill-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder that every executor can reach: under the cluster's shared ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a temporary folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="oddsmill-ckpt-"))
+    return f"{(shared or _local_scratch()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage, so every later reader sees the same rows in the same place."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to shared storage and read it back.
+
+    Cuts lineage, survives lost executors, and every later reader sees the same rows with the same values. A
+    written table is computed once, where a checkpoint computes its last stage twice.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

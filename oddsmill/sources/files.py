@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from oddsmill.functions.exprs import finite
+from oddsmill.session import scratch_path  # noqa: F401  (sinks need a place to write)
 
 RESULT_SETS = "struct<resultSets:array<struct<name:string,headers:array<string>,rowSet:array<array<string>>>>>"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach: under the shared folder of the cluster, or local in a local session."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not shared and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = shared or tempfile.mkdtemp(prefix="oddsmill-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def result_rows(docs: DataFrame, text: str, name: str, keep: list[str] = ()) -> DataFrame:
     """Rows of one named result set as maps from header to value."""
     sets = docs.select(*keep, F.explode(F.from_json(text, RESULT_SETS)["resultSets"]).alias("rs")).filter(F.col("rs.name") == name)
@@ -56,7 +44,7 @@ def stringify(df: DataFrame) -> DataFrame:
 
 def write_tables(df: DataFrame, folder: str) -> tuple[str, str]:
     df.write.mode("errorifexists").json(f"{folder}/jsonl")
-    stringify(df).write.mode("errorifexists").option("header", True).csv(f"{folder}/csv")
+    stringify(df).write.mode("errorifexists").option("header", True).option("escape", '"').csv(f"{folder}/csv")   # doubled quotes, as CSV readers expect
     return f"{folder}/jsonl", f"{folder}/csv"
 
 
