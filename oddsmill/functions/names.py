@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -16,18 +15,21 @@ from . import constants as K
 from .exprs import c, lookup
 
 
-@lru_cache(maxsize=1)
-def _marks() -> re.Pattern:
-    """All combining code points as one character class, built once per worker from the Unicode tables."""
-    return re.compile("[" + "".join(chr(i) for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))) + "]")
+NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(maxsize=1 << 16)
+def _fold_run(run: str) -> str:
+    """Decompose a run of non-ASCII characters and drop its combining marks. Runs repeat a lot, so most are cached."""
+    return "".join(ch for ch in unicodedata.normalize("NFKD", run) if not unicodedata.combining(ch))
 
 
 @F.pandas_udf(StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     def fold(text):
-        if text is None or text.isascii():
+        if text is None or text.isascii():   # ASCII is untouched by decomposition
             return text
-        return _marks().sub("", unicodedata.normalize("NFKD", text))
+        return NON_ASCII.sub(lambda m: _fold_run(m.group()), text)
 
     return s.map(fold)
 

@@ -168,12 +168,13 @@ def soft_fallback(d: DataFrame, top: int, order: str = "edge") -> DataFrame:
 
 
 def score_slate(df: DataFrame, experts: list[str], top: int, keep) -> DataFrame:
-    """All passes in order. ``keep`` stores the scored rows, which four later steps read."""
-    scored = keep(spread_abstain(adaptive_penalty(score_rows(df, experts))))
+    """All passes in order. ``keep`` stores a frame that several later steps read: the row scores (two slate
+    aggregates and the rows themselves), the gated rows, the first selection and the rows after demotion."""
+    scored = keep(spread_abstain(adaptive_penalty(keep(score_rows(df, experts)))))
     first = diverse_top(scored.filter("is_publishable"), top)
     after = imbalance(scored, keep(first.select("slate", "id", "pick")))
     after = keep(after)
-    final = diverse_top(after.filter("is_publishable"), top).withColumn("fallback_used", F.lit(False))
+    final = keep(diverse_top(after.filter("is_publishable"), top).withColumn("fallback_used", F.lit(False)))   # <= top rows per slate
     empty = after.join(final.select("slate").distinct(), "slate", "left_anti")
     soft = soft_fallback(empty, top, "base_edge").drop("level").withColumn("fallback_used", F.lit(True))
     return final.unionByName(soft)

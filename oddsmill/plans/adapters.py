@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from oddsmill.functions import constants as K
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import num
-from oddsmill.session import pin_runtime
+from oddsmill.session import durable, pin_runtime
 
 # Deterministic pseudo-probabilities: column -> (a, b) of round(0.02 + 0.96 * ((id * a + key * b) % 997) / 996, 6)
 PROB_COEFS = {
@@ -58,6 +58,12 @@ class Tables:
             self._views[name] = build()
         return self._views[name]
 
+    def pin_game_log(self) -> "Tables":
+        """Store the game log once for queries that start from it many times: the raw events are then scanned a single
+        time, and every step reads the far smaller one-row-per-player-and-day table."""
+        self._views["game_log"] = durable(self._game_log())
+        return self
+
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -299,7 +299,7 @@ def training_rows(t):
     f = H.with_history(lines, logs(t)).withColumn("label", (F.col("actual") > F.col("line_score")).cast("double"))
     cols = [*[F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in FEATURES], *L.one_hot("stat_type", ONE_HOT)]
     f = f.select("id", "slate", "stat_type", "label", *cols)
-    seq = L.positions(f, ["slate", "id"])
+    seq = durable(L.positions(f, ["slate", "id"]))
     return seq, [*FEATURES, *[f"stat_type_{s}" for s in ONE_HOT]]
 
 

@@ -84,6 +84,11 @@ def slate_input(t):
                           "status": F.when(F.col("id") % 4 == 0, "per_stat").otherwise("raw")})
 
 
+def scored_rows(t):
+    """Row scores, stored because the slate passes read them more than once."""
+    return durable(P.score_rows(slate_input(t), EX))
+
+
 GATES = ROWS + ", " + q_gate("s3", "pg", "2e-2")
 
 
@@ -98,7 +103,7 @@ ADAPT = ROWS + ", sa AS (SELECT s3.*, avg(CASE WHEN set_size = 2 THEN 1e0 ELSE 0
 
 @query("pol_adaptive_penalty", f"WITH {ADAPT} SELECT id, {q_r6('ambiguous_rate')} AS ambiguous_rate, threshold, {q_r6('margin')} AS margin, is_publishable FROM ad")
 def pol_adaptive_penalty(t):
-    d = P.adaptive_penalty(P.score_rows(slate_input(t), EX))
+    d = P.adaptive_penalty(scored_rows(t))
     return d.select("id", r6("ambiguous_rate").alias("ambiguous_rate"), "threshold", r6("margin").alias("margin"), "is_publishable")
 
 
@@ -108,7 +113,7 @@ sp AS (SELECT * EXCLUDE (is_publishable), is_publishable AND spread >= 1e-1 AS i
 
 @query("pol_spread_abstain", f"WITH {SPREAD} SELECT id, {q_r6('spread')} AS spread, is_publishable, array_to_string(CASE WHEN spread < 1e-1 THEN list_append(reasons, 'low_model_discrimination') ELSE reasons END, ',') AS reasons FROM sp")
 def pol_spread_abstain(t):
-    d = P.spread_abstain(P.adaptive_penalty(P.score_rows(slate_input(t), EX)))
+    d = P.spread_abstain(P.adaptive_penalty(scored_rows(t)))
     return d.select("id", r6("spread").alias("spread"), "is_publishable", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -127,7 +132,7 @@ def q_diverse(src: str, dst: str, where: str, top: int = TOP, order: str = "edge
 
 @query("pol_diverse_top", f"WITH {SPREAD}, {q_diverse('sp', 'dt', 'true')} SELECT slate, id, stat_type, edge, rank FROM dt")
 def pol_diverse_top(t):
-    d = durable(P.spread_abstain(P.adaptive_penalty(P.score_rows(slate_input(t), EX))).select("slate", "id", "stat_type", "edge"))
+    d = durable(P.spread_abstain(P.adaptive_penalty(scored_rows(t))).select("slate", "id", "stat_type", "edge"))
     return P.diverse_top(d, TOP).select("slate", "id", "stat_type", "edge", big("rank").alias("rank"))
 
 
@@ -140,7 +145,7 @@ im AS (SELECT * EXCLUDE (is_publishable), is_publishable AND NOT (hit AND edge <
 
 @query("pol_imbalance", f"WITH {IMB} SELECT id, base_edge, edge, is_publishable FROM im")
 def pol_imbalance(t):
-    d = durable(P.spread_abstain(P.adaptive_penalty(P.score_rows(slate_input(t), EX))))
+    d = durable(P.spread_abstain(P.adaptive_penalty(scored_rows(t))))
     out = P.imbalance(d, P.diverse_top(d.filter("is_publishable"), TOP))
     return out.select("id", "base_edge", "edge", "is_publishable")
 
@@ -156,7 +161,7 @@ def q_soft(src: str, dst: str, order: str) -> str:
 
 @query("pol_soft_fallback", f"WITH {SPREAD}, np AS (SELECT * FROM sp WHERE CASE WHEN substr(slate, 10, 1) IN ('1', '4', '7') THEN NOT forecast_edge_ok ELSE NOT is_publishable END), {q_soft('np', 'sf', 'edge')} SELECT slate, id, level, edge, rank FROM sf")
 def pol_soft_fallback(t):
-    d = P.spread_abstain(P.adaptive_penalty(P.score_rows(slate_input(t), EX)))
+    d = P.spread_abstain(P.adaptive_penalty(scored_rows(t)))
     thin = F.substring("slate", 10, 1).isin("1", "4", "7")
     pool = durable(d.filter(F.when(thin, ~F.col("forecast_edge_ok")).otherwise(~F.col("is_publishable"))))
     out = P.soft_fallback(pool, TOP)

@@ -18,6 +18,12 @@ class Entry:
 
 CATALOGUE: dict[str, Entry] = {}
 
+# Families whose plans read the game log three times or more.
+READS_LOG_OFTEN = (
+    "win_hist", "win_opp", "win_pace", "fc_", "lab_resolve", "lab_update", "lab_backtest", "cal_gauss", "cal_pit", "cal_dist", "qual_preflight", "join_training",
+    "pol_publish", "pol_adaptive", "pol_spread", "pol_diverse", "pol_imbalance", "pol_soft", "pol_score", "ens_lr", "ens_gbt", "ens_oof", "ens_importance",
+)
+
 
 def query(name: str, sql: str | None = None):
     def register(plan: Callable[[Tables], DataFrame]):
@@ -31,6 +37,7 @@ def query(name: str, sql: str | None = None):
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return CATALOGUE[name].plan(Tables(spark, sf_dir))
+        tables = Tables(spark, sf_dir)
+        return CATALOGUE[name].plan(tables.pin_game_log() if name.startswith(READS_LOG_OFTEN) else tables)
 
     return run
