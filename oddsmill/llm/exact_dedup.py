@@ -24,14 +24,17 @@ def sha256_digest(body: Column) -> Column:
 
 @contextmanager
 def _disk_backed(spark: SparkSession):
-    """The state store of streams started inside is RocksDB."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    """The state store of streams started inside is RocksDB, without room set aside on disk for each small store."""
+    prefix = "spark.sql.streaming.stateStore."
+    wanted = {prefix + "providerClass": ROCKSDB, prefix + "rocksdb.allowFAllocate": "false"}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
