@@ -91,7 +91,7 @@ def deduplicate(spark: SparkSession, path: str, state_dir: str | None = None, id
     checked = durable(hits.join(holders, ["digest", "slice"]).select("digest", "entry", "keep", "n", same.alias("same"), F.when(~same, F.col("body")).alias("body")))
     strays = checked.where(~F.col("same"))
     regrouped = strays.groupBy("body").agg(F.max("entry").alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    fewer = strays.groupBy("digest").agg(F.count(F.lit(1)).alias("away"))
+    fewer = sized(durable(strays.groupBy("digest").agg(F.count(F.lit(1)).alias("away"))))  # empty, unless digests collide
     row = ["digest", "entry", "keep", "group_size"]
     parts = [
         groups.where("n = 1").select("digest", F.col("keep").alias("entry"), "keep", F.col("n").alias("group_size")),
