@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.session import durable, scratch_path
 
-from . import chat_windows, exact_dedup, near_dedup, quality, token_shards, toxicity, trie_bpe, url_filter
+from . import chat_windows, decontaminate, exact_dedup, lm_scoring, near_dedup, quality, token_shards, toxicity, trie_bpe, url_filter
 from .labelled import FOLD, FOLDS
 from .tables import held_out, keyed_text, table
 
@@ -25,6 +25,14 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.conversation_digests(chat_windows.read_windows(durable(chat_windows.format_windows(turns))))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(keyed_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(keyed_text(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed_text(table(spark, sf_dir, "documents"))
     scored = toxicity.score_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), name="score")
@@ -55,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entry.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_windows, op5_toxicity, op6_url_filter, op7_quality, op8_simhash, op9_trie_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_windows, op3_decontaminate, op4_lm_scoring, op5_toxicity, op6_url_filter, op7_quality, op8_simhash, op9_trie_bpe, op10_exact_dedup)}
 
 NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
