@@ -56,6 +56,7 @@ CALIBRATION_EXCLUDED_STATS = [
 SHRINK_MIN, SHRINK_MAX, SHRINK_ANCHOR = 0.05, 0.25, 0.5
 EXPERT_FLOOR, EXPERT_CEIL = 0.25, 0.75
 PICK_THRESHOLD = 0.60
+PUBLISH_THRESHOLD = 0.57
 CONFORMAL_PENALTY = 0.02
 MIN_EDGE, MIN_NEFF, MAX_FORECAST_EDGE, MIN_SPREAD = 5.0, 10.0, 4.0, 0.10
 TOP_SHARE, TOP_SHARE_RELAXED, MIN_RETURN_RATIO = 0.70, 0.80, 0.75

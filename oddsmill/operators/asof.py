@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 
 
 def asof_latest(probe: DataFrame, build: DataFrame, keys: list[str], probe_time: str, build_time: str,
-                values: list[str], inclusive: bool, bucket: str = "day", prefix: str = "") -> DataFrame:
-    """Left as-of join. ``inclusive`` lets a build row at exactly the probe time count."""
+                values: list[str], inclusive: bool, bucket: str = "day", prefix: str = "", tie: list[str] = ()) -> DataFrame:
+    """Left as-of join. ``inclusive`` lets a build row at exactly the probe time count. Of build rows at one time the
+    one with the largest ``tie`` columns counts (by default the largest values), near and far alike."""
     side_probe, side_build = (1, 0) if inclusive else (0, 1)
     payload = F.struct(*[F.col(v) for v in values])
     right = build.select(
         *keys, F.col(build_time).cast("timestamp_ntz").alias("_t"), F.lit(side_build).alias("_side"),
-        payload.alias("_v"), F.lit(None).cast(F_struct(probe)).alias("_p"),
+        F.struct(*[F.col(c) for c in tie or values]).alias("_tie"), payload.alias("_v"), F.lit(None).cast(F_struct(probe)).alias("_p"),
     )
     left = probe.select(
         *keys, F.col(probe_time).cast("timestamp_ntz").alias("_t"), F.lit(side_probe).alias("_side"),
-        F.lit(None).cast(right.schema["_v"].dataType).alias("_v"), F.struct(*probe.columns).alias("_p"),
+        F.lit(None).cast(right.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(right.schema["_v"].dataType).alias("_v"), F.struct(*probe.columns).alias("_p"),
     )
     both = left.unionByName(right).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_near", F.last("_v", ignorenulls=True).over(inside))
     per_bucket = both.groupBy(*keys, "_b").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_last")
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_tie"))).alias("_last")
     )
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_far"))

@@ -7,8 +7,12 @@ overlapping blocks, so a context that holds a third of all rows is still spread
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,29 +197,48 @@ def weight_candidates(experts: list[str], n_random: int) -> list[list[float]]:
     k = len(experts)
     out = [[1.0 / k] * k] + [[1.0 if i == j else 0.0 for j in range(k)] for i in range(k)]
     for c in range(n_random):
-        raw = [-math.log((((c + 1) * 7919 + (j + 1) * 104729 + (c + 1) * (j + 1) * 31) % 997 + 0.5) / 997) for j in range(k)]
+        raw = [-math.log((((c + 1) * 7919 + (j + 1) * 104729 + (c + 1) * (c + 1) * (j + 1) * 31) % 1_000_003 + 0.5) / 1_000_003) for j in range(k)]
         out.append([round(r / sum(raw), 9) for r in raw])
     return out
 
 
 def candidate_losses(df: DataFrame, experts: list[str], candidates: list[list[float]]) -> DataFrame:
-    """Summed log loss per (context, candidate): the one pass both the global and the local search read."""
-    table = F.array(*[F.array(*[num(w) for w in c]) for c in candidates])
-    # logits are taken once per row, before the fan-out; a candidate then costs a dot product
-    rows = context(df).select("ctx", "over_label", *[F.coalesce(X.logit(e, EPS), num(0)).alias(f"z_{e}") for e in experts],
-                              *[F.col(e).isNotNull().cast("double").alias(f"m_{e}") for e in experts])
-    fan = rows.select("*", F.posexplode(table).alias("cand", "w"))
-    dot = lambda tag: sum((F.col("w")[i] * F.col(f"{tag}_{e}") for i, e in enumerate(experts)), num(0))
-    fan = fan.select("ctx", "cand", "over_label", dot("z").alias("_z"), dot("m").alias("_m"))
-    p = X.clip(F.when(F.col("_m") > EPS, X.sigmoid(F.col("_z") / F.col("_m"))).otherwise(num(0.5)), EPS, 1 - EPS)
-    return fan.withColumn("_p", p).groupBy("ctx", "cand").agg(F.sum(X.log_loss("over_label", "_p", EPS)).alias("loss"), F.count(F.lit(1)).alias("n"))
-
-
-def search_weights(losses: DataFrame, experts: list[str], candidates: list[list[float]], min_rows: int, strength: float, reg: float) -> DataFrame:
-    """Best global candidate, and per context the best local one pulled toward it by n / (n + strength)."""
-    table = F.array(*[F.array(*[num(w) for w in c]) for c in candidates])
+    """Summed log loss per (context, candidate): the one pass both the global and the local search read.
+
+    Rows are not multiplied by the candidates: a task takes the product of its logits with all candidates, a slice of
+    rows at a time, and sends one sum per context and candidate."""
+    rows = context(df).select("ctx", F.col("over_label").cast("double").alias("y"), *[X.logit(e, EPS).alias(f"z_{e}") for e in experts])
+    table, slice_rows = np.array(candidates).T, 512
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        seen: Counter = Counter()
+        for b in batches:
+            ctx, y = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(zero_copy_only=False)
+            z = np.stack([b.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(experts))], axis=1)
+            there = ~np.isnan(z)
+            z = np.where(there, z, 0.0)
+            for c in set(ctx):
+                for at in np.array_split(np.flatnonzero(ctx == c), max(1, -(-int((ctx == c).sum()) // slice_rows))):
+                    mass = there[at].astype(float) @ table
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        p = np.where(mass > EPS, 1 / (1 + np.exp(-(z[at] @ table) / mass)), 0.5)
+                    p = np.clip(p, EPS, 1 - EPS)
+                    loss = -(y[at, None] * np.log(p) + (1 - y[at, None]) * np.log(1 - p)).sum(axis=0)
+                    sums[c] = sums.get(c, 0.0) + loss
+                    seen[c] += len(at)
+        for c, loss in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(loss)), pa.array(np.arange(len(loss)), pa.int32()), pa.array(loss), pa.array([seen[c]] * len(loss), pa.int64())], ["ctx", "cand", "loss", "n"])
+
+    return rows.mapInArrow(run, "ctx string, cand int, loss double, n bigint").groupBy("ctx", "cand").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+
+
+def search_weights(losses: DataFrame, experts: list[str], candidates: list[list[float]], min_rows: int, strength: float, reg: float, local: int) -> DataFrame:
+    """Best global candidate, and per context the best of the first ``local`` ones pulled toward it by n / (n + strength)."""
+    table = losses.sparkSession.createDataFrame(list(enumerate(candidates)), "cand int, w array<double>")
     overall = losses.groupBy("cand").agg((F.sum("loss") / F.sum("n")).alias("obj")).agg(F.min(F.struct("obj", "cand")).alias("m")).select("m.cand").scalar()
-    l = losses.withColumn("_g", overall).withColumn("gw", F.element_at(table, F.col("_g") + 1)).withColumn("w", F.element_at(table, F.col("cand") + 1))
+    chosen = table.filter(F.col("cand") == overall).select("w").scalar()
+    l = losses.filter(F.col("cand") < local).join(F.broadcast(table), "cand").withColumn("gw", chosen)   # a fixed number of candidates
     penalty = sum(((F.col("w")[i] - F.col("gw")[i]) * (F.col("w")[i] - F.col("gw")[i]) for i in range(len(experts))), num(0))
     best = l.withColumn("obj", F.col("loss") / F.col("n") + num(reg) * penalty).groupBy("ctx").agg(
         F.max("n").alias("n"), F.min(F.struct("obj", "cand", "w", "gw")).alias("m"))

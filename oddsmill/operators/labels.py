@@ -12,13 +12,19 @@ from .matching import outcome
 from .ordering import sorted_positions
 
 
-def candidates(df: DataFrame, days: int, lag_hours: int, limit: int) -> DataFrame:
-    """Unresolved rows old enough to have an outcome, oldest first."""
+def candidates(df: DataFrame, required: list[str], days: int = 21, lag_hours: int = 3, limit: int = 10_000) -> DataFrame:
+    """The ``limit`` oldest unresolved rows that are old enough to have an outcome and have all ``required`` columns.
+    ``remaining`` counts those that are left for later runs."""
     clock = df.agg(F.max("decision_time")).scalar()
     d = df.withColumn("_c", clock)
     t = F.col("decision_time")
     inside = (t >= F.col("_c") - F.make_dt_interval(days=F.lit(days))) & (t <= F.col("_c") - F.make_dt_interval(hours=F.lit(lag_hours)))
-    return d.filter(F.col("actual_value").isNull() & inside).drop("_c").orderBy("decision_time", "id").limit(limit)
+    complete = F.lit(True)
+    for c in required:
+        complete &= F.col(c).isNotNull()
+    open_rows = d.filter(F.col("actual_value").isNull() & inside & complete).drop("_c")
+    left = open_rows.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0))).scalar()
+    return open_rows.orderBy("decision_time", "id").limit(limit).withColumn("remaining", left)
 
 
 def resolve(lines: DataFrame, players: DataFrame, games: DataFrame, boxes: DataFrame, box_counts: DataFrame, value: Column) -> DataFrame:

@@ -57,9 +57,9 @@ def agg_grouping_sets(t):
     return g.withColumn("stat_type", F.coalesce("stat_type", F.lit("__all__")))
 
 
-@query("agg_value_counts", f"WITH {PREDICTIONS}, c AS (SELECT stat_type, count(*) AS n FROM pr WHERE id % 4 IN (0, 1) GROUP BY 1) SELECT stat_type, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 4) AS share, round(max(n) OVER () / CAST(sum(n) OVER () AS DOUBLE), 4) AS top_share FROM c")
+@query("agg_value_counts", f"WITH {PREDICTIONS}, c AS (SELECT stat_type, count(*) AS n FROM pr GROUP BY 1) SELECT stat_type, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 4) AS share, round(max(n) OVER () / CAST(sum(n) OVER () AS DOUBLE), 4) AS top_share FROM c")
 def agg_value_counts(t):
-    return AG.top_share(t.predictions().filter("id % 4 IN (0, 1)"), "stat_type")
+    return AG.top_share(t.predictions(), "stat_type")
 
 
 @query("agg_coverage", f"WITH {PREDICTIONS} SELECT {', '.join(f'round(avg(CASE WHEN {e} IS NULL THEN 0e0 ELSE 1e0 END), 4) AS {e}' for e in EX)} FROM pr")
@@ -231,13 +231,13 @@ def rep_weight_history(t):
 
 
 # --- health: one row per alert --------------------------------------------------------------------------------------
-LATEST = PREDICTIONS + ", lt AS (SELECT *, id % 4 IN (0, 1) AS pub FROM pr WHERE snapshot_id = (SELECT max(snapshot_id) FROM pr))"
+LATEST = PREDICTIONS + ", lt AS (SELECT *, greatest(p_final, 1e0 - p_final) >= 57e-2 AS pub FROM pr WHERE snapshot_id = (SELECT max(snapshot_id) FROM pr))"
 
 
 @query("rep_health", f"""WITH {TAIL}, em AS (SELECT expert, avg({q_hit('p', 'over_label')}) AS acc, avg({q_loss('over_label', 'p')}) AS ll, count(*) AS n FROM tl GROUP BY 1), {LATEST[LATEST.index('lt AS'):]},
  cx AS (SELECT *, {Q_CTX} AS ctx FROM rs), {CW[CW.index('wt AS'):]}, wm AS (SELECT expert, avg(w) AS m FROM wt GROUP BY 1),
  ps AS (SELECT max(c) / CAST(sum(c) AS DOUBLE) AS top, sum(c) AS n FROM (SELECT count(*) AS c FROM lt WHERE pub GROUP BY stat_type)),
- rc AS (SELECT snapshot_id, avg(CASE WHEN id % 4 IN (0, 1) THEN 1e0 ELSE 0e0 END) AS ratio FROM pr GROUP BY 1 ORDER BY 1 DESC LIMIT 2)
+ rc AS (SELECT snapshot_id, avg(CASE WHEN greatest(p_final, 1e0 - p_final) >= 57e-2 THEN 1e0 ELSE 0e0 END) AS ratio FROM pr GROUP BY 1 ORDER BY 1 DESC LIMIT 2)
 SELECT 'low_accuracy' AS alert, expert, {q_r6('acc')} AS value, 48e-2 AS threshold FROM em WHERE acc < 48e-2 AND n >= 50
 UNION ALL SELECT 'high_logloss', expert, {q_r6('ll')}, 75e-2 FROM em WHERE ll > 75e-2 AND n >= 50
 UNION ALL SELECT 'weight_collapse', expert, {q_r6('m / (SELECT sum(m) FROM wm)')}, 8e-1 FROM wm WHERE m / (SELECT sum(m) FROM wm) > 8e-1
@@ -248,11 +248,11 @@ def rep_health(t):
     tail = R.expert_summary(_tail(t)).filter("n >= 50")
     row = lambda df, name, expert, value, limit: df.select(F.lit(name).alias("alert"), expert.cast("string").alias("expert"), value.alias("value"), num(limit).alias("threshold"))
     none = F.lit(None)
-    p = t.predictions()
+    p = t.predictions().withColumn("publishable", F.greatest(F.col("p_final"), num(1) - F.col("p_final")) >= K.PUBLISH_THRESHOLD)
     last = p.filter(F.col("snapshot_id") == p.agg(F.max("snapshot_id")).scalar())
     cov = AG.coverage(last, EX).unpivot([], EX, "expert", "v")
-    top = last.filter("id % 4 IN (0, 1)").groupBy("stat_type").agg(F.count(F.lit(1)).alias("c")).agg((F.max("c") / F.sum("c")).alias("top"), F.sum("c").alias("n"))
-    ratio = p.groupBy("snapshot_id").agg(X.share(F.col("id") % 4 < 2).alias("r")).orderBy(F.desc("snapshot_id")).limit(2).agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    top = last.filter("publishable").groupBy("stat_type").agg(F.count(F.lit(1)).alias("c")).agg((F.max("c") / F.sum("c")).alias("top"), F.sum("c").alias("n"))
+    ratio = p.groupBy("snapshot_id").agg(X.share(F.col("publishable")).alias("r")).orderBy(F.desc("snapshot_id")).limit(2).agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
     collapse = agg_weight_summary(t).filter("collapsed")
     parts = [
         row(tail.filter(F.col("accuracy") < 0.48), "low_accuracy", F.col("expert"), F.col("accuracy"), 0.48),

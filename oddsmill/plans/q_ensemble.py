@@ -164,11 +164,10 @@ _z = [f"coalesce({e}, 5e-1)" for e in EX]
 
 
 @query("ens_gating_feats", f"""WITH {PREDICTIONS} SELECT id, {q_r6(q_sum([f'CASE WHEN {z} >= 5e-1 THEN 1e0 ELSE 0e0 END' for z in _z]) + ' / 6e0')} AS agreement, {q_r6(f"greatest({', '.join(_z)}) - least({', '.join(_z)})")} AS spread,
- {q_r6(q_sum([f'abs({z} - 5e-1)' for z in _z]) + ' / 6e0 + 1e-8')} AS mean_confidence, {q_r6('ln(1e0 + n_eff)')} AS log_n_eff FROM pr""")
+ round({q_sum([f'abs({z} - 5e-1)' for z in _z])} / 6e0, 9) AS mean_confidence, {q_r6('ln(1e0 + n_eff)')} AS log_n_eff FROM pr""")
 def ens_gating_feats(t):
-    f = E.gating_features(EX) | {}
-    f["mean_confidence"] = f["mean_confidence"] + num(1e-8)
-    return t.predictions().select("id", *[r6(v).alias(k) for k, v in f.items()])
+    f = E.gating_features(EX)
+    return t.predictions().select("id", *[F.round(v, 9 if k == "mean_confidence" else 6).alias(k) for k, v in f.items()])
 
 
 @query("ens_gating_fit")
@@ -211,19 +210,22 @@ def ens_mix_grid(t):
     return m.select(r6("a").alias("a"), r6("b").alias("b"), r6("g").alias("g"), r6("logloss").alias("logloss"))
 
 
-CANDS = E.weight_candidates(EX, 57)
+N_GLOBAL, N_LOCAL = 6_000, 750
+CANDS = E.weight_candidates(EX, N_GLOBAL - 1 - len(EX))
 _cv = ", ".join("(" + ", ".join([str(i)] + [f"{w!r}e0" if "e" not in repr(w) else repr(w) for w in c]) + ")" for i, c in enumerate(CANDS))
 _cn = ", ".join(f"v{i}" for i in range(6))
-SEARCH = RESOLVED + f""", cd(cand, {_cn}) AS (VALUES {_cv}), fx AS (SELECT {Q_CTX} AS ctx, cand, over_label, greatest(1e-6, least(1e0 - 1e-6, {q_pool(EX, [f'v{i}' for i in range(6)])})) AS p FROM rs, cd),
+_dot = lambda tag: " + ".join(f"{tag}{i} * v{i}" for i in range(6))
+SEARCH = RESOLVED + f""", cd(cand, {_cn}) AS (VALUES {_cv}), lg AS (SELECT {Q_CTX} AS ctx, over_label, {', '.join(f"CASE WHEN {e} IS NULL THEN 0e0 ELSE {q_logit(e, '1e-6')} END AS z{i}, CASE WHEN {e} IS NULL THEN 0e0 ELSE 1e0 END AS m{i}" for i, e in enumerate(EX))} FROM rs),
+fz AS (SELECT ctx, cand, over_label, {_dot('z')} AS z, {_dot('m')} AS m FROM lg, cd), fx AS (SELECT ctx, cand, over_label, greatest(1e-6, least(1e0 - 1e-6, CASE WHEN m > 1e-6 THEN 1e0 / (1e0 + exp(-z / m)) ELSE 5e-1 END)) AS p FROM fz),
 ll AS (SELECT ctx, cand, sum({q_loss('over_label', 'p', '1e-6')}) AS loss, count(*) AS n FROM fx GROUP BY 1, 2), gg AS (SELECT cand FROM ll GROUP BY cand ORDER BY sum(loss) / sum(n), cand LIMIT 1),
-ob AS (SELECT ll.ctx, ll.n, ll.cand, loss / n + 5e-2 * ({' + '.join(f'(c.v{i} - g.v{i}) * (c.v{i} - g.v{i})' for i in range(6))}) AS obj, {', '.join(f'c.v{i} AS c{i}, g.v{i} AS g{i}' for i in range(6))} FROM ll JOIN cd c ON c.cand = ll.cand, cd g WHERE g.cand = (SELECT cand FROM gg)),
+ob AS (SELECT ll.ctx, ll.n, ll.cand, loss / n + 5e-2 * ({' + '.join(f'(c.v{i} - g.v{i}) * (c.v{i} - g.v{i})' for i in range(6))}) AS obj, {', '.join(f'c.v{i} AS c{i}, g.v{i} AS g{i}' for i in range(6))} FROM ll JOIN cd c ON c.cand = ll.cand, cd g WHERE ll.cand < {N_LOCAL} AND g.cand = (SELECT cand FROM gg)),
 bs AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY obj, cand) AS rn, CASE WHEN n >= 400 THEN n / (n + 500e0) ELSE 0e0 END AS pull FROM ob)"""
 
 
 @query("ens_weight_search", f"WITH {SEARCH} SELECT ctx, n, {', '.join(f'{q_r6(f'pull * c{i} + (1e0 - pull) * g{i}')} AS w_{e}' for i, e in enumerate(EX))} FROM bs WHERE rn = 1")
 def ens_weight_search(t):
     losses = durable(E.candidate_losses(t.resolved(), EX, CANDS))   # contexts x candidates: small
-    s = E.search_weights(losses, EX, CANDS, 400, 500.0, 0.05)
+    s = E.search_weights(losses, EX, CANDS, 400, 500.0, 0.05, N_LOCAL)
     return s.select("ctx", "n", *[r6(f"w_{e}").alias(f"w_{e}") for e in EX])
 
 
@@ -303,12 +305,20 @@ def training_rows(t):
     return seq, [*FEATURES, *[f"stat_type_{s}" for s in ONE_HOT]]
 
 
-def fit_gbt(df, names, iters: int = 8):
+GBT_ROUNDS, FOLDS = 600, 5
+MIN_TRAIN, MIN_TEST = 50, 10
+
+
+def fit_gbt(df, names, rounds: int = GBT_ROUNDS, late: float = 0.15):
+    """Boosted trees of depth 3. The latest ``late`` share of the rows (by ``idx``) is not trained on but stops the rounds early."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    last = df.agg(F.max("idx")).scalar()
     va = VectorAssembler(inputCols=names, outputCol="features")
-    return va, GBTClassifier(labelCol="label", featuresCol="features", maxIter=iters, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(va.transform(df.select("label", *names)))
+    rows = va.transform(df.select("label", (F.col("idx") >= last * (1 - late)).alias("late"), *names)).select("label", "late", "features")
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, validationIndicatorCol="late", validationTol=1e-3, seed=42)
+    return va, gbt.fit(rows)
 
 
 def gbt_scores(df, va, model, out: str):
@@ -318,15 +328,24 @@ def gbt_scores(df, va, model, out: str):
     return s.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def folds_oof(seq, names, fold, k: int, scorer):
-    """Train on everything before each fold, score the fold, union: one fit per fold."""
+def folds_oof(seq, names, fold, out: str, scorer):
+    """Train on everything before each fold, score the fold, union: one fit per fold. Folds with too few rows to train
+    on or to score keep their rows, without a score, as status ``thin``."""
     rows = seq.withColumn("fold", fold)
-    start = {r["fold"]: r["i"] for r in rows.filter("fold IS NOT NULL").groupBy("fold").agg(F.min("idx").alias("i")).collect()}   # k rows
-    parts = [scorer(rows.filter(F.col("idx") < start[f]), rows.filter(F.col("fold") == f)) for f in sorted(start) if start[f] >= 100]
-    out = parts[0]
+    sizes = {r["fold"]: (r["i"], r["n"]) for r in rows.filter("fold IS NOT NULL").groupBy("fold").agg(F.min("idx").alias("i"), F.count(F.lit(1)).alias("n")).collect()}   # one row per fold
+    parts = []
+    for f, (start, n) in sorted(sizes.items()):
+        test = rows.filter(F.col("fold") == f)
+        if start < MIN_TRAIN or n < MIN_TEST:
+            parts.append(test.withColumns({out: F.lit(None).cast("double"), "status": F.lit("thin")}))
+        else:
+            parts.append(scorer(rows.filter(F.col("idx") < start), test).withColumn("status", F.lit("scored")))
+    if not parts:
+        return rows.withColumns({out: F.lit(None).cast("double"), "status": F.lit("thin")}).limit(0)
+    whole = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        whole = whole.unionByName(p)
+    return whole
 
 
 def lr_scorer(names):
@@ -351,23 +370,24 @@ def with_conformal(oof, p: str):
 @query("ens_lr_expert")
 def ens_lr_expert(t):
     seq, names = training_rows(t)
-    oof = with_conformal(folds_oof(seq, names, L.expanding_fold(5), 5, lr_scorer(names)), "p_lr")
-    return oof.select("id", "fold", "label", r6("p_lr").alias("p_lr"), "set_size")
+    oof = with_conformal(folds_oof(seq, names, L.expanding_fold(FOLDS), "p_lr", lr_scorer(names)), "p_lr")
+    return oof.select("id", "fold", "label", r6("p_lr").alias("p_lr"), "set_size", "status")
 
 
 @query("ens_gbt_expert")
 def ens_gbt_expert(t):
     seq, names = training_rows(t)
-    oof = with_conformal(folds_oof(seq, names, L.expanding_fold(3), 3, gbt_scorer(names)), "p_gbt")
-    return oof.select("id", "fold", "label", r6("p_gbt").alias("p_gbt"), "set_size")
+    oof = with_conformal(folds_oof(seq, names, L.expanding_fold(FOLDS), "p_gbt", gbt_scorer(names)), "p_gbt")
+    return oof.select("id", "fold", "label", r6("p_gbt").alias("p_gbt"), "set_size", "status")
 
 
 @query("ens_oof")
 def ens_oof(t):
-    """Prequential out-of-fold table of both trained experts."""
+    """Prequential out-of-fold table of both trained experts, with the history forecast and the context of each row."""
     seq, names = training_rows(t)
-    lr = folds_oof(seq, names, L.prequential_fold(4), 4, lr_scorer(names)).select("id", "fold", "label", r6("p_lr").alias("oof_lr"))
-    gbt = folds_oof(seq, names, L.prequential_fold(4), 4, gbt_scorer(names)).select("id", r6("p_gbt").alias("oof_gbt"))
+    lr = folds_oof(seq, names, L.prequential_fold(FOLDS), "p_lr", lr_scorer(names)).select(
+        "id", "fold", "label", "status", "stat_type", F.col("n").alias("n_eff"), r6("p_hist_over").alias("oof_forecast"), r6("p_lr").alias("oof_lr"))
+    gbt = folds_oof(seq, names, L.prequential_fold(FOLDS), "p_gbt", gbt_scorer(names)).select("id", r6("p_gbt").alias("oof_gbt"))
     return lr.join(gbt, "id")
 
 

@@ -64,10 +64,10 @@ _kb = q_case(K.STABILIZATION_GAMES, "stat_type", "10e0")
 
 @query("fc_baseline", f"""WITH {STAB}, b AS (SELECT id, stat_type, line_score, n, wins, mu_stab, hist_std, {_kb} AS k FROM st WHERE n >= 5),
 q AS (SELECT *, 1e0 - {q_cdf('((line_score - mu_stab) / greatest(hist_std, 5e-1))')} AS pn, (wins + 1e0) / (n + 2e0) AS pe, least(1e0, n / greatest(1e0, k)) AS w FROM b)
-SELECT id, {q_r6('mu_stab + 1e-8')} AS mean, {q_r6('hist_std')} AS std, {q_r6('pe * w + pn * (1e0 - w)')} AS prob_over FROM q""")
+SELECT id, round(mu_stab, 9) AS mean, {q_r6('hist_std')} AS std, {q_r6('pe * w + pn * (1e0 - w)')} AS prob_over FROM q""")
 def fc_baseline(t):
     b = FC.baseline(probes(t), logs(t))
-    return b.select("id", r6(F.col("mean") + num(1e-8)).alias("mean"), r6("std").alias("std"), r6("prob_over").alias("prob_over"))
+    return b.select("id", F.round("mean", 9).alias("mean"), r6("std").alias("std"), r6("prob_over").alias("prob_over"))
 
 
 # --- backtest set and its calibration -------------------------------------------------------------------------

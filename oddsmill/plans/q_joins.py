@@ -11,6 +11,7 @@ from oddsmill.functions import names as N
 from oddsmill.functions.exprs import big, num, r6
 from oddsmill.operators import asof as A
 from oddsmill.operators import matching as J
+from oddsmill.operators.ordering import sorted_positions
 
 from .adapters import GAME_LOG, LINE_SNAPSHOTS, LINES, MARKET, MARKET_PROBES, MEASURE_COLS, MEASURES, PREDICTIONS, TEAM_GAMES, pick_from, q_case, q_r6, q_sum, sql_list
 from .registry import query
@@ -148,25 +149,25 @@ def join_asof_log(t):
 
 
 @query("join_asof_latest", f"""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id, ts, value, event_id AS vid FROM events WHERE event_type = 'view')
-SELECT p.event_id, (SELECT max_by(b.value, b.ts) FROM b WHERE b.user_id = p.user_id AND b.ts < p.ts) AS value,
- (SELECT max_by(b.vid, b.ts) FROM b WHERE b.user_id = p.user_id AND b.ts < p.ts) AS source_event FROM p""")
+SELECT p.event_id, (SELECT max_by(b.value, (b.ts, b.vid)) FROM b WHERE b.user_id = p.user_id AND b.ts < p.ts) AS value,
+ (SELECT max_by(b.vid, (b.ts, b.vid)) FROM b WHERE b.user_id = p.user_id AND b.ts < p.ts) AS source_event FROM p""")
 def join_asof_latest(t):
     e = t.base("events")
     probe = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     build = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("bts"), "value", F.col("event_id").alias("source_event"))
-    return A.asof_latest(probe, build, ["user_id"], "ts", "bts", ["value", "source_event"], inclusive=False).select("event_id", "value", "source_event")
+    return A.asof_latest(probe, build, ["user_id"], "ts", "bts", ["value", "source_event"], inclusive=False, tie=["source_event"]).select("event_id", "value", "source_event")
 
 
 @query("join_market_fallback", f"""WITH {MARKET}, a AS (SELECT game_id, captured_on, total_points FROM mk WHERE game_id % 3 <> 0),
 b AS (SELECT game_id % 50 AS grp, captured_on, max(total_points) AS total_points FROM mk GROUP BY 1, 2),
-q AS (SELECT DISTINCT l_partkey AS game_id, l_partkey % 50 AS grp, CAST(l_shipdate AS DATE) AS captured_on FROM lineitem WHERE l_returnflag = 'R')
+q AS (SELECT DISTINCT l_partkey AS game_id, l_partkey % 50 AS grp, CAST(l_shipdate AS DATE) AS captured_on FROM lineitem)
 SELECT q.game_id, CAST(q.captured_on AS VARCHAR) AS captured_on, CASE WHEN a.game_id IS NOT NULL THEN a.total_points ELSE b.total_points END AS total_points,
  CASE WHEN a.game_id IS NOT NULL THEN 'primary' WHEN b.grp IS NOT NULL THEN 'secondary' ELSE 'none' END AS source
 FROM q LEFT JOIN a ON a.game_id = q.game_id AND a.captured_on = q.captured_on LEFT JOIN b ON b.grp = q.grp AND b.captured_on = q.captured_on""")
 def join_market_fallback(t):
     m = t.market()
     grp = (F.col("game_id") % 50).alias("grp")
-    q = t.base("lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("game_id"), F.to_date("l_shipdate").alias("captured_on")).distinct().withColumn("grp", F.col("game_id") % 50)
+    q = t.base("lineitem").select(F.col("l_partkey").alias("game_id"), F.to_date("l_shipdate").alias("captured_on")).distinct().withColumn("grp", F.col("game_id") % 50)
     a = m.filter("game_id % 3 <> 0").select("game_id", "captured_on", "total_points")
     b = m.groupBy(grp, "captured_on").agg(F.max("total_points").alias("total_points"))
     out = J.with_fallback(q, a, ["game_id", "captured_on"], b, ["grp", "captured_on"], ["total_points"])
@@ -235,8 +236,8 @@ SELECT player_name, count(*) AS lines FROM (SELECT coalesce(display_name, name,
 def join_line_players(t):
     k = F.col("c_custkey")
     p = t.base("customer").select(k.alias("o_custkey"), F.when(k % 3 == 0, F.col("c_name")).alias("display_name"), F.when(k % 2 == 0, F.concat("c_name", F.lit(" alt"))).alias("name"), (k % 10 == 0).alias("combo"))
-    l = t.base("orders").filter("o_orderkey % 5 <> 0").select("o_custkey", F.concat(F.lit("desc "), F.col("o_orderkey").cast("string")).alias("description"))
-    j = l.join(p, "o_custkey", "left").filter(~F.coalesce("combo", F.lit(False)))
+    l = t.base("orders").select("o_custkey", (F.col("o_orderkey") % 5 == 0).alias("nonstandard"), F.concat(F.lit("desc "), F.col("o_orderkey").cast("string")).alias("description"))
+    j = l.filter(~F.col("nonstandard")).join(p, "o_custkey", "left").filter(~F.coalesce("combo", F.lit(False)))
     return j.groupBy(F.coalesce("display_name", "name", "description").alias("player_name")).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -288,11 +289,10 @@ def flt_min_experts(t):
     return t.predictions().filter(X.present(K.EXPERTS) >= 6).select("id")
 
 
-@query("sort_nulls_last", f"""WITH {PREDICTIONS} SELECT id, rank_score, confidence FROM (SELECT id, CASE WHEN id % 6 <> 0 THEN p_final END AS rank_score, CASE WHEN id % 5 <> 0 THEN p_raw END AS confidence FROM pr)
- ORDER BY rank_score DESC NULLS LAST, confidence DESC NULLS LAST, id LIMIT 12000""")
+@query("sort_nulls_last", f"""WITH {PREDICTIONS} SELECT id, rank_score, confidence, CAST(row_number() OVER (ORDER BY rank_score DESC NULLS LAST, confidence DESC NULLS LAST, id) - 1 AS BIGINT) AS position FROM (SELECT id, CASE WHEN id % 6 <> 0 THEN p_final END AS rank_score, CASE WHEN id % 5 <> 0 THEN p_raw END AS confidence FROM pr)""")
 def sort_nulls_last(t):
     d = t.predictions().select("id", F.when(F.col("id") % 6 != 0, F.col("p_final")).alias("rank_score"), F.when(F.col("id") % 5 != 0, F.col("p_raw")).alias("confidence"))
-    return d.orderBy(F.desc_nulls_last("rank_score"), F.desc_nulls_last("confidence"), "id").limit(12000)
+    return sorted_positions(d, [F.desc_nulls_last("rank_score"), F.desc_nulls_last("confidence"), F.col("id")], "position")
 
 
 @query("topk_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

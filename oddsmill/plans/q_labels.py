@@ -25,11 +25,14 @@ def open_log(t):
     return t.predictions().withColumn("actual_value", F.when(F.col("id") % 4 != 0, F.col("actual_value")))
 
 
-@query("lab_candidates", f"""WITH {OPEN}, c AS (SELECT max(decision_time) AS c FROM pr) SELECT id, CAST(epoch_us(decision_time) AS BIGINT) AS decided_us FROM op, c
-WHERE av IS NULL AND decision_time >= c - INTERVAL 210 DAY AND decision_time <= c - INTERVAL 3 HOUR ORDER BY decision_time, id LIMIT 250""")
+@query("lab_candidates", f"""WITH {OPEN}, c AS (SELECT max(decision_time) AS c FROM pr), k AS (SELECT id, decision_time FROM op, c
+WHERE av IS NULL AND id % 17 <> 0 AND id % 23 <> 0 AND stat_type IS NOT NULL AND line_score IS NOT NULL AND decision_time >= c - INTERVAL 21 DAY AND decision_time <= c - INTERVAL 3 HOUR)
+SELECT id, CAST(epoch_us(decision_time) AS BIGINT) AS decided_us, CAST(greatest((SELECT count(*) FROM k) - 10000, 0) AS BIGINT) AS remaining FROM k ORDER BY decision_time, id LIMIT 10000""")
 def lab_candidates(t):
-    c = L.candidates(open_log(t).select("id", "decision_time", "actual_value"), days=210, lag_hours=3, limit=250)
-    return c.select("id", F.unix_micros(F.col("decision_time").cast("timestamp")).alias("decided_us"))
+    i = F.col("id")
+    log = open_log(t).select("id", "decision_time", "actual_value", F.when(i % 17 != 0, F.col("player_id")).alias("player_id"), F.when(i % 23 != 0, i).alias("game_id"), "stat_type", "line_score")
+    c = L.candidates(log, ["player_id", "game_id", "stat_type", "line_score"])
+    return c.select("id", F.unix_micros(F.col("decision_time").cast("timestamp")).alias("decided_us"), big("remaining").alias("remaining"))
 
 
 RES = WORLD + ", " + RESOLVE + f""",

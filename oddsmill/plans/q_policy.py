@@ -183,13 +183,13 @@ lg0 AS (SELECT id, 's' || (snapshot_id % 12) AS slate, player_id * 1000 + CAST(l
   '{{"edge":' || CASE WHEN id % 3 = 0 THEN 'null' ELSE CAST(id % 90 AS VARCHAR) END || ',"p_final":0.' || (10 + id % 80) || ',"is_publishable":' || (['"yes"', 'true', '"no"', 'null'])[CAST(id % 4 + 1 AS INT)] || ',"selection_threshold":0.5' || (id % 9) || '}}' AS details, CASE WHEN id % 6 <> 0 THEN 'over' END AS pick FROM pr),
 lg1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slate, line_id ORDER BY decision_time DESC, id DESC) AS rn FROM lg0) WHERE rn = 1),
 lg2 AS (SELECT *, greatest(0e0, least(1e0, coalesce(prob_over, TRY_CAST(details->>'$.p_final' AS DOUBLE), 5e-1))) AS p FROM lg1),
-lg3 AS (SELECT *, coalesce(confidence, {q_pick('p')}) AS conf, coalesce(rank_score, coalesce(confidence, {q_pick('p')})) AS rk, coalesce(TRY_CAST(details->>'$.selection_threshold' AS DOUBLE), 6e-1) AS th FROM lg2),
+lg3 AS (SELECT *, coalesce(confidence, {q_pick('p')}) AS conf, coalesce(rank_score, coalesce(confidence, {q_pick('p')})) AS rk, struct_pack(a := coalesce(rank_score, -1e9), b := coalesce(confidence, -1e9)) AS stored, coalesce(TRY_CAST(details->>'$.selection_threshold' AS DOUBLE), 6e-1) AS th FROM lg2),
 lg4 AS (SELECT *, round(greatest(0e0, least(100e0, coalesce(TRY_CAST(details->>'$.edge' AS DOUBLE), CASE WHEN rk <= 15e-1 THEN rk * 100 ELSE rk END))), 1) AS edge, {q_pick('p')} - th AS margin FROM lg3),
 lg5 AS (SELECT *, CASE WHEN details->>'$.is_publishable' IS NULL THEN margin >= 0 AND edge >= 5 ELSE lower(details->>'$.is_publishable') IN ('1', 'true', 'yes', 'y') END AS ok, CASE WHEN upper(pick) IN ('OVER', 'UNDER') THEN upper(pick) WHEN p >= 5e-1 THEN 'OVER' ELSE 'UNDER' END AS side FROM lg4),
 lg AS (SELECT *, ok OR NOT bool_or(ok) OVER (PARTITION BY slate) AS usable FROM lg5)"""
 
 
-@query("pol_logged_top", f"WITH {LOGGED}, {q_diverse('lg', 'lt', 'usable', TOP, 'rk')} SELECT slate, rank, id, {q_r6('p')} AS prob_over, side AS pick, edge, {q_grade('edge')} AS grade, {q_r6('margin')} AS margin, ok AS is_publishable FROM lt")
+@query("pol_logged_top", f"WITH {LOGGED}, {q_diverse('lg', 'lt', 'usable', TOP, 'stored')} SELECT slate, rank, id, {q_r6('p')} AS prob_over, side AS pick, edge, {q_grade('edge')} AS grade, {q_r6('margin')} AS margin, ok AS is_publishable FROM lt")
 def pol_logged_top(t):
     return logged_top(logged(t), TOP)
 
@@ -206,19 +206,20 @@ def logged(t):
 
 
 def logged_top(log, top: int):
-    """Latest logged prediction per line, gaps filled from the stored details, then the diverse top per slate."""
+    """Latest logged prediction per line, then the diverse top per slate by the stored rank score and the stored confidence,
+    missing ones last; gaps are filled from the stored details for what is shown, not for the order."""
     d = J.best_per_key(log, ["slate", "line_id"], ["decision_time", "id"])
     get = lambda f: CO.json_text("details", f)
     p = X.clip(F.coalesce("prob_over", get("p_final").try_cast("double"), num(0.5)), 0.0, 1.0)
     d = d.withColumn("p", p).withColumn("conf", F.coalesce("confidence", X.p_pick("p"))).withColumns({
-        "rk": F.coalesce("rank_score", "conf"), "th": F.coalesce(get("selection_threshold").try_cast("double"), num(K.PICK_THRESHOLD))})
+        "rk": F.coalesce("rank_score", "conf"), "stored": F.struct(F.coalesce("rank_score", num(-1e9)).alias("a"), F.coalesce("confidence", num(-1e9)).alias("b")), "th": F.coalesce(get("selection_threshold").try_cast("double"), num(K.PICK_THRESHOLD))})
     edge = F.coalesce(get("edge").try_cast("double"), F.when(F.col("rk") <= 1.5, F.col("rk") * 100).otherwise(F.col("rk")))
     d = d.withColumns({"edge": F.round(X.clip(edge, 0.0, 100.0), 1), "margin": X.p_pick("p") - F.col("th"), "flag": get("is_publishable")})
     d = d.withColumn("ok", F.when(F.col("flag").isNull(), (F.col("margin") >= 0) & (F.col("edge") >= K.MIN_EDGE)).otherwise(CO.flag_text("flag")))
-    d = durable(d.select("slate", "id", "stat_type", "p", "rk", "edge", "margin", "ok", CO.normalize_pick("pick", F.col("p")).alias("side")))
+    d = durable(d.select("slate", "id", "stat_type", "p", "stored", "edge", "margin", "ok", CO.normalize_pick("pick", F.col("p")).alias("side")))
     some = d.groupBy("slate").agg(F.max("ok").alias("_any"))
     pool = d.join(some, "slate").filter(F.col("ok") | ~F.col("_any"))
-    out = P.diverse_top(pool, top, "rk")
+    out = P.diverse_top(pool, top, "stored")
     return out.select("slate", big("rank").alias("rank"), "id", r6("p").alias("prob_over"), F.col("side").alias("pick"), "edge", X.grade("edge").alias("grade"), r6("margin").alias("margin"), F.col("ok").alias("is_publishable"))
 
 

@@ -50,11 +50,9 @@ def st_line_move(t):
     o = Streamed(t, "orders").base("orders")
     lines = o.select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("snapshot_id"), (F.col("o_custkey") % 200).alias("player_id"), F.col("o_orderpriority").alias("stat_type"),
                      F.floor(F.col("o_totalprice") / 1000).cast("double").alias("line_score"))
-    # one row per snapshot: pairs of consecutive snapshots in which a key appeared; leagues split odd and even months
-    prev = durable(S.previous_snapshot(snapshots(t)).select("snapshot_id", "prev_snapshot_id"))
-    by_league = lines.withColumn("stat_type", F.concat_ws("|", "stat_type", (F.col("snapshot_id") % 2).cast("string")))
-    out = ST.materialise(t.spark, ST.line_moves(by_league, prev), "append")
-    return out.select("snapshot_id", "player_id", F.split("stat_type", r"\|")[0].alias("stat_type"), "line_score", "prev_line", "movement")
+    prev = S.previous_snapshot(snapshots(t)).select("snapshot_id", "prev_snapshot_id")
+    state = ST.latest_updates(ST.materialise(t.spark, ST.line_minima(lines), "update"), ["player_id", "stat_type", "snapshot_id"])
+    return ST.line_moves(durable(state), prev).select("snapshot_id", "player_id", "stat_type", "line_score", "prev_line", "movement")
 
 
 @query("st_online_hedge")

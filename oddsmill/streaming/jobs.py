@@ -69,28 +69,17 @@ def ingest(spark: SparkSession, landing: str, schema: StructType, keys: list[str
 
 
 # --- line movement with state ----------------------------------------------------------------------------------
-def line_moves(lines: DataFrame, previous: DataFrame) -> DataFrame:
-    """Movement against the previous snapshot, keeping one (snapshot, line) per key as state.
+def line_minima(lines: DataFrame) -> DataFrame:
+    """Keyed state of the movement job: the lowest line of each key in each snapshot. A minimum does not depend on the
+    order of rows, so a snapshot may be spread over micro-batches or arrive late."""
+    return lines.groupBy("player_id", "stat_type", "snapshot_id").agg(F.min("line_score").alias("line_score"))
 
-    ``previous`` is the static snapshot table (snapshot_id, prev_snapshot_id); a key whose last sighting was in
-    an older snapshot is new.
-    """
-    keyed = lines.join(previous, "snapshot_id")
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen_snapshot, seen_line = state.get if state.exists else (None, None)
-        rows = pd.concat(list(chunks)).groupby(["snapshot_id", "prev_snapshot_id"], dropna=False)["line_score"].min().reset_index().sort_values("snapshot_id")
-        out = []
-        for snap, prev, line in rows.itertuples(index=False):
-            before = seen_line if seen_snapshot is not None and not pd.isna(prev) and int(prev) == seen_snapshot else None
-            out.append((key[0], key[1], int(snap), float(line), before))
-            seen_snapshot, seen_line = int(snap), float(line)
-        state.update((seen_snapshot, seen_line))
-        yield pd.DataFrame(out, columns=["player_id", "stat_type", "snapshot_id", "line_score", "prev_line"])
-
-    moved = keyed.groupBy("player_id", "stat_type").applyInPandasWithState(
-        step, "player_id long, stat_type string, snapshot_id long, line_score double, prev_line double", "snapshot_id long, line_score double",
-        "append", GroupStateTimeout.NoTimeout)
+def line_moves(minima: DataFrame, previous: DataFrame) -> DataFrame:
+    """Movement of every key against its line in the snapshot before (``previous``: snapshot_id, prev_snapshot_id), from
+    the stored state; a key that was not in that snapshot is new."""
+    before = minima.select("player_id", "stat_type", F.col("snapshot_id").alias("prev_snapshot_id"), F.col("line_score").alias("prev_line"))
+    moved = minima.join(previous, "snapshot_id").join(before, ["player_id", "stat_type", "prev_snapshot_id"], "left")
     return moved.withColumn("movement", movement(F.col("line_score"), F.col("prev_line")))
 
 
