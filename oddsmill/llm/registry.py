@@ -9,6 +9,7 @@ from oddsmill.session import durable, scratch_path
 
 from . import chat_windows, decontaminate, exact_dedup, lm_scoring, near_dedup, quality, token_shards, toxicity, trie_bpe, url_filter
 from .labelled import FOLD, FOLDS
+from .oracles import ORACLE_SQL
 from .tables import held_out, keyed_text, table
 
 
@@ -63,12 +64,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entry.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_windows, op3_decontaminate, op4_lm_scoring, op5_toxicity, op6_url_filter, op7_quality, op8_simhash, op9_trie_bpe, op10_exact_dedup)}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ORACLE_SQL = {
-    "op10_exact_dedup": f"""
-        WITH d AS (SELECT doc_id, sha256({NORMALISED}) AS text_sha256 FROM documents),
-        g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
-}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_windows, op3_decontaminate, op4_lm_scoring, op5_toxicity, op6_url_filter, op7_quality, op8_simhash, op9_trie_bpe, op10_exact_dedup)}

@@ -60,6 +60,19 @@ def test_decisions_reach_aliases(spark):
             assert (r.host, r.path) == split(url) and r.rule == rule_of(url)[0]
 
 
+def test_sql_twin_follows_aliases_too(spark):
+    import duckdb
+    import pandas as pd
+
+    from oddsmill.llm.oracles import URL_FILTER
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame([p[:3] for p in PAGES], columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    want = sorted(map(str, con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({URL_FILTER})").fetchall()))
+    got = url_filter.judge(spark.createDataFrame([(*p, "h", "v", "p") for p in PAGES], SHAPE)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
 def test_redirect_tables_rule_tables_and_defaults(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "", "", "", ""), (2, "http://b.org/", "", "", "", ""), (3, "http://q.org/zz", "", "", "", "")], SHAPE)
     redirects = spark.createDataFrame([("http://a.org/", "http://t.co/1"), ("http://t.co/1", "http://bad.xyz/p"), (None, "http://b.org/"), ("http://b.org/", "http://b.org/")], "source string, target string")
