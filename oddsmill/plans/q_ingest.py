@@ -288,6 +288,34 @@ def ing_market_parse(t):
     return MK.parse_events(odds_docs(t), "doc").withColumn("game_date", F.col("game_date").cast("string"))
 
 
+def competition_docs(t):
+    """The same games in the other event shape: the first entry gives spread and total itself, the second by its closing lines."""
+    g = t.team_games().filter("is_home = 1")
+    text = lambda c: c.cast("string")
+    idx = F.array_position(F.array(*[F.lit(x) for x in K.TEAMS]), F.col("team")) - 1
+    team = lambda side, code: F.struct(F.lit(side).alias("homeAway"), F.struct(code.alias("abbreviation")).alias("team"))
+    none = F.lit(None).cast("string")
+    close = lambda field, value: F.struct(F.struct(value.alias(field)).alias("close"))
+
+    def entry(i):
+        spread, total = text(F.round(F.col("fga") - F.col("fta") + num(0.5 + i), 1)), text(F.round(F.col("points") + 180, 1))
+        return F.to_json(F.struct(
+            F.struct(F.lit(f"Book {i}!").alias("displayName")).alias("provider"), (none if i else spread).alias("spread"), (none if i else total).alias("overUnder"),
+            F.struct(close("line", spread if i else none).alias("home")).alias("pointSpread"), F.struct(close("line", F.concat(F.lit("o"), total)).alias("over")).alias("total"),
+            F.struct(close("odds", F.lit(str(-110 - i))).alias("home"), close("odds", F.lit(str(100 + i))).alias("away")).alias("moneyline")))
+
+    head = F.to_json(F.struct(F.concat_ws("-", "team", F.col("game_date").cast("string")).alias("id"), F.concat(F.date_add("game_date", 1).cast("string"), F.lit("T02:30:00Z")).alias("date")))
+    sides = F.to_json(F.array(team("home", pick_from(SOURCE_CODES, idx)), team("away", pick_from(SOURCE_CODES, 29 - idx))))
+    return g.select(F.concat(F.expr("'{'"), F.substring(head, F.lit(2), F.length(head) - 2), F.lit(',"competitions":[{"competitors":'), sides, F.lit(',"odds":['), entry(0), F.lit(","), entry(1), F.lit("]}]}")).alias("doc"))
+
+
+@query("ing_market_competitions", f"""WITH {TEAM_GAMES}, b AS (SELECT unnest([0, 1]) AS i), h AS (SELECT *, round(fga - fta + 5e-1 + i, 1) AS sp FROM tg, b WHERE is_home = 1)
+SELECT team || '-' || CAST(game_date AS VARCHAR) AS event_id, 'feed' AS provider, 'book_' || i AS book, CAST(game_date AS VARCHAR) AS game_date, {q_case({**{t: t for t in K.TEAMS}, 'PHX': 'PHO'}, 'team', 'team')} AS home, {q_case({**{t: t for t in K.TEAMS}, 'PHX': 'PHO'}, 'opp', 'opp')} AS away,
+ sp AS home_spread, -sp AS away_spread, round(points + 180, 1) AS total_points, CAST(-110 - i AS INT) AS home_moneyline, CAST(100 + i AS INT) AS away_moneyline FROM h""")
+def ing_market_competitions(t):
+    return MK.parse_competitions(competition_docs(t), "doc", "feed").drop("source_payload").withColumn("game_date", F.col("game_date").cast("string"))
+
+
 @query("ing_dunk_count", f"""WITH {GAME_LOG}, s AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS dunks FROM events WHERE event_type = 'click' AND event_id % 2 = 0 AND event_id % 3 <> 0 GROUP BY 1, 2)
 SELECT player_id, CAST(game_date AS VARCHAR) AS game_date, CAST(coalesce(dunks, 0) AS BIGINT) AS dunks, fga FROM gl LEFT JOIN s ON s.user_id = gl.player_id AND s.d = gl.game_date""")
 def ing_dunk_count(t):
