@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 #: Pieces that a worker remembers at most.
 REMEMBERED = 800_000
+MARKS = ".,;:!?"
 #: Bytes of text that are worked on at a time (one whole text at least).
 SLICE_BYTES = 4_000_000
 
@@ -33,23 +34,31 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCache:
-    """Encodes texts piece by piece; ``encode`` turns a list of distinct pieces into their ids, packed as bytes."""
+    """Encodes texts piece by piece; ``encode`` turns a list of distinct pieces into their ids, packed as bytes.
+
+    Letters with one mark behind them are two words of any such pre-tokenizer, so they are put together from the two."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode, self.known = encode, {}
+        self.marks = dict(zip(MARKS, encode(list(MARKS))))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        known = self.known
         cuts = [cut(t) for t in texts]
         first = [c[0] for c in cuts]  # no space before it, so never looked up with the others
         rest = [c[1:] for c in cuts]
-        new = list(set().union(*rest).difference(self.known))
-        starts = list(set(first))
-        ids = self.encode([*starts, *(" " + p for p in new)])
+        new = set().union(*rest).difference(known)
+        marked = [p for p in new if p[-1] in MARKS and p[:-1].isalpha()]
+        new.difference_update(marked)
+        new.update(p[:-1] for p in marked if p[:-1] not in known)
+        spelled, starts = list(new), list(set(first))
+        ids = self.encode([*starts, *(" " + p for p in spelled)])
         head = dict(zip(starts, ids))
-        self.known.update(zip(new, ids[len(starts) :]))
-        look = self.known.__getitem__
+        known.update(zip(spelled, ids[len(starts) :]))
+        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        look = known.__getitem__
         return [head[f] + b"".join(map(look, r)) for f, r in zip(first, rest)]
 
 
