@@ -7,6 +7,8 @@ windows and arrays of one player are bounded by days, however many raw events a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,36 +64,62 @@ def day_features(log: DataFrame, probes: DataFrame, cutoff: str = "slate") -> Da
     }).drop("_mean", "_std", "_last", "_recent")
 
 
-def key_arrays(log: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """All (day, value, minutes) of a key in day order; at most one entry per day."""
-    return log.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("game_date", "value", "minutes"))).alias("_h"))
+DAY_BLOCK = 256
 
 
-def before(h: str, cutoff: Column) -> Column:
-    return F.filter(F.col(h), lambda e: e["game_date"] < cutoff)
+def count_above(values: np.ndarray, upto: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """How many of the first ``upto[i]`` values exceed ``lines[i]``. Whole blocks of days are sorted once and searched; only the
+    block in which a query ends is compared value by value."""
+    out = np.zeros(len(lines), np.int64)
+    for start in range(0, len(values), DAY_BLOCK):
+        block = values[start : start + DAY_BLOCK]
+        whole = upto >= start + len(block)
+        out[whole] += len(block) - np.searchsorted(np.sort(block), lines[whole], side="right")
+        part = np.flatnonzero(~whole & (upto > start))
+        if len(part):
+            inside = np.arange(len(block))[None, :] < (upto[part] - start)[:, None]
+            out[part] += ((block[None, :] > lines[part, None]) & inside).sum(axis=1)
+    return out
+
+
+def _with_days(log: DataFrame, asked: DataFrame, compute, shape: str) -> DataFrame:
+    """Meet a key's days and its questions once, in one place: both are bounded by days, and neither is copied to the other."""
+    def run(key, days: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        days = days.dropna(subset=["value"]).sort_values("game_date")
+        upto = np.searchsorted(pd.to_datetime(days["game_date"]).to_numpy(), pd.to_datetime(asked["_cut"]).to_numpy(), side="left")
+        return compute(days["value"].to_numpy(float), upto, asked)
+
+    return log.select(*KEYS, "game_date", "value").groupBy(*KEYS).cogroup(asked.groupBy(*KEYS)).applyInPandas(run, shape)
+
+
+def _shape(df: DataFrame, more: str) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", " + more
 
 
 def streaks(log: DataFrame, days: DataFrame) -> DataFrame:
     """Current run above, and not above, the own mean, per (player, measure, cut-off day)."""
-    joined = days.select(*KEYS, "_cut", "n", "hist_mean").join(key_arrays(log), KEYS, "left").withColumn("_p", F.reverse(before("_h", F.col("_cut"))["value"]))
-    ok = (F.col("n") > 0) & (F.col("hist_mean") > 0)
+    asked = days.select(*KEYS, "_cut", "n", "hist_mean")
 
-    def run(stop) -> Column:
-        # position of the first entry that ends the run, counted from the most recent
-        marks = F.transform(F.col("_p"), lambda v: stop(v))
-        first = F.array_position(marks, True)
-        return F.when(ok, F.when(first > 0, first - 1).otherwise(F.size("_p"))).otherwise(0).cast("double")
+    def compute(values: np.ndarray, upto: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
+        hot, cold = np.zeros(len(asked)), np.zeros(len(asked))
+        for i, (n, mean, end) in enumerate(zip(asked["n"].to_numpy(), asked["hist_mean"].to_numpy(float), upto)):
+            if n > 0 and mean > 0:
+                above = values[:end][::-1] > mean
+                stop = lambda marks: float(marks.argmax() if marks.any() else len(marks))
+                hot[i], cold[i] = stop(~above), stop(above)
+        return asked[[*KEYS, "_cut"]].assign(hot_streak_count=hot, cold_streak_count=cold)
 
-    return joined.select(*KEYS, "_cut", run(lambda v: v <= F.col("hist_mean")).alias("hot_streak_count"),
-                         run(lambda v: v > F.col("hist_mean")).alias("cold_streak_count"))
+    return _with_days(log, asked, compute, _shape(asked.select(*KEYS, "_cut"), "hot_streak_count double, cold_streak_count double"))
 
 
 def line_wins(log: DataFrame, lines: DataFrame, cutoff: str = "slate") -> DataFrame:
     """History values over the line, once per distinct (player, measure, day, line); no pair is ever emitted."""
-    asked = lines.select(*KEYS, F.col(cutoff).alias("_cut"), "line_score").distinct()
-    joined = asked.join(key_arrays(log), KEYS, "left")
-    over = F.filter(before("_h", F.col("_cut")), lambda e: e["value"] > F.col("line_score"))
-    return joined.select(*KEYS, "_cut", "line_score", F.when(F.col("_h").isNotNull(), F.size(over)).otherwise(0).alias("wins"))
+    asked = lines.select(*KEYS, F.col(cutoff).cast("date").alias("_cut"), "line_score").distinct()
+
+    def compute(values: np.ndarray, upto: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
+        return asked.assign(wins=count_above(values, upto, asked["line_score"].to_numpy(float)).astype("int32"))
+
+    return _with_days(log, asked, compute, _shape(asked, "wins int"))
 
 
 def league_prior(log: DataFrame, probes: DataFrame, cutoff: str = "slate") -> DataFrame:
