@@ -252,6 +252,7 @@ al AS (SELECT strategy, ord, 'scored' AS slice, '' AS name, {agg} FROM j3 GROUP
 SELECT strategy, slice, name, n, accuracy, logloss, slice = 'window' AND row_number() OVER (PARTITION BY slice, name ORDER BY accuracy DESC, ord) = 1 AS best FROM al"""
 
 
+@query("rep_pipeline_backtest", _bt_sql())
 @query("rep_backtest", _bt_sql())
 def rep_backtest(t):
     """Every strategy through shrinking and policy, measured by tier, measure, direction, decile and recent window."""
