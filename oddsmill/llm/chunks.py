@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers at most.
+#: Pieces that a worker remembers at most, unless the encoder says otherwise.
 REMEMBERED = 800_000
 MARKS = ".,;:!?"
 #: Bytes of text that are worked on at a time (one whole text at least).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 
 def cut(text: str) -> list[str]:
@@ -38,12 +38,12 @@ class PieceCache:
 
     Letters with one mark behind them are two words of any such pre-tokenizer, so they are put together from the two."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int | None = None):
+        self.encode, self.known, self.remembered = encode, {}, remembered
         self.marks = dict(zip(MARKS, encode(list(MARKS))))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (self.remembered or REMEMBERED):
             self.known.clear()
         known = self.known
         cuts = [cut(t) for t in texts]

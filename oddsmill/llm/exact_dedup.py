@@ -24,9 +24,10 @@ def sha256_digest(body: Column) -> Column:
 
 @contextmanager
 def _disk_backed(spark: SparkSession):
-    """The state store of streams started inside is RocksDB, without room set aside on disk for each small store."""
+    """The state store of streams started inside is RocksDB, without room set aside on disk for each small store, and with
+    one bound on the memory of all stores of an executor."""
     prefix = "spark.sql.streaming.stateStore."
-    wanted = {prefix + "providerClass": ROCKSDB, prefix + "rocksdb.allowFAllocate": "false"}
+    wanted = {prefix + "providerClass": ROCKSDB, prefix + "rocksdb.allowFAllocate": "false", prefix + "rocksdb.boundedMemoryUsage": "true", prefix + "rocksdb.maxMemoryUsageMB": "200"}
     old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

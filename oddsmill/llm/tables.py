@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 from oddsmill.session import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of an Arrow batch at most. Texts are long, and a batch is held twice on each side of the pipe.
+BATCH_ROWS = 1_000
 #: A side with more rows than this is never broadcast; joins then shuffle both sides.
 BROADCAST_ROWS = 50_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` if they are larger: less memory, and the same rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

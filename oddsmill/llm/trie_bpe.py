@@ -23,7 +23,7 @@ from .chunks import PieceCache, slices
 
 #: Longer words stay outside the trie, which would get a node per letter; each walks its own path.
 TRIE_LETTERS = 1_000
-#: Pairs and, apart from them, encoded words that a worker remembers at most.
+#: Pairs, encoded words and pieces of text that a worker remembers at most, of each.
 REMEMBERED = 500_000
 
 
@@ -188,7 +188,7 @@ class TrieBpe:
 @lru_cache(maxsize=2)
 def _worker(path: str) -> tuple[TrieBpe, PieceCache]:
     bpe = TrieBpe(path)
-    return bpe, PieceCache(bpe.pieces)
+    return bpe, PieceCache(bpe.pieces, REMEMBERED)
 
 
 def default_path() -> str:
