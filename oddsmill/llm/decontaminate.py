@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds bring passages and test items together, local alignment scores them."""
+"""Benchmark decontamination: n-gram seeds bring passages and test items together, local alignment scores them."""
 
 from __future__ import annotations
 
@@ -18,8 +18,6 @@ from .tables import located, without_rows
 
 #: Words of a seed, and the share of an item's words that an alignment must match.
 WORDS, SIMILARITY = 5, 0.8
-#: An n-gram in at most so many documents, or this share of all, is a seed.
-RARE_DOCUMENTS, RARE_SHARE = 100, 0.001
 #: Words of test items that are looked for in one pass over the documents; more items are taken in blocks.
 BLOCK_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -72,6 +70,15 @@ class Items:
                 for at, h in enumerate(gram_hashes(w, min(words, len(w))).tolist()):
                     self.grams[h].append((k, at))
 
+        self.parts = [np.unique(w, return_counts=True) for w in self.words]
+
+    def may_match(self, k: int, words: np.ndarray, similarity: float) -> bool:
+        """Whether ``words`` hold enough of the words of item ``k``, in any order, for an alignment to match that share of them."""
+        own, counts = self.parts[k]
+        x = np.sort(words)
+        have = np.minimum(np.searchsorted(x, own, side="right") - np.searchsorted(x, own), counts)
+        return int(have.sum()) / len(self.words[k]) >= similarity
+
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words (-1: in no item), with a gap of -1 after each text, and where each text starts."""
         sizes = [len(t) + 1 for t in texts]
@@ -105,43 +112,27 @@ def gram_hashes(numbers: np.ndarray, size: int, place: np.ndarray | None = None)
     return h
 
 
-def choose_seeds(items: Items, frequency: dict[int, int], documents: int, similarity: float = SIMILARITY) -> np.ndarray:
-    """Sorted hashes of the rare n-grams: those that few documents hold, and of each item at least the rarest half, and more
-    than the share that a copy with enough n-grams in common can lack, so one seed at least is in every such copy,
-    however often the item was copied."""
-    rare = max(RARE_DOCUMENTS, RARE_SHARE * documents)
-    own: dict[int, set[int]] = defaultdict(set)
-    for h, spots in items.grams.items():
-        for k, _ in spots:
-            own[k].add(h)
-    seeds: set[int] = set()
-    for grams in own.values():
-        n = max((len(grams) + 1) // 2, int((1 - similarity) * len(grams) + 1e-9) + 1)
-        seeds.update(sorted(grams, key=lambda h: (frequency.get(h, 0), h))[:n])
-        seeds.update(h for h in grams if frequency.get(h, 0) <= rare)
-    return np.array(sorted(seeds), np.uint64)
-
-
-def passages(items: Items, at: np.ndarray, found: np.ndarray, size: int, similarity: float) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the stretches of a text of ``size`` words that seeds point to. Seeds of an item that lie
-    near each other share one, which is never longer than three times the item."""
-    spots: dict[int, list[int]] = defaultdict(list)
+def passages(items: Items, at: np.ndarray, found: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(item, start, end) of the stretches of a text of ``size`` words that n-grams of items point to.
+
+    No start and no end of a best alignment scores below zero, so it holds at most two words more for each word of the item. A
+    stretch therefore begins three words before the n-gram for each word of the item before it, and ends likewise. Those
+    whose beginnings of the item lie near each other share one, which is never longer than four times the item."""
+    spots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for p, h in zip(at.tolist(), found.tolist()):
         for k, offset in items.grams[h]:
-            spots[k].append(p - offset)
+            spots[k].append((p - offset, p - 3 * offset, p + 3 * (len(items.words[k]) - offset)))
     out = []
-    for k, begins in spots.items():
-        length = len(items.words[k])
-        slack = int(length * (1 - similarity)) + 2
-        first = last = None
-        for b in sorted(set(begins)):
-            if first is not None and b - first <= length:
-                last = b
+    for k, places in spots.items():
+        first = None
+        for begin, low, high in sorted(places):
+            if first is not None and begin - first <= len(items.words[k]):
+                start, end = min(start, low), max(end, high)
                 continue
             if first is not None:
-                out.append((k, max(0, first - slack), min(size, last + length + slack)))
-            first = last = b
-        out.append((k, max(0, first - slack), min(size, last + length + slack)))
+                out.append((k, max(0, start), min(size, end)))
+            first, start, end = begin, low, high
+        out.append((k, max(0, start), min(size, end)))
     return out
 
 
@@ -158,65 +149,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", simil
     """Stored ``key, item_id, similarity, matched_words, item_words, score, start_word, end_word``: for each row of ``docs(key, text)``
     and each item of ``benchmark(item_id, text)`` the best alignment that matches ``similarity`` of the item's words.
 
-    Words are compared without case and signs. How many documents hold each n-gram of the items is counted over all
-    documents; every item's rarest n-grams are its seeds. A text's passages around seeds are dealt out and aligned
-    with their items. Items with fewer words than a seed are sought whole; null or empty items and texts match nothing.
+    Words are compared without case and signs. Every n-gram of an item is a seed, however many documents hold it. A text's
+    passages around seeds are dealt out and aligned with their items, unless they hold too few of an item's words for any
+    alignment to do. Items with fewer words than a seed are sought whole; null or empty items and texts match nothing.
     Rows with the same key and repeated items are reported once."""
     out = None
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).alias("key"), "text")
-    documents = docs.count()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     for rows in _blocks(benchmark):
         items = Items(rows)
         holder = docs.sparkSession.sparkContext.broadcast(items)
-        seeds = docs.sparkSession.sparkContext.broadcast(choose_seeds(items, _frequencies(docs, holder), documents, similarity))
-        found = _candidates(docs, kind, holder, seeds, similarity).repartition("key", "item", "start")
+        found = _candidates(docs, kind, holder, similarity).repartition("key", "item", "start")
         aligned = _aligned(found, kind, holder, item_kind, similarity)
         out = aligned if out is None else out.unionByName(aligned)
     best = F.max_by(F.struct("similarity", "matched_words", "item_words", "score", "start_word", "end_word"), F.struct("score", "matched_words", -F.col("start_word"))).alias("best")
     return durable(out.groupBy("key", "item_id").agg(best).select(F.col("key").alias(key), "item_id", "best.*"))
 
 
-def _frequencies(docs: DataFrame, holder) -> dict[int, int]:
-    """Documents that hold each n-gram of the block, over the whole corpus; a task sends one sum per n-gram."""
+def _candidates(docs: DataFrame, kind: str, holder, similarity: float) -> DataFrame:
+    """``key, item, start, words``: passages that hold a seed and may match, as the items' word numbers (-1: another word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = holder.value
         wanted = np.array(sorted(items.grams), np.uint64)
-        count = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for b in slices(batch, 0):
-                numbers, starts = items.numbers([plain_words(t) for t in b.column(0).to_pylist()])
-                at, h = items.hits(numbers, wanted)
-                doc = np.searchsorted(starts, at, side="right") - 1
-                pairs = np.unique(np.stack([doc, np.searchsorted(wanted, h)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                count += np.bincount(pairs[1], minlength=len(wanted))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(count[some])], ["gram", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram % 2**64: r.n for r in sums.collect()}
-
-
-def _candidates(docs: DataFrame, kind: str, holder, seeds, similarity: float) -> DataFrame:
-    """``key, item, start, words``: passages that hold a seed, as the items' word numbers (-1: another word)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = holder.value
         for batch in batches:
             for b in slices(batch, 1):
                 texts = [plain_words(t) for t in b.column(1).to_pylist()]
                 numbers, starts = items.numbers(texts)
-                at, h = items.hits(numbers, seeds.value)
+                at, h = items.hits(numbers, wanted)
                 doc = np.searchsorted(starts, at, side="right") - 1
                 order = np.argsort(doc, kind="stable")
                 at, h, doc = at[order], h[order], doc[order]
                 rows = []
                 for d in np.unique(doc).tolist():
                     low, high = np.searchsorted(doc, [d, d + 1])
-                    for k, begin, end in passages(items, at[low:high] - starts[d], h[low:high], len(texts[d]), similarity):
-                        rows.append((d, k, begin, numbers[starts[d] + begin : starts[d] + end].astype("<i8").tobytes()))
+                    for k, begin, end in passages(items, at[low:high] - starts[d], h[low:high], len(texts[d])):
+                        words = numbers[starts[d] + begin : starts[d] + end]
+                        if items.may_match(k, words, similarity):
+                            rows.append((d, k, begin, words.astype("<i8").tobytes()))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()),
                 ], ["key", "item", "start", "words"])

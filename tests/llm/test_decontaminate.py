@@ -92,6 +92,25 @@ def test_stage_drops_only_leaks(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _, _ in docs if d not in bad)
 
 
+def test_equally_edited_copies_are_found_however_many(spark):
+    """Four words of 40 are changed in all of 150 copies, so the n-grams that survive are the frequent ones; single whole copies make none of the rest look absent."""
+    item = [f"i{k}" for k in range(40)]
+    copy = [w if i not in (6, 13, 20, 27) else f"other{i}" for i, w in enumerate(item)]
+    docs = [(d, " ".join([f"a{d}", f"b{d}", *(copy if d < 150 else item if d == 150 else item[:7]), f"c{d}"])) for d in range(300)]
+    items = [(1, " ".join(item))]
+    got = dc.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.matched_words, r.start_word, r.end_word) for r in got} == {(d, 36 if d < 150 else 40, 2, 42) for d in range(151)}
+
+
+def test_a_copy_with_words_put_in_is_found_beside_stray_n_grams(spark):
+    """The copy starts in one stretch of begins and ends in another, which a stray n-gram before it shifts."""
+    item = [f"i{k}" for k in range(40)]
+    text = [*item[25:30], *["x"] * 20, *item[:20], *["y"] * 30, *item[20:]]
+    docs = [(1, " ".join(text), "")]
+    got = dc.find_leaks(spark.createDataFrame([docs[0][:2]], "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks([(1, " ".join(item))], docs) == {(1, 1)}
+
+
 def test_empty_tables(spark, odd, no_documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dc.find_leaks(odd.select("doc_id", "text"), none).count() == 0
