@@ -83,7 +83,7 @@ def count_above(values: np.ndarray, upto: np.ndarray, lines: np.ndarray) -> np.n
 
 
 def _with_days(log: DataFrame, asked: DataFrame, compute, shape: str) -> DataFrame:
-    """Meet a key's days and its questions once, in one place: both are bounded by days, and neither is copied to the other."""
+    """Meet a key's days and its questions once, in one place: days by their number, questions by days times distinct lines; neither is copied to the other."""
     def run(key, days: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         days = days.dropna(subset=["value"]).sort_values("game_date")
         upto = np.searchsorted(pd.to_datetime(days["game_date"]).to_numpy(), pd.to_datetime(asked["_cut"]).to_numpy(), side="left")
