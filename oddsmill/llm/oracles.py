@@ -45,4 +45,30 @@ EXACT_DEDUP = f"""WITH d AS (SELECT doc_id, sha256({NORMALISED}) AS text_sha256
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-ORACLE_SQL = {"op6_url_filter": URL_FILTER, "op10_exact_dedup": EXACT_DEDUP}
+_draw = lambda k: f"CAST('0x' || substr(x, {8 * k - 7}, 8) AS BIGINT)"
+_part = lambda a, b: f"array_to_string(u[{a} + 1:{b}], '')"
+FILL_IN_MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+c AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, {_draw(1)} AS h1, {_draw(2)} AS h2, {_draw(3)} AS h3, {_draw(4)} AS h4 FROM d),
+f AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS lo, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS hi,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, {_part('0', 'lo')} AS pre, {_part('lo', 'hi')} AS mid, {_part('hi', 'n')} AS suf FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(pre || mid || suf) AS restored_sha256 FROM p"""
+
+
+def q_whole(scale: int, others: str = "") -> str:
+    fine = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS w{others} FROM embeddings WHERE {fine}"
+
+
+_product = lambda a, b: f"CAST(coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT)"
+MAX_SCORE = f"""WITH v AS ({q_whole(1024)}), s AS (SELECT q.vec_id AS query_id, c.vec_id, {_product('q.w', 'c.w')} AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 10"""
+HARD_NEGATIVES = f"""WITH v AS ({q_whole(256, ', CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label')}), l AS (SELECT * FROM v WHERE label IS NOT NULL),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, {_product('q.w', 'c.w')} AS score FROM l q JOIN l c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM n WHERE rank <= 10"""
+
+ORACLE_SQL = {"op6_url_filter": URL_FILTER, "op10_exact_dedup": EXACT_DEDUP, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_max_score": MAX_SCORE, "op13_hard_negatives": HARD_NEGATIVES}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.session import durable, scratch_path
 
-from . import chat_windows, decontaminate, exact_dedup, lm_scoring, near_dedup, quality, token_shards, toxicity, trie_bpe, url_filter
+from . import chat_windows, decontaminate, exact_dedup, fill_in_middle, hard_negatives, lm_scoring, max_score, near_dedup, quality, token_shards, toxicity, trie_bpe, url_filter
 from .labelled import FOLD, FOLDS
 from .oracles import ORACLE_SQL
 from .tables import held_out, keyed_text, table
@@ -64,6 +64,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entry.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = fill_in_middle.restore_documents(fill_in_middle.transform_documents(keyed_text(table(spark, sf_dir, "documents"))))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_windows, op3_decontaminate, op4_lm_scoring, op5_toxicity, op6_url_filter, op7_quality, op8_simhash, op9_trie_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_chat_windows, op3_decontaminate, op4_lm_scoring, op5_toxicity, op6_url_filter, op7_quality, op8_simhash, op9_trie_bpe, op10_exact_dedup, op11_fill_in_middle, op12_max_score, op13_hard_negatives)}
