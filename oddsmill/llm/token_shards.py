@@ -28,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import PieceCache, slices
+from .chunks import PieceCache, gathered
 from .perfect_hash import PerfectHash
 from .tables import sized
 from .trie_bpe import default_path
 
 #: Ids after which a shard ends with its document.
 SHARD_IDS = 2_000_000
+#: Bytes of text that are encoded at a time: new pieces go to the encoder in one list.
+ENCODED_BYTES = 4_000_000
 BINARY = ["payload", "keys", "ends", "slot_doc", "mph_words", "mph_ranks", "mph_sizes", "mph_prints"]
 NUMBERS = {"part": pa.int32(), "seq": pa.int32(), "before": pa.int64(), "n_ids": pa.int64(), "n_docs": pa.int64(), "low": pa.int64(), "high": pa.int64(), "n_null": pa.int64(), "width": pa.int32()}
 SHAPE = ", ".join(f"{k} {'int' if t == pa.int32() else 'bigint'}" for k, t in NUMBERS.items()) + "".join(f", {k} binary" for k in BINARY)
@@ -81,15 +83,14 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int
         width = 2 if vocabulary <= 1 << 16 else 4
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         part, seq, before, keys, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        for batch in batches:
-            for b in slices(batch, 1):
-                for key, packed in zip(b.column(0).to_pylist(), cache.texts([t or "" for t in b.column(1).to_pylist()])):
-                    keys.append(key)
-                    ids.append(packed + end)
-                    held += len(ids[-1]) // 4
-                    if held >= shard_ids:
-                        yield pa.RecordBatch.from_pylist([shard_row(part, seq, before, keys, ids, width)], ARROW)
-                        seq, before, keys, ids, held = seq + 1, before + held, [], [], 0
+        for b in gathered(batches, 1, ENCODED_BYTES):
+            for key, packed in zip(b.column(0).to_pylist(), cache.texts([t or "" for t in b.column(1).to_pylist()])):
+                keys.append(key)
+                ids.append(packed + end)
+                held += len(ids[-1]) // 4
+                if held >= shard_ids:
+                    yield pa.RecordBatch.from_pylist([shard_row(part, seq, before, keys, ids, width)], ARROW)
+                    seq, before, keys, ids, held = seq + 1, before + held, [], [], 0
         if keys:
             yield pa.RecordBatch.from_pylist([shard_row(part, seq, before, keys, ids, width)], ARROW)
 
