@@ -10,7 +10,11 @@ from oddsmill.functions import constants as K
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import num, r6
 
+from oddsmill.session import durable
+
+from .asof import asof_latest
 from .distribution import bucket_of, exact_quantiles, prefix_sums, value_counts
+from .ordering import group_positions
 
 GLOBAL = "__global__"
 
@@ -209,8 +213,13 @@ def ks_uniform(df: DataFrame, keys: list[str], u: str) -> DataFrame:
 
 
 # --- isotonic ----------------------------------------------------------------------------------------------
+#: Blocks that are pooled in one group at most.
+POOLED = 4096
+
+
 def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pool adjacent violators of already ordered blocks (w, s, lo, hi)."""
+    """Pool adjacent violators of ordered blocks (w, s, lo, hi). Pooling what is pooled already, piece by piece, gives the
+    same blocks as pooling all at once."""
     out: list[list[float]] = []
     for w, s, lo, hi in pdf.sort_values("lo")[["w", "s", "lo", "hi"]].itertuples(index=False):
         out.append([w, s, lo, hi])
@@ -222,69 +231,111 @@ def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["w", "s", "lo", "hi"])
 
 
-def fit_isotonic(df: DataFrame, p: str, y: str, min_rows: int = 100, slices: int = 64) -> DataFrame:
-    """Monotone map per measure and overall, as blocks (scope, lo, hi, value).
+def pooled_blocks(cells: DataFrame, window: int = POOLED) -> DataFrame:
+    """Stored blocks (scope, w, s, lo, hi) of ``cells`` of the same shape, monotone in s / w.
+
+    A round numbers the blocks of each scope in order, and pools windows of ``window`` neighbours. Windows are shifted by half from
+    round to round, so violators on two sides of a seam meet in the next. It is over when every scope fits one window, or
+    when two rounds in a row, whose seams differ, found nothing to pool."""
+    def pool(key, pdf):
+        return _pool(pdf).assign(scope=key[0])[["scope", "w", "s", "lo", "hi"]]
+
+    blocks, quiet, shift, count = cells, 0, 0, None
+    while True:
+        placed = group_positions(blocks, ["scope"], ["lo"]).withColumn("_at", F.floor((F.col("pos") + shift) / window))
+        whole = (placed.agg(F.max("_at")).first()[0] or 0) == 0
+        blocks = durable(placed.groupBy("scope", "_at").applyInPandas(pool, "scope string, w double, s double, lo double, hi double"))
+        left = blocks.count()
+        quiet = quiet + 1 if left == count else 0
+        if whole or quiet == 2:
+            return blocks
+        count, shift = left, window // 2 - shift
 
-    Pooling is exact in any order, so it runs first on counts per (scope, probability) inside narrow slices of
-    [0, 1] in parallel, and then once per scope over the few blocks that survive. Raise ``slices`` when a slice
-    holds more distinct probabilities than one task should.
-    """
+
+def fit_isotonic(df: DataFrame, p: str, y: str, min_rows: int = 100, window: int = POOLED) -> DataFrame:
+    """Monotone map per measure and overall, as stored blocks (scope, n, lo, hi, value, next_lo, next_value).
+
+    Starts from counts per (scope, probability). A map is flat inside a block and linear from one to the next."""
     rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull() & ~F.col("stat_type").isin(*K.CALIBRATION_EXCLUDED_STATS))
     cells = scoped(rows).groupBy("scope", F.col(p).alias("lo")).agg(
         F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(y).cast("double")).alias("s"))
-    cells = cells.select("scope", (F.floor(F.col("lo") * slices)).cast("bigint").alias("slice"), "w", "s", "lo", F.col("lo").alias("hi"))
-
-    def first(key, pdf):
-        return _pool(pdf).assign(scope=key[0])[["scope", "w", "s", "lo", "hi"]]
-
-    local = cells.groupBy("scope", "slice").applyInPandas(first, "scope string, w double, s double, lo double, hi double")
-    blocks = local.groupBy("scope").applyInPandas(first, "scope string, w double, s double, lo double, hi double")
+    blocks = pooled_blocks(cells.select("scope", "w", "s", "lo", F.col("lo").alias("hi")), window)
     size = blocks.groupBy("scope").agg(F.sum("w").alias("n"), F.sum("s").alias("_ones"))
     keep = size.filter((F.col("n") >= min_rows) & ((F.col("scope") == GLOBAL) | ((F.col("_ones") > 0) & (F.col("_ones") < F.col("n")))))
-    return blocks.join(keep.select("scope", F.col("n").cast("bigint").alias("n")), "scope").select(
-        "scope", "n", "lo", "hi", X.clip(F.col("s") / F.col("w"), 0.01, 0.99).alias("value"))
-
-
-def isotonic_arrays(blocks: DataFrame) -> DataFrame:
-    """Interpolation points per scope, with the shape checks that send a degenerate map to the fallback."""
-    ends = blocks.withColumn("e", F.explode(F.array(F.struct(F.col("lo").alias("x"), F.lit(0).alias("o"), F.col("value").alias("y")),
-                                                    F.struct(F.col("hi").alias("x"), F.lit(1).alias("o"), F.col("value").alias("y")))))
-    arr = ends.groupBy("scope").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.collect_list("e"))).alias("_k")).select(
-        "scope", "n", F.col("_k")["x"].alias("kx"), F.col("_k")["y"].alias("ky"))
-    at = lambda v: interpolate(num(v), left=None, right=None)
-    probe = F.array(*[at(0.35 + 0.05 * i) for i in range(7)])
-    shift = F.greatest(*[F.abs(at(v) - num(v)) for v in (0.45, 0.50, 0.55)])
-    arr = arr.withColumns({"unique_outputs": F.size(F.array_distinct(F.transform(probe, lambda v: F.round(v, 6)))),
-                           "output_range": F.array_max(probe) - F.array_min(probe), "max_midband_shift": shift})
+    placed = group_positions(blocks.join(keep.select("scope", F.col("n").cast("bigint").alias("n")), "scope"), ["scope"], ["lo"])
+    placed = placed.select("scope", "n", "pos", "lo", "hi", X.clip(F.col("s") / F.col("w"), 0.01, 0.99).alias("value"))
+    after = placed.select("scope", (F.col("pos") - 1).alias("pos"), F.col("lo").alias("next_lo"), F.col("value").alias("next_value"))
+    return durable(placed.join(after, ["scope", "pos"], "left").drop("pos"))
+
+
+def isotonic_at(probes: DataFrame, blocks: DataFrame, x: str, name: str) -> DataFrame:
+    """``probes(scope, x, ...)`` with the value of its scope's map (null without one): the last block that begins at or below
+    ``x`` is looked up as of it, so no row carries a map and a map may have any number of blocks."""
+    steps = blocks.select("scope", "lo", "hi", "value", "next_lo", "next_value")
+    near = asof_latest(probes, steps, ["scope"], x, "lo", ["hi", "value", "next_lo", "next_value"], inclusive=True, prefix="_", tie=["hi"], kind="double")
+    low = blocks.groupBy("scope").agg(F.min("value").alias("_low"))
+    rise = (F.col(x) - F.col("_hi")) / (F.col("_next_lo") - F.col("_hi")) * (F.col("_next_value") - F.col("_value"))
+    inner = F.when((F.col(x) <= F.col("_hi")) | F.col("_next_lo").isNull(), F.col("_value")).otherwise(F.col("_value") + rise)
+    out = near.join(low, "scope", "left").withColumn(name, F.when(F.col(x).isNotNull(), F.coalesce(inner, "_low")))
+    return out.drop("_hi", "_value", "_next_lo", "_next_value", "_low")
+
+
+#: Where a map's shape is looked at; the three in the middle must not move far.
+SHAPE_AT, MIDBAND = [round(0.35 + 0.05 * i, 2) for i in range(7)], (0.45, 0.50, 0.55)
+
+
+def isotonic_shapes(blocks: DataFrame) -> DataFrame:
+    """One row per scope: n, knots, and the shape checks that send a degenerate map to the fallback."""
+    scopes = blocks.groupBy("scope").agg(F.max("n").alias("n"), F.sum(F.lit(1) + (F.col("lo") < F.col("hi")).cast("int")).alias("knots"))
+    probes = scopes.select("scope", F.explode(F.array(*map(num, SHAPE_AT))).alias("_x"))
+    seen = isotonic_at(probes, blocks, "_x", "_v").groupBy("scope").agg(
+        F.count_distinct(F.round("_v", 6)).cast("int").alias("unique_outputs"), (F.max("_v") - F.min("_v")).alias("output_range"),
+        F.max(F.when(F.col("_x").isin(*MIDBAND), F.abs(F.col("_v") - F.col("_x")))).alias("max_midband_shift"))
     reason = (
         F.when(F.col("unique_outputs") < 4, "degenerate_low_unique_outputs").when(F.col("output_range") < 0.04, "degenerate_low_output_range")
         .when(F.col("max_midband_shift") > 0.12, "degenerate_excessive_midband_shift"))
-    return arr.withColumn("reason", F.when(F.col("scope") != GLOBAL, reason))
+    return scopes.join(seen, "scope").withColumn("reason", F.when(F.col("scope") != GLOBAL, reason))
 
 
-def apply_isotonic(df: DataFrame, maps: DataFrame, p: str) -> DataFrame:
+def apply_isotonic(df: DataFrame, blocks: DataFrame, p: str) -> DataFrame:
     """Calibrated probability with its source and mode."""
-    own = maps.filter(F.col("scope") != GLOBAL).select(F.col("scope").alias("stat_type"), F.struct("kx", "ky").alias("_own"), F.col("reason").alias("_why"))
-    shared = maps.filter(F.col("scope") == GLOBAL).select(F.struct("kx", "ky")).scalar()
-    j = df.join(own, "stat_type", "left").withColumn("_all", shared)
-    good = F.col("_own").isNotNull() & F.col("_why").isNull()
-    j = j.withColumn("_use", F.when(good, F.col("_own")).otherwise(F.col("_all"))).withColumns({"_kx": F.col("_use.kx"), "_ky": F.col("_use.ky")})
-    value = F.when(F.col("_kx").isNull(), F.col(p)).otherwise(X.clip(interpolate(F.col(p), "_kx", "_ky", None, None), 0.01, 0.99))
-    source = F.when(good, "per_stat").when(F.col("_all").isNotNull(), "global").otherwise("identity")
-    mode = (F.when(good, "active").when(F.col("_why").isNotNull(), F.when(F.col("_all").isNotNull(), "degenerate_fallback").otherwise("degenerate_identity"))
-            .when(F.col("_all").isNotNull(), "fallback_global").otherwise("none"))
-    return j.withColumns({"p_calibrated": value, "calibrator_source": source, "calibrator_mode": mode}).drop("_own", "_all", "_use", "_why", "_kx", "_ky")
+    shapes = durable(isotonic_shapes(blocks))   # one row per scope
+    own = shapes.filter(F.col("scope") != GLOBAL).select(F.col("scope").alias("stat_type"), F.lit(True).alias("_own"), F.col("reason").alias("_why"))
+    shared = F.lit(not shapes.filter(F.col("scope") == GLOBAL).isEmpty())
+    good = F.coalesce("_own", F.lit(False)) & F.col("_why").isNull()
+    j = df.join(own, "stat_type", "left").withColumn("scope", F.when(good, F.col("stat_type")).when(shared, GLOBAL))
+    j = isotonic_at(j, blocks, p, "_v")
+    value = F.coalesce(X.clip(F.col("_v"), 0.01, 0.99), F.col(p))
+    source = F.when(good, "per_stat").when(shared, "global").otherwise("identity")
+    mode = (F.when(good, "active").when(F.col("_why").isNotNull(), F.when(shared, "degenerate_fallback").otherwise("degenerate_identity"))
+            .when(shared, "fallback_global").otherwise("none"))
+    return j.withColumns({"p_calibrated": value, "calibrator_source": source, "calibrator_mode": mode}).drop("scope", "_own", "_why", "_v")
 
 
 # --- Platt -------------------------------------------------------------------------------------------------
-def fit_platt(df: DataFrame, p: str, y: str):
-    """Logistic regression on the logit, practically unpenalised. Returns (slope, intercept)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(X.logit(p, 1e-6).alias("z"), F.col(y).cast("double").alias("label"))
-    model = LogisticRegression(maxIter=100, regParam=0.0, standardization=False).fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(rows))
-    return float(model.coefficients[0]), float(model.intercept)
+#: Determinant of the curvature from which on a step is taken.
+PLATT_CURVATURE = 1e-9
+
+
+def fit_platt(df: DataFrame, p: str, y: str, rounds: int = 25) -> tuple[float, float]:
+    """Unpenalised logistic regression on the logit by Newton's steps. Returns (slope, intercept).
+
+    Each round is one pass that sums gradient and curvature, five numbers. Labels that can't be told apart from a
+    line without end (one class, no rows, one logit) leave the steps where the curvature vanishes."""
+    rows = durable(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(X.logit(p, 1e-6).alias("z"), F.col(y).cast("double").alias("y")))
+    a, b, z = 1.0, 0.0, F.col("z")
+    for _ in range(rounds):
+        m = X.sigmoid(num(a) * z + num(b))
+        w, off = m * (num(1) - m), F.col("y") - m
+        g0, g1, h0, h1, h2 = rows.agg(*[F.coalesce(F.sum(e), num(0)) for e in (off, off * z, w, w * z, w * z * z)]).first()
+        det = h0 * h2 - h1 * h1
+        if det <= PLATT_CURVATURE:
+            break
+        da, db = (h0 * g1 - h1 * g0) / det, (h2 * g0 - h1 * g1) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < 1e-11:
+            break
+    return a, b
 
 
 def platt(p: Column, a: float, b: float) -> Column:

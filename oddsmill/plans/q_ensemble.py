@@ -90,32 +90,77 @@ def cal_temperature(t):
     return C.temperature_curve(t.resolved()).withColumn("nll", r6("nll"))
 
 
-# --- isotonic, Platt (library fits: rows-only) ------------------------------------------------------------------
-@query("cal_isotonic_fit")
+# --- isotonic --------------------------------------------------------------------------------------------------
+def sql_isotonic(rows: str) -> str:
+    """Value of each cell by the min-max formula: the largest over all starts of the smallest mean over all ends."""
+    return f"""i0 AS (SELECT s.scope, p AS x, count(*) AS w, sum(y) AS s FROM (SELECT stat_type AS scope, p, y FROM ({rows}) UNION ALL SELECT '__global__', p, y FROM ({rows})) s GROUP BY 1, 2),
+i1 AS (SELECT scope, x, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(s) OVER o AS cs, w, s, sum(w) OVER (PARTITION BY scope) AS n, sum(s) OVER (PARTITION BY scope) AS ones FROM i0 WINDOW o AS (PARTITION BY scope ORDER BY x)),
+i2 AS (SELECT * FROM i1 WHERE n >= 100 AND (scope = '__global__' OR (ones > 0 AND ones < n))),
+i3 AS (SELECT a.scope, a.i AS j, b.i, min((b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE)) OVER (PARTITION BY a.scope, a.i ORDER BY b.i DESC) AS v FROM i2 a JOIN i2 b ON b.scope = a.scope AND b.i >= a.i),
+i4 AS (SELECT scope, i, max(v) AS v FROM i3 GROUP BY 1, 2), i5 AS (SELECT scope, i2.i, x, n, greatest(1e-2, least(99e-2, v)) AS v, v AS raw FROM i4 JOIN i2 USING (scope, i)),
+iv AS (SELECT *, lead(x) OVER o AS nx, lead(v) OVER o AS nv, first_value(v) OVER o AS v0 FROM i5 WINDOW o AS (PARTITION BY scope ORDER BY x)),
+ib AS (SELECT scope, raw, max(n) AS n, CASE WHEN min(x) < max(x) THEN 2 ELSE 1 END AS ends FROM i5 GROUP BY 1, 2),
+iz AS (SELECT scope, CAST(max(n) AS BIGINT) AS n, CAST(sum(ends) AS BIGINT) AS knots FROM ib GROUP BY 1), iq(u) AS (VALUES {', '.join(f'({v}e0)' for v in C.SHAPE_AT)}),
+ip AS (SELECT z.scope, u, {q_isotonic('u')} AS v FROM (SELECT iz.scope, u FROM iz, iq) z ASOF LEFT JOIN iv ON iv.scope = z.scope AND z.u >= iv.x),
+ir AS (SELECT scope, CAST(count(DISTINCT round(v, 6)) AS INTEGER) AS unique_outputs, max(v) - min(v) AS output_range, max(CASE WHEN u IN ({', '.join(f'{v}e0' for v in C.MIDBAND)}) THEN abs(v - u) END) AS max_midband_shift FROM ip GROUP BY 1),
+im AS (SELECT iz.*, unique_outputs, output_range, max_midband_shift, CASE WHEN scope = '__global__' THEN NULL WHEN unique_outputs < 4 THEN 'degenerate_low_unique_outputs' WHEN output_range < 4e-2 THEN 'degenerate_low_output_range' WHEN max_midband_shift > 12e-2 THEN 'degenerate_excessive_midband_shift' END AS reason FROM iz JOIN ir USING (scope))"""
+
+
+def q_isotonic(u: str, scope: str = "z.scope") -> str:
+    """The map at ``u``; ``iv`` is joined as of it."""
+    return f"CASE WHEN iv.x IS NULL THEN (SELECT min(v) FROM iv k WHERE k.scope = {scope}) WHEN iv.nx IS NULL THEN iv.v ELSE iv.v + ({u} - iv.x) / (iv.nx - iv.x) * (iv.nv - iv.v) END"
+
+
+_barred = "stat_type NOT IN (" + ", ".join(f"'{s}'" for s in K.CALIBRATION_EXCLUDED_STATS) + ")"
+ISO = f"{RESOLVED}, {sql_isotonic(f'SELECT stat_type, p_final AS p, over_label AS y FROM rs WHERE p_final IS NOT NULL AND over_label IS NOT NULL AND {_barred}')}"
+
+
+@query("cal_isotonic_fit", f"WITH {ISO} SELECT scope, n, knots, unique_outputs, {q_r6('output_range')} AS output_range, {q_r6('max_midband_shift')} AS max_midband_shift, reason FROM im")
 def cal_isotonic_fit(t):
-    maps = C.isotonic_arrays(C.fit_isotonic(t.resolved(), "p_final", "over_label"))
-    return maps.select("scope", "n", F.size("kx").alias("knots"), "unique_outputs", r6("output_range").alias("output_range"), r6("max_midband_shift").alias("max_midband_shift"), "reason")
+    shapes = C.isotonic_shapes(C.fit_isotonic(t.resolved(), "p_final", "over_label"))
+    return shapes.select("scope", "n", "knots", "unique_outputs", r6("output_range").alias("output_range"), r6("max_midband_shift").alias("max_midband_shift"), "reason")
 
 
-@query("cal_isotonic_apply")
+@query("cal_isotonic_apply", f"""WITH {ISO}, z AS (SELECT id, p_final, own.scope IS NOT NULL AND own.reason IS NULL AS good, own.reason AS why, CASE WHEN own.scope IS NOT NULL AND own.reason IS NULL THEN stat_type ELSE (SELECT scope FROM im WHERE scope = '__global__') END AS scope FROM pr LEFT JOIN im own ON own.scope = pr.stat_type)
+SELECT id, {q_r6(f"coalesce(greatest(1e-2, least(99e-2, {q_isotonic('z.p_final')})), z.p_final)")} AS p_calibrated, CASE WHEN good THEN 'per_stat' WHEN z.scope IS NOT NULL THEN 'global' ELSE 'identity' END AS calibrator_source,
+ CASE WHEN good THEN 'active' WHEN why IS NOT NULL THEN CASE WHEN z.scope IS NOT NULL THEN 'degenerate_fallback' ELSE 'degenerate_identity' END WHEN z.scope IS NOT NULL THEN 'fallback_global' ELSE 'none' END AS calibrator_mode
+FROM z ASOF LEFT JOIN iv ON iv.scope = z.scope AND z.p_final >= iv.x""")
 def cal_isotonic_apply(t):
-    maps = C.isotonic_arrays(C.fit_isotonic(t.resolved(), "p_final", "over_label"))
-    return C.apply_isotonic(t.predictions().select("id", "stat_type", "p_final"), maps, "p_final").select("id", r6("p_calibrated").alias("p_calibrated"), "calibrator_source", "calibrator_mode")
+    blocks = C.fit_isotonic(t.resolved(), "p_final", "over_label")
+    return C.apply_isotonic(t.predictions().select("id", "stat_type", "p_final"), blocks, "p_final").select("id", r6("p_calibrated").alias("p_calibrated"), "calibrator_source", "calibrator_mode")
 
 
-@query("cal_platt")
+# --- Platt -----------------------------------------------------------------------------------------------------
+def sql_platt(rows: str, p: str) -> str:
+    """Newton's steps as a recursion: ``nw`` ends with the slope and intercept."""
+    m = q_sig("a * z + b")
+    return f"""nz AS (SELECT {q_logit(p)} AS z, CAST(over_label AS DOUBLE) AS y FROM {rows} WHERE {p} IS NOT NULL AND over_label IS NOT NULL),
+nt(k, a, b) AS (SELECT 0, 1e0, 0e0 UNION ALL SELECT k + 1, a + CASE WHEN h0 * h2 - h1 * h1 > {C.PLATT_CURVATURE} THEN (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) ELSE 0e0 END, b + CASE WHEN h0 * h2 - h1 * h1 > {C.PLATT_CURVATURE} THEN (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) ELSE 0e0 END
+ FROM (SELECT k, a, b, sum(y - m) AS g0, sum((y - m) * z) AS g1, sum(m * (1e0 - m)) AS h0, sum(m * (1e0 - m) * z) AS h1, sum(m * (1e0 - m) * z * z) AS h2 FROM (SELECT k, a, b, z, y, {m} AS m FROM nt, nz WHERE k < 25) GROUP BY k, a, b)),
+nw AS (SELECT a, b FROM nt WHERE k = 25)"""
+
+
+def q_platt(p: str) -> str:
+    return f"greatest(1e-2, least(99e-2, {q_sig(f'(SELECT a FROM nw) * {q_logit(p)} + (SELECT b FROM nw)')}))"
+
+
+@query("cal_platt", f"WITH RECURSIVE {RESOLVED}, {sql_platt('rs', 'p_lr')} SELECT id, {q_r6(q_platt('p_lr'))} AS p_platt FROM pr")
 def cal_platt(t):
     a, b = C.fit_platt(t.resolved(), "p_lr", "over_label")
     return t.predictions().select("id", r6(C.platt(F.col("p_lr"), a, b)).alias("p_platt"))
 
 
-@query("cal_best")
+_lr = f"SELECT 'all' AS stat_type, p_lr AS p, over_label AS y FROM rs WHERE p_lr IS NOT NULL AND over_label IS NOT NULL"
+
+
+@query("cal_best", f"""WITH RECURSIVE {RESOLVED}, {sql_isotonic(_lr)}, {sql_platt('rs', 'p_lr')}, z AS (SELECT p_lr, over_label, CASE WHEN own.scope IS NOT NULL AND own.reason IS NULL THEN own.scope ELSE (SELECT scope FROM im WHERE scope = '__global__') END AS scope FROM rs LEFT JOIN im own ON own.scope = 'all'),
+e AS (SELECT power(coalesce(greatest(1e-2, least(99e-2, {q_isotonic('z.p_lr')})), z.p_lr) - over_label, 2) AS iso, power({q_platt('z.p_lr')} - over_label, 2) AS pl FROM z ASOF LEFT JOIN iv ON iv.scope = z.scope AND z.p_lr >= iv.x)
+SELECT count(*) AS n, {q_r6('avg(iso)')} AS brier_isotonic, {q_r6('avg(pl)')} AS brier_platt, CASE WHEN avg(iso) < avg(pl) - 5e-3 THEN 'isotonic' ELSE 'platt' END AS chosen FROM e""")
 def cal_best(t):
     """Brier score of both calibrators; the monotone map must win by 0.005."""
     rows = t.resolved().select("id", F.lit("all").alias("stat_type"), "p_lr", "over_label")
     a, b = C.fit_platt(rows, "p_lr", "over_label")
-    maps = C.isotonic_arrays(C.fit_isotonic(rows, "p_lr", "over_label"))
-    both = C.apply_isotonic(rows, maps, "p_lr").withColumn("p_platt", C.platt(F.col("p_lr"), a, b))
+    both = C.apply_isotonic(rows, C.fit_isotonic(rows, "p_lr", "over_label"), "p_lr").withColumn("p_platt", C.platt(F.col("p_lr"), a, b))
     err = lambda c: F.avg(F.pow(F.col(c) - F.col("over_label"), num(2)))
     out = both.agg(F.count(F.lit(1)).alias("n"), err("p_calibrated").alias("brier_isotonic"), err("p_platt").alias("brier_platt"))
     return out.select("n", r6("brier_isotonic").alias("brier_isotonic"), r6("brier_platt").alias("brier_platt"),
