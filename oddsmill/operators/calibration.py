@@ -48,16 +48,72 @@ def line_bucket(line: Column, e1: Column, e2: Column) -> Column:
     return F.when(line <= e1, 0).when((e1 != e2) & (line <= e2), 1).otherwise(F.when(e1 == e2, 1).otherwise(2))
 
 
+def priors_as_of(df: DataFrame, cuts: DataFrame, day: str = "slate") -> DataFrame:
+    """``fit_context_priors`` cut at any day: one row per (stat_type, day) of ``cuts``, fitted on strictly earlier days of ``df`` only.
+
+    Days are kept as counts per (measure, day, line), which add up: over rates are prefix sums of them, and the terciles
+    at a cut are read from the summed counts per line. The work after the first aggregate is measures x distinct
+    lines x days, however many rows a day has. A cut without earlier rows has null priors."""
+    floor, number = K.MIN_BUCKET_ROWS, F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    cells = df.groupBy("stat_type", day, "line_score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("over_label").cast("bigint")).alias("over"))
+    cells = durable(cells)
+    cuts = cuts.select("stat_type", day).distinct()
+    marks = cells.select("stat_type", "line_score").distinct().join(cuts, "stat_type").withColumn("_cut", F.lit(True))
+    before = Window.partitionBy("stat_type", "line_score").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)   # a row per day
+    state = cells.unionByName(marks, allowMissingColumns=True).withColumn("_d", number)
+    state = state.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "over")}).filter(F.col("_cut") & (F.col("n") > 0))
+    group = Window.partitionBy("stat_type", day)
+    lines = durable(state.select("stat_type", day, "line_score", "n", "over").withColumns({
+        "_upto": F.sum("n").over(group.orderBy("line_score").rowsBetween(Window.unboundedPreceding, 0)),   # null lines sort first
+        "_none": F.sum(F.when(F.col("line_score").isNull(), F.col("n")).otherwise(0)).over(group), "_all": F.sum("n").over(group)}))
+    low, high, nl = F.col("_upto") - F.col("n") - F.col("_none"), F.col("_upto") - F.col("_none"), F.col("_all") - F.col("_none")
+
+    def edge(level: float) -> Column:
+        h = (nl - 1) * num(level)
+        at = lambda pos: F.max(F.when(F.col("line_score").isNotNull() & (low <= pos) & (pos < high), F.col("line_score")))
+        first, last = at(F.floor(h)), at(F.ceil(h))
+        return F.round(first + (last - first) * F.max(h - F.floor(h)), 2)
+
+    stat = lines.groupBy("stat_type", day).agg(
+        F.sum("n").alias("n"), F.max(nl).alias("_nl"), (F.sum("over") / F.sum("n")).alias("_m"), edge(1 / 3).alias("e1"), edge(2 / 3).alias("e2"))
+    every = lines.groupBy(day).agg(F.round(F.sum("over") / F.sum("n"), 4).alias("global_prior"))
+    base = cuts.join(stat, ["stat_type", day], "left").join(every, day, "left").withColumns({
+        "stat_prior": F.when(F.col("n") >= floor, F.round("_m", 4)).otherwise(F.col("global_prior")), "has_edges": F.coalesce(F.col("_nl") >= 3 * floor, F.lit(False))})
+    base = durable(base)
+    edges = base.filter("has_edges").select("stat_type", day, "e1", "e2")
+    b = lines.select("stat_type", day, "line_score", "n", "over").join(edges, ["stat_type", day]).groupBy(
+        "stat_type", day, line_bucket(F.col("line_score"), F.col("e1"), F.col("e2")).alias("_b")).agg(F.sum("n").alias("_c"), F.sum("over").alias("_o"))
+    rates = b.filter(F.col("_c") >= floor).groupBy("stat_type", day).agg(
+        *[F.max(F.when(F.col("_b") == i, F.round(F.col("_o") / F.col("_c"), 4))).alias(f"_b{i}") for i in range(3)])
+    out = base.join(rates, ["stat_type", day], "left")
+    return out.select("stat_type", day, F.coalesce("n", F.lit(0)).alias("n"), "global_prior", "stat_prior",
+                      *[F.when(F.col("has_edges"), F.col(e)).alias(e) for e in ("e1", "e2")],
+                      *[F.when(F.col("has_edges"), F.coalesce(f"_b{i}", "stat_prior")).otherwise(F.col("stat_prior")).alias(f"bucket{i}") for i in range(3)])
+
+
+PRIOR_COLUMNS = ["stat_prior", "e1", "e2", "bucket0", "bucket1", "bucket2"]
+
+
 def context_prior(df: DataFrame, priors: DataFrame) -> DataFrame:
     """Bucket, then measure, then global prior; pulled toward one half and clamped."""
-    j = df.join(priors.select("stat_type", "stat_prior", "e1", "e2", "bucket0", "bucket1", "bucket2"), "stat_type", "left")
+    j = df.join(priors.select("stat_type", *PRIOR_COLUMNS), "stat_type", "left")
     fallback = priors.agg(F.max("global_prior")).scalar()
+    return j.withColumn("context_prior", chosen_prior(fallback)).drop(*PRIOR_COLUMNS)
+
+
+def context_prior_as_of(df: DataFrame, priors: DataFrame, day: str = "slate") -> DataFrame:
+    """The same with the priors of the row's own day (from ``priors_as_of`` over the measures and days of ``df``)."""
+    j = df.join(priors.select("stat_type", day, "global_prior", *PRIOR_COLUMNS), ["stat_type", day], "left")
+    return j.withColumn("context_prior", chosen_prior(F.col("global_prior"))).drop("global_prior", *PRIOR_COLUMNS)
+
+
+def chosen_prior(fallback: Column) -> Column:
     b = line_bucket(F.col("line_score"), F.col("e1"), F.col("e2"))
     chosen = F.when(F.col("e1").isNotNull() & F.col("line_score").isNotNull(),
                     F.when(b == 0, F.col("bucket0")).when(b == 1, F.col("bucket1")).otherwise(F.col("bucket2")))
     raw = F.coalesce(chosen, F.col("stat_prior"), fallback, num(0.5))
     centred = raw + num(K.PRIOR_CENTER_WEIGHT) * (num(0.5) - raw)
-    return j.withColumn("context_prior", X.clip(centred, K.PRIOR_FLOOR, K.PRIOR_CEILING)).drop("stat_prior", "e1", "e2", "bucket0", "bucket1", "bucket2")
+    return X.clip(centred, K.PRIOR_FLOOR, K.PRIOR_CEILING)
 
 
 # --- conformal ---------------------------------------------------------------------------------------------

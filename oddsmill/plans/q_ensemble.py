@@ -15,7 +15,7 @@ from oddsmill.operators import reports as R
 from oddsmill.operators.distribution import rank_auc
 from oddsmill.session import durable
 
-from .adapters import PREDICTIONS, RESOLVED, q_hit, q_logit, q_logit_mean, q_loss, q_pick, q_r6, q_sig, q_sum, union_sql
+from .adapters import LINES, PREDICTIONS, RESOLVED, q_hit, q_logit, q_logit_mean, q_loss, q_pick, q_r6, q_sig, q_sum, union_sql
 from .q_windows import logs
 from .registry import query
 
@@ -34,9 +34,19 @@ cp AS (SELECT q2.stat_type, n, global_prior, stat_prior, CASE WHEN has THEN e1 E
   {', '.join(f"CASE WHEN has THEN coalesce((SELECT r FROM q3 WHERE q3.stat_type = q2.stat_type AND b = {i} AND c >= 30), stat_prior) ELSE stat_prior END AS bucket{i}" for i in range(3))} FROM q2)"""
 
 
-def sql_prior_of(alias: str) -> str:
+def sql_priors_as_of(src: str) -> str:
+    """``cp`` by (stat_type, slate): the same fit on the rows of strictly earlier slates."""
+    return f"""ct AS (SELECT DISTINCT stat_type, slate FROM {src}), cg AS (SELECT c.slate, round(avg(CAST(over_label AS DOUBLE)), 4) AS global_prior FROM (SELECT DISTINCT slate FROM ct) c LEFT JOIN {src} s ON s.slate < c.slate GROUP BY 1),
+q0 AS (SELECT c.stat_type, c.slate, count(over_label) AS n, count(line_score) AS nl, avg(CAST(over_label AS DOUBLE)) AS m, round(quantile_cont(line_score, 0.3333333333333333), 2) AS e1, round(quantile_cont(line_score, 0.6666666666666666), 2) AS e2 FROM ct c LEFT JOIN {src} s ON s.stat_type = c.stat_type AND s.slate < c.slate GROUP BY 1, 2),
+q2 AS (SELECT q0.*, global_prior, CASE WHEN n >= 30 THEN round(m, 4) ELSE global_prior END AS stat_prior, nl >= 90 AS has FROM q0 JOIN cg ON cg.slate = q0.slate),
+q3 AS (SELECT q2.stat_type, q2.slate, CASE WHEN line_score <= e1 THEN 0 WHEN e1 <> e2 AND line_score <= e2 THEN 1 WHEN e1 = e2 THEN 1 ELSE 2 END AS b, count(*) AS c, round(avg(CAST(over_label AS DOUBLE)), 4) AS r FROM {src} s JOIN q2 ON q2.stat_type = s.stat_type AND s.slate < q2.slate WHERE has GROUP BY 1, 2, 3),
+cp AS (SELECT q2.stat_type, q2.slate, n, global_prior, stat_prior, CASE WHEN has THEN e1 END AS e1, CASE WHEN has THEN e2 END AS e2,
+  {', '.join(f"CASE WHEN has THEN coalesce((SELECT r FROM q3 WHERE q3.stat_type = q2.stat_type AND q3.slate = q2.slate AND b = {i} AND c >= 30), stat_prior) ELSE stat_prior END AS bucket{i}" for i in range(3))} FROM q2)"""
+
+
+def sql_prior_of(alias: str, fallback: str = "(SELECT max(global_prior) FROM cp)") -> str:
     b = "CASE WHEN line_score <= e1 THEN bucket0 WHEN e1 <> e2 AND line_score <= e2 THEN bucket1 WHEN e1 = e2 THEN bucket1 ELSE bucket2 END"
-    raw = f"coalesce(CASE WHEN e1 IS NOT NULL AND line_score IS NOT NULL THEN {b} END, stat_prior, (SELECT max(global_prior) FROM cp), 5e-1)"
+    raw = f"coalesce(CASE WHEN e1 IS NOT NULL AND line_score IS NOT NULL THEN {b} END, stat_prior, {fallback}, 5e-1)"
     return f"greatest(42e-2, least(58e-2, {raw} + 6e-1 * (5e-1 - {raw})))"
 
 
@@ -52,6 +62,17 @@ def cal_context_lookup(t):
     return out.select("id", r6("context_prior").alias("context_prior"))
 
 
+LINE_LABELS = LINES + ", la AS (SELECT id, player_id, stat_type, slate, line_score, CASE WHEN actual > line_score THEN 1 ELSE 0 END AS over_label FROM ln)"
+
+
+@query("cal_context_as_of", f"WITH {LINE_LABELS}, {sql_priors_as_of('la')} SELECT stat_type, CAST(slate AS VARCHAR) AS slate, n, {', '.join(f'{q_r6(c)} AS {c}' for c in ('global_prior', 'stat_prior', 'e1', 'e2', 'bucket0', 'bucket1', 'bucket2'))} FROM cp")
+def cal_context_as_of(t):
+    """The priors that each slate may know: fitted on earlier slates only."""
+    lines = t.lines().select("stat_type", "slate", "line_score", (F.col("actual") > F.col("line_score")).cast("int").alias("over_label"))
+    p = C.priors_as_of(lines, lines)
+    return p.select("stat_type", F.col("slate").cast("string").alias("slate"), "n", *[r6(c).alias(c) for c in ("global_prior", "stat_prior", "e1", "e2", "bucket0", "bucket1", "bucket2")])
+
+
 # --- conformal -----------------------------------------------------------------------------------------------
 XL = union_sql([f"SELECT id, over_label, '{e}' AS expert, {e} AS p FROM rs WHERE {e} IS NOT NULL" for e in EX])
 QHAT = RESOLVED + f""", xl AS ({XL}), sc AS (SELECT expert, CASE WHEN over_label = 1 THEN 1e0 - p ELSE p END AS s FROM xl), so AS (SELECT expert, s, row_number() OVER (PARTITION BY expert ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY expert) AS n FROM sc),

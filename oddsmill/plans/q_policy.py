@@ -15,7 +15,7 @@ from oddsmill.operators import reports as R
 from oddsmill.session import durable
 
 from .adapters import PREDICTIONS, RESOLVED, pick_from, q_case, q_hit, q_logit_mean, q_pick, q_r6, q_shrink, q_sum, sql_list, union_sql
-from .q_ensemble import q_clip, sql_prior_of, sql_priors
+from .q_ensemble import q_clip, sql_prior_of, sql_priors, sql_priors_as_of
 from .q_forecast import DIST, distribution
 from .q_joins import WORLD
 from .q_scalar import q_edge, q_grade
@@ -53,10 +53,10 @@ def pol_threshold_apply(t):
 
 
 # --- slate inputs ----------------------------------------------------------------------------------------------
-INPUT = DIST + f""", la AS (SELECT id, player_id, stat_type, slate, line_score, CASE WHEN actual > line_score THEN 1 ELSE 0 END AS over_label FROM ln), {sql_priors('la')},
+INPUT = DIST + f""", la AS (SELECT id, player_id, stat_type, slate, line_score, CASE WHEN actual > line_score THEN 1 ELSE 0 END AS over_label FROM ln), {sql_priors_as_of('la')},
 si AS (SELECT CAST(ln.slate AS VARCHAR) AS slate, ln.id, ln.player_id, ln.stat_type, ln.line_score, {', '.join(f"{q_clip('ln.' + e)} AS {e}" for e in EX)}, fd.n_eff, fd.mu_hat, fd.sigma_hat,
   CASE WHEN ln.id % 3 = 0 THEN 2 WHEN ln.id % 50 = 1 THEN NULL ELSE 1 END AS set_size, CASE WHEN ln.id % 4 = 0 THEN 'per_stat' ELSE 'raw' END AS status,
-  {sql_prior_of('x').replace('line_score', 'ln.line_score')} AS context_prior FROM ln LEFT JOIN fd ON fd.id = ln.id LEFT JOIN cp ON cp.stat_type = ln.stat_type)"""
+  {sql_prior_of('x', 'global_prior').replace('line_score', 'ln.line_score')} AS context_prior FROM ln LEFT JOIN fd ON fd.id = ln.id LEFT JOIN cp ON cp.stat_type = ln.stat_type AND cp.slate = ln.slate)"""
 PRIOR_ONLY = "stat_type IN (" + ", ".join(f"'{s}'" for s in K.PRIOR_ONLY_STATS) + ")"
 _over = q_sum([f"CASE WHEN {e} >= 5e-1 THEN 1 ELSE 0 END" for e in EX])
 _under = q_sum([f"CASE WHEN {e} < 5e-1 THEN 1 ELSE 0 END" for e in EX])
@@ -74,13 +74,13 @@ def q_gate(src: str, dst: str, pen: str) -> str:
 
 
 def slate_input(t):
-    """Lines joined with their forecast, context prior, set size and status."""
+    """Lines joined with their forecast, the context prior that their slate could know, set size and status."""
     lines = t.lines()
     d = distribution(t).select("id", "n_eff", "mu_hat", "sigma_hat")
-    labelled = lines.select("stat_type", "line_score", (F.col("actual") > F.col("line_score")).cast("int").alias("over_label"))
-    j = lines.select("id", "player_id", "stat_type", F.col("slate").cast("string").alias("slate"), "line_score", *EX).join(d, "id", "left")
-    j = C.context_prior(j, C.fit_context_priors(labelled))
-    return j.withColumns({"set_size": F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 50 == 1, None).otherwise(1),
+    labelled = lines.select("stat_type", "slate", "line_score", (F.col("actual") > F.col("line_score")).cast("int").alias("over_label"))
+    j = lines.select("id", "player_id", "stat_type", "slate", "line_score", *EX).join(d, "id", "left")
+    j = C.context_prior_as_of(j, C.priors_as_of(labelled, labelled))
+    return j.withColumns({"slate": F.col("slate").cast("string"), "set_size": F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 50 == 1, None).otherwise(1),
                           "status": F.when(F.col("id") % 4 == 0, "per_stat").otherwise("raw")})
 
 
