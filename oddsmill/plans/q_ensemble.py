@@ -220,7 +220,22 @@ def ens_thompson(t):
     return E.thompson(t.resolved(), EX, {"p_nn": 0.20}).withColumn("weight", r6("weight"))
 
 
-@query("ens_hedge")
+def sql_hedge(at: str) -> str:
+    """The learner row by row: ``hz(ctx, n, id, pred, w)`` from n = 1 on. ``at`` is the count that its step size decays with."""
+    held = lambda x: f"list_transform({x}, lambda v: least({K.WEIGHT_CAP}e0, greatest({K.WEIGHT_FLOOR}e0, v)))"
+    even = lambda x: f"list_transform({x}, lambda v: v / list_sum({x}))"
+    p = f"greatest({E.EPS:.0e}, least(1e0 - {E.EPS:.0e}, z[2]))"
+    mass = "list_sum(list_transform(list_zip(k, p), lambda z: CASE WHEN z[2] IS NULL THEN 0e0 ELSE z[1] END))"
+    lean = f"list_sum(list_transform(list_zip(k, p), lambda z: CASE WHEN z[2] IS NULL THEN 0e0 ELSE z[1] / (mass + 1e-12) * ln({p} / (1e0 - {p})) END))"
+    mixed = f"z[1] * {1 - K.HEDGE_SHRINK} + {K.HEDGE_SHRINK / len(EX)!r}"
+    moved = f"list_transform(list_zip(k, p), lambda z: ({mixed}) * CASE WHEN z[2] IS NULL THEN 1e0 ELSE exp(eta * ln(CASE WHEN y = 1 THEN {p} ELSE 1e0 - {p} END)) END)"
+    return f"""hr AS (SELECT id, {Q_CTX} AS ctx, over_label AS y, row_number() OVER (PARTITION BY {Q_CTX} ORDER BY decision_time, id) AS pos, row_number() OVER (ORDER BY decision_time, id) AS step, [{', '.join(f'CAST({e} AS DOUBLE)' for e in EX)}] AS p FROM rs),
+hz(ctx, n, id, pred, w) AS (SELECT DISTINCT ctx, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST({E.initial_weights(EX)!r} AS DOUBLE[]) FROM hr UNION ALL
+ SELECT ctx, n + 1, id, pred, {even('h')} FROM (SELECT ctx, n, id, pred, {held('v')} AS h FROM (SELECT ctx, n, id, CASE WHEN mass > 0 THEN {q_sig(lean)} ELSE 5e-1 END AS pred, {even('u')} AS v FROM (
+  SELECT *, {moved} AS u, {mass} AS mass FROM (SELECT *, {even('k0')} AS k FROM (SELECT hz.ctx, n, hr.id, y, p, {K.ETA} / (1e0 + {K.ETA_DECAY} * ({at})) AS eta, {held('w')} AS k0 FROM hz JOIN hr ON hr.ctx = hz.ctx AND hr.pos = hz.n + 1)))))) """
+
+
+@query("ens_hedge", f"WITH RECURSIVE {RESOLVED}, {sql_hedge('step')} SELECT id, ctx, {q_r6('pred')} AS p_hedge, {', '.join(f'{q_r6(f"w[{i + 1}]")} AS w_{e}' for i, e in enumerate(EX))} FROM hz WHERE n > 0")
 def ens_hedge(t):
     h = E.hedge(t.resolved(), EX, ORDER)
     return h.select("id", "ctx", r6("p_hedge").alias("p_hedge"), *[r6(f"w_{e}").alias(f"w_{e}") for e in EX])

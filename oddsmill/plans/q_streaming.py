@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddsmill.functions import constants as K
-from oddsmill.functions.exprs import r6
+from oddsmill.functions.exprs import num, r6
 from oddsmill.operators import ensemble as E
 from oddsmill.operators import snapshots as S
 from oddsmill.session import durable
 from oddsmill.sources.files import scratch_path
 from oddsmill.streaming import jobs as ST
 
-from .adapters import LINE_SNAPSHOTS, PREDICTIONS, Tables
+from .adapters import LINE_SNAPSHOTS, RESOLVED, Tables, q_r6
 from .q_aggregates import LOG, collection_log
+from .q_ensemble import sql_hedge
 from .q_ingest import SNAPS, payloads, snapshots
 from .registry import query
 
@@ -35,12 +36,12 @@ class Streamed(Tables):
 
 @query("st_snapshot_ingest", f"WITH {LINE_SNAPSHOTS} SELECT snapshot_id, count(DISTINCT player_id) AS docs FROM ls GROUP BY 1")
 def st_snapshot_ingest(t):
-    """Two runs over the same documents: the second, with an empty checkpoint, must add nothing."""
+    """The same documents land twice: the second run must add nothing."""
     root = scratch_path(t.spark, "ingest")
     docs = payloads(t)
-    docs.write.json(f"{root}/landing")
-    for name in ("first", "replay"):
-        table = ST.ingest(t.spark, f"{root}/landing", docs.schema, ["snapshot_id", "player_id"], root, name)
+    for name in ("first", "again"):
+        docs.write.json(f"{root}/landing/{name}")
+        table = ST.ingest(t.spark, f"{root}/landing/*", docs.schema, ["snapshot_id", "player_id"], root)
     return table.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -55,21 +56,30 @@ def st_line_move(t):
     return ST.line_moves(durable(state), prev).select("snapshot_id", "player_id", "stat_type", "line_score", "prev_line", "movement")
 
 
-@query("st_online_hedge")
+@query("st_online_hedge", f"WITH RECURSIVE {RESOLVED}, {sql_hedge('n + 1')} SELECT id, ctx, n, {q_r6('pred')} AS p_hedge, {', '.join(f'{q_r6(f"w[{i + 1}]")} AS w_{e}' for i, e in enumerate(K.EXPERTS))} FROM hz WHERE n > 0")
 def st_online_hedge(t):
     rows = E.context(Streamed(t, "orders").resolved()).select("id", "ctx", "decision_time", "over_label", *K.EXPERTS)
-    out = ST.materialise(t.spark, ST.online_hedge(rows, K.EXPERTS), "append")
+    out = ST.online_hedge(t.spark, rows, K.EXPERTS)
     return out.select("id", "ctx", "n", r6("p_hedge").alias("p_hedge"), *[r6(f"w_{e}").alias(f"w_{e}") for e in K.EXPERTS])
 
 
-@query("st_resolve", """SELECT o_orderkey AS order_id, count(*) AS outcomes, CAST(min(epoch_us(l_shipdate)) AS BIGINT) AS first_us FROM orders JOIN lineitem ON l_orderkey = o_orderkey
- WHERE l_shipdate >= o_orderdate + INTERVAL 3 HOUR AND l_shipdate <= o_orderdate + INTERVAL 21 DAY GROUP BY 1""")
+_pick = "CASE o_orderkey % 3 WHEN 0 THEN 'over' WHEN 1 THEN 'UNDER' END"
+
+
+@query("st_resolve", f"""WITH d AS (SELECT o_orderkey AS id, o_totalprice / 4e0 AS line, {_pick} AS pick, o_orderdate AS ta FROM orders), o AS (SELECT l_orderkey AS k, l_shipdate AS ta, CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END AS v FROM lineitem),
+c AS (SELECT least((SELECT max(ta) FROM d), (SELECT max(ta) FROM o)) - INTERVAL 36 HOUR AS w),
+m AS (SELECT id, o.ta, v FROM d JOIN o ON o.k = d.id AND o.ta >= d.ta + INTERVAL 3 HOUR AND o.ta <= d.ta + INTERVAL 21 DAY),
+f AS (SELECT id, min(ta) FILTER (v IS NOT NULL) AS t, arg_min(v, (ta, v)) FILTER (v IS NOT NULL) AS v, count(*) > count(v) AS void FROM m GROUP BY 1),
+g AS (SELECT d.*, f.t, f.t IS NULL AND coalesce(void, false) AND line IS NOT NULL AS forced_push, CASE WHEN f.t IS NULL AND coalesce(void, false) THEN line ELSE f.v END AS actual FROM d LEFT JOIN f ON f.id = d.id WHERE f.t IS NOT NULL OR d.ta + INTERVAL 21 DAY < (SELECT w FROM c)),
+r AS (SELECT *, CASE WHEN forced_push OR actual = line THEN 'push' WHEN actual > line THEN 'over' WHEN actual < line THEN 'under' ELSE 'unresolved' END AS outcome FROM g)
+SELECT id AS order_id, CAST(epoch_us(t) AS BIGINT) AS outcome_us, {q_r6('actual')} AS actual_value, outcome, CASE outcome WHEN 'over' THEN 1 WHEN 'under' THEN 0 END AS over_label, CASE WHEN outcome IN ('over', 'under') AND pick IS NOT NULL THEN lower(pick) = outcome END AS is_correct, forced_push FROM r""")
 def st_resolve(t):
     at = lambda c: F.col(c).cast("timestamp")
-    d = Streamed(t, "orders").base("orders").select(F.col("o_orderkey").alias("order_id"), at("o_orderdate").alias("decision_time"))
-    o = Streamed(t, "lineitem").base("lineitem").select(F.col("l_orderkey").alias("order_id"), at("l_shipdate").alias("outcome_time"))
-    out = ST.materialise(t.spark, ST.resolve(d, o, "order_id"), "append")
-    return out.groupBy("order_id").agg(F.count(F.lit(1)).alias("outcomes"), F.min(F.unix_micros("outcome_time")).alias("first_us"))
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double") / num(4)
+    d = Streamed(t, "orders").base("orders").select(key.alias("id"), key.alias("key"), price.alias("line_score"), F.when(key % 3 == 0, "over").when(key % 3 == 1, "UNDER").alias("pick"), at("o_orderdate").alias("decision_time"))
+    o = Streamed(t, "lineitem").base("lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice").cast("double")).alias("value"), at("l_shipdate").alias("outcome_time"))
+    out = ST.resolve(t.spark, d, o)
+    return out.select(F.col("id").alias("order_id"), F.unix_micros("outcome_time").alias("outcome_us"), r6("actual_value").alias("actual_value"), "outcome", "over_label", "is_correct", "forced_push")
 
 
 _c = lambda k, n: f"count(CASE WHEN event = '{k}' THEN 1 END) AS {n}"

@@ -8,19 +8,24 @@ retried after a lost executor replaces its own output instead of adding to it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from oddsmill.functions import constants as K
 from oddsmill.operators.ensemble import hedge_step, initial_weights
+from oddsmill.operators.matching import outcome
 from oddsmill.operators.snapshots import movement
+from oddsmill.session import durable
 from oddsmill.sources.files import scratch_path
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
     """File source. ``max_files`` bounds a micro-batch, and with it what one key can bring into one task."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
@@ -47,25 +52,31 @@ def materialise(spark: SparkSession, stream: DataFrame, mode: str, root: str | N
 
 
 # --- idempotent ingest ---------------------------------------------------------------------------------------
-def ingest(spark: SparkSession, landing: str, schema: StructType, keys: list[str], root: str, name: str = "first") -> DataFrame:
-    """New documents only: a key that is already stored, or repeated in the batch, is skipped. ``name`` separates the
-    checkpoints of different runs over the same table."""
-    table = f"{root}/table"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        part = f"{name}-{batch_id}"
-        try:
-            stored = s.read.option("basePath", table).parquet(table).filter(F.col("load") != part).select(*keys)
-            fresh = fresh.join(stored, keys, "left_anti")
-        except Exception as exc:  # the very first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{table}/load={part}")
-
-    run(read_stream(spark, landing, schema, "json"), sink, "append", f"{root}/checkpoint-{name}")
-    return spark.read.option("basePath", table).parquet(table)
+@contextmanager
+def disk_backed(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, so a batch's cost follows the keys it brings, not all keys stored."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def ingest(spark: SparkSession, landing: str, schema: StructType, keys: list[str], root: str, max_files: int = 1000) -> DataFrame:
+    """One document per key, however often it lands. The state of a key is its first document: that of the file written first,
+    and of several in files of one time the one with the smallest digest. So the choice is defined, and the same for any
+    cut into batches. A batch meets the state of its own keys only and never reads the stored table; what it writes again
+    under a known key replaces the same row."""
+    docs = read_stream(spark, landing, schema, "json", max_files)
+    landed = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.sha2(F.to_json(F.struct(*schema.names)), 256).alias("digest"))
+    first = docs.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in schema.names if c not in keys]), landed).alias("first"))
+    with disk_backed(spark):
+        written = materialise(spark, first, "update", root)
+    return latest_updates(written, keys).select(*keys, "first.*")
 
 
 # --- line movement with state ----------------------------------------------------------------------------------
@@ -84,34 +95,104 @@ def line_moves(minima: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 # --- online weights ------------------------------------------------------------------------------------------
-def online_hedge(rows: DataFrame, experts: list[str], time: str = "decision_time") -> DataFrame:
-    """Weights per context updated as outcomes arrive. State: the weights and the context's own update count, so the
-    step size decays per context (the batch replay counts updates over all contexts)."""
-    caps = [K.WEIGHT_CAP] * len(experts)
+def online_hedge(spark: SparkSession, rows: DataFrame, experts: list[str], time: str = "decision_time", late: str | None = None, root: str | None = None) -> DataFrame:
+    """Weights per context updated as outcomes arrive: ``id, ctx, n, p_hedge, w_*`` of each of ``rows(id, ctx, over_label, time, experts)``.
+
+    The step size decays with the context's own update count (the batch replay counts over all contexts). A row is folded
+    once the newest time seen is ``late`` ahead of it, and until then kept in a table, so any order of arrival within
+    ``late`` gives the same result; without ``late`` rows are folded when the input ends. Each micro-batch writes its own
+    folders. A context's rows are sorted by Spark and folded as a stream, an Arrow batch at a time."""
+    root = root or scratch_path(spark, "hedge")
     names = [f"w_{e}" for e in experts]
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        w, n = (list(state.get[:-1]), state.get[-1]) if state.exists else (initial_weights(experts), 0)
-        out = []
-        for row in pd.concat(list(chunks)).sort_values([time, "id"])[["id", "over_label", *experts]].itertuples(index=False):
-            n += 1
-            probs = [None if pd.isna(p) else float(p) for p in row[2:]]
-            pred, w = hedge_step(w, probs, int(row[1]), K.ETA / (1 + K.ETA_DECAY * n), caps)
-            out.append((int(row[0]), key[0], n, pred, *w))
-        state.update((*[float(x) for x in w], n))
-        yield pd.DataFrame(out, columns=["id", "ctx", "n", "p_hedge", *names])
-
     weights = ", ".join(f"{c} double" for c in names)
-    return rows.groupBy("ctx").applyInPandasWithState(step, f"id long, ctx string, n long, p_hedge double, {weights}", f"{weights}, n long", "append", GroupStateTimeout.NoTimeout)
+    shape = f"id bigint, ctx string, n bigint, p_hedge double, {weights}"
+    caps, start, columns = [K.WEIGHT_CAP] * len(experts), initial_weights(experts), [time, "id", "ctx", "over_label", *experts]
+    batches: list[int] = []
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a context follow its state, if it has one; its new state (without id) comes behind its rows."""
+        ctx, w, n = None, start, 0
+        for part in parts:
+            out = []
+            for row in part.to_pylist():
+                if row["ctx"] != ctx:
+                    out += [(None, ctx, n, None, *w)] if ctx is not None else []
+                    ctx, w, n = row["ctx"], start, 0
+                if row["id"] is None:
+                    w, n = [row[c] for c in names], row["n"]
+                else:
+                    n += 1
+                    pred, w = hedge_step(w, [row[e] for e in experts], int(row["over_label"]), K.ETA / (1 + K.ETA_DECAY * n), caps)
+                    out.append((row["id"], ctx, n, pred, *w))
+            yield _table(out)
+        yield _table([(None, ctx, n, None, *w)] if ctx is not None else [])
+
+    def _table(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * (1 + len(names))]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["id", "ctx", "n", "p_hedge", *names])
+
+    def before(batch_id: int, table: str, like: str) -> DataFrame:
+        """What the batch before has left (a first batch finds nothing)."""
+        return spark.read.schema(like).parquet(f"{root}/{table}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], like)
+
+    def step(batch: DataFrame, batch_id: int, last: bool) -> None:
+        like = batch.select(columns).schema
+        waiting = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like)
+        here = durable(batch.select(columns).unionByName(before(batch_id, "waiting", waiting)))
+        due = F.lit(last)
+        if late and not last:
+            clock = here.agg(F.max(time)).first()[0]
+            clock = max(c for c in (clock, *(spark.read.parquet(f"{root}/clock/batch={batch_id - 1}").first() if batch_id else ())) if c is not None) if batch_id or clock is not None else None
+            here.limit(0).agg(F.lit(clock).cast(like[time].dataType).alias("clock")).write.mode("overwrite").parquet(f"{root}/clock/batch={batch_id}")
+            due = F.coalesce(F.col(time) <= F.lit(clock).cast(like[time].dataType) - F.expr(f"interval {late}"), F.lit(False))
+        here.filter(~due).write.mode("overwrite").parquet(f"{root}/waiting/batch={batch_id}")
+        state = before(batch_id, "weights", f"ctx string, n bigint, {weights}")
+        known = here.filter(due).unionByName(state, allowMissingColumns=True)
+        sorted_rows = known.repartition("ctx").sortWithinPartitions("ctx", F.col("id").isNotNull(), time, "id")
+        folded = durable(sorted_rows.mapInArrow(fold, shape))
+        folded.filter("id IS NOT NULL").write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        folded.filter("id IS NULL").select("ctx", "n", *names).write.mode("overwrite").parquet(f"{root}/weights/batch={batch_id}")
+        batches.append(batch_id)
+
+    run(rows, lambda batch, batch_id: step(batch, batch_id, False), "append", f"{root}/checkpoint")
+    if batches:
+        step(rows_like(spark, rows), max(batches) + 1, True)
+    return spark.read.schema(shape).option("basePath", f"{root}/out").parquet(f"{root}/out") if batches else spark.createDataFrame([], shape)
+
+
+def rows_like(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """An empty table of the stream's columns."""
+    return spark.createDataFrame([], stream.schema)
 
 
 # --- outcomes after decisions ------------------------------------------------------------------------------------
-def resolve(decisions: DataFrame, outcomes: DataFrame, key: str, lag: str = "3 hours", horizon: str = "21 days") -> DataFrame:
-    """Stream-stream join: an outcome counts from ``lag`` after the decision up to ``horizon``; older state is dropped."""
-    d = decisions.withWatermark("decision_time", horizon).alias("d")
-    o = outcomes.withWatermark("outcome_time", horizon).alias("o")
+def resolve(spark: SparkSession, decisions: DataFrame, outcomes: DataFrame, lag: str = "3 hours", horizon: str = "21 days", late: str = "36 hours", root: str | None = None) -> DataFrame:
+    """Labels of streamed ``decisions(id, key, line_score, pick, decision_time)`` from ``outcomes(key, value, outcome_time)``: one row
+    per decision that is settled, ``id, decision_time, outcome_time, actual_value, outcome, over_label, is_correct, forced_push``.
+
+    An outcome counts from ``lag`` to ``horizon`` after the decision and is graded as it arrives; of several the earliest
+    stays the label, of equally early ones the smallest, whatever their order of arrival. When the horizon has passed without
+    a value, state gives the decision up: it is a push at the line if outcomes without a value show that the game took place,
+    else ``unresolved``. Decisions whose horizon is still open are left out. Rows later than ``late`` behind the newest are
+    dropped, as in any watermarked join, and state is dropped with the horizon."""
+    root = root or scratch_path(spark, "labels")
     inside = (F.col("outcome_time") >= F.col("decision_time") + F.expr(f"interval {lag}")) & (F.col("outcome_time") <= F.col("decision_time") + F.expr(f"interval {horizon}"))
-    return d.join(o, (F.col(f"d.{key}") == F.col(f"o.{key}")) & inside).select(F.col(f"d.{key}").alias(key), "decision_time", "outcome_time")
+    d = decisions.withWatermark("decision_time", late)
+    o = outcomes.withColumnRenamed("key", "_key").withWatermark("outcome_time", late)
+    met = (F.col("key") == F.col("_key")) & inside
+    settled = d.join(o.filter("value IS NOT NULL"), met, "leftOuter").select("id", "line_score", "pick", "decision_time", "outcome_time", "value")
+    played = decisions.select("id", "key", "decision_time").withWatermark("decision_time", late).join(o.filter("value IS NULL"), met).select("id")
+    labels = materialise(spark, settled, "append", f"{root}/settled")
+    void = materialise(spark, played, "append", f"{root}/played").select("id").distinct().withColumn("_void", F.lit(True))
+    first = labels.groupBy("id").agg(F.min(F.when(F.col("value").isNotNull(), F.struct("outcome_time", "value"))).alias("_first"), *[F.max(c).alias(c) for c in ("line_score", "pick", "decision_time")])
+    first = first.join(void, "id", "left").withColumn("forced_push", F.col("_first").isNull() & F.coalesce("_void", F.lit(False)) & F.col("line_score").isNotNull())
+    actual = F.when(F.col("forced_push"), F.col("line_score")).otherwise(F.col("_first.value"))
+    graded = first.select("id", "decision_time", F.col("_first.outcome_time").alias("outcome_time"), "line_score", "pick", "forced_push", actual.alias("actual_value"))
+    result = F.when(F.col("forced_push"), "push").otherwise(F.coalesce(outcome(F.col("actual_value"), F.col("line_score")), F.lit("unresolved")))
+    side = F.lower("pick")
+    return graded.withColumn("outcome", result).select(
+        "id", "decision_time", "outcome_time", "actual_value", "outcome", F.when(F.col("outcome") == "over", 1).when(F.col("outcome") == "under", 0).alias("over_label"),
+        F.when(F.col("outcome").isin("over", "under") & side.isin("over", "under"), side == F.col("outcome")).alias("is_correct"), "forced_push")
 
 
 # --- health counters ---------------------------------------------------------------------------------------------

@@ -65,3 +65,88 @@ def test_no_query_plan_limits_rows_without_being_a_top_list():
         for m in re.finditer(r"\.limit\((?!0\))", text):
             found.add(re.findall(r"^def (\w+)", text[: m.start()], re.M)[-1])
     assert found <= named, found
+
+
+# --- order of arrival ------------------------------------------------------------------------------------------
+DAY = 24 * 3600
+
+
+def stamp(seconds):
+    import datetime as dt
+
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
+
+
+def landed(spark, rows, shape, folder, seed, files=6):
+    """Rows shuffled within a few days only, file by file, so that they are out of order but not beyond the watermark."""
+    rnd = random.Random(seed)
+    rows = sorted(rows, key=lambda r: (r[-1] + rnd.uniform(-2, 2) * DAY))
+    rows = [(*r[:-1], stamp(r[-1])) for r in rows]
+    size = -(-len(rows) // files)
+    for k in range(files):
+        spark.createDataFrame(rows[k * size : (k + 1) * size], shape).coalesce(1).write.mode("append").parquet(folder)
+    return ST.read_stream(spark, folder, spark.read.parquet(folder).schema, max_files=seed)
+
+
+@pytest.mark.parametrize("max_files", [1, 2, 1000])
+def test_labels_do_not_depend_on_batches(spark, max_files):
+    rnd = random.Random(5)
+    decisions = [(i, i % 120, float(rnd.randrange(3, 8)), rnd.choice(["over", "UNDER", None]), rnd.randrange(60) * DAY) for i in range(200)]
+    outcomes = [(rnd.randrange(130), rnd.choice([None, *map(float, range(3, 9))]), rnd.randrange(80) * DAY) for _ in range(300)]
+    root = scratch_path(spark, "labels")
+    d = landed(spark, decisions, "id bigint, key bigint, line_score double, pick string, decision_time timestamp", f"{root}/d", max_files)
+    o = landed(spark, outcomes, "key bigint, value double, outcome_time timestamp", f"{root}/o", max_files)
+    got = {r.id: r for r in ST.resolve(spark, d, o, late="10 days").collect()}
+    newest = min(max(r[-1] for r in decisions), max(r[-1] for r in outcomes)) - 10 * DAY
+    seen = set()
+    for i, key, line, pick, at in decisions:
+        met = [(t, v) for k, v, t in outcomes if k == key and at + 3 * 3600 <= t <= at + 21 * DAY]
+        valued = [m for m in met if m[1] is not None]
+        if valued:
+            value = min(valued)[1]
+            kind = "over" if value > line else "under" if value < line else "push"
+        elif at + 21 * DAY < newest:
+            kind, value = ("push", line) if met else ("unresolved", None)
+        else:
+            assert i not in got or at + 21 * DAY == newest
+            continue
+        r = got[i]
+        assert (r.outcome, r.actual_value, r.forced_push) == (kind, value, bool(met) and not valued)
+        assert r.over_label == {"over": 1, "under": 0}.get(kind)
+        assert r.is_correct == (None if pick is None or kind not in ("over", "under") else pick.lower() == kind)
+        seen.add(kind)
+    assert seen == {"over", "under", "push", "unresolved"}
+
+
+@pytest.mark.parametrize("max_files,late", [(1, "5 days"), (2, "5 days"), (1000, "5 days"), (2, None)])
+def test_online_weights_do_not_depend_on_batches(spark, max_files, late):
+    from oddsmill.functions import constants as K
+    from oddsmill.operators.ensemble import hedge_step, initial_weights
+
+    rnd, experts = random.Random(8), ["p_nn", "p_lr"]
+    rows = [(i, rnd.choice("aab"), rnd.randrange(2), rnd.choice([None, rnd.random()]), rnd.random(), rnd.randrange(40) * DAY) for i in range(150)]
+    stream = landed(spark, rows, "id bigint, ctx string, over_label int, p_nn double, p_lr double, decision_time timestamp", f"{scratch_path(spark, 'hedge')}/in", max_files)
+    got = {r.id: r for r in ST.online_hedge(spark, stream, experts, late=late).collect()}
+    assert len(got) == len(rows)
+    state = {}
+    for i, ctx, y, a, b, _ in sorted(rows, key=lambda r: (r[-1], r[0])):
+        w, n = state.get(ctx, (initial_weights(experts), 0))
+        pred, w = hedge_step(w, [a, b], y, K.ETA / (1 + K.ETA_DECAY * (n + 1)), [K.WEIGHT_CAP] * 2)
+        state[ctx] = w, n + 1
+        assert (got[i].n, got[i].p_hedge, got[i].w_p_nn, got[i].w_p_lr) == pytest.approx((n + 1, pred, *w))
+
+
+def test_first_document_of_a_key_stays(spark, tmp_path):
+    import os
+
+    shape = spark.createDataFrame([], "k int, body string").schema
+    root = scratch_path(spark, "ingest")
+    for n, rows in enumerate([[(1, "b"), (1, "b"), (2, "x")], [(1, "a"), (3, "z"), (3, "y")]]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.json(f"{root}/landing/{n}")
+        path = f"{root}/landing/{n}".removeprefix("file://")
+        for name in os.listdir(path):
+            os.utime(f"{path}/{name}", (1_700_000_000 + n, 1_700_000_000 + n))
+    for _ in range(2):
+        got = sorted(map(tuple, ST.ingest(spark, f"{root}/landing/*", shape, ["k"], root, max_files=1).collect()))
+        assert got[:2] == [(1, "b"), (2, "x")] and got[2] in [(3, "y"), (3, "z")] and len(got) == 3
+        spark.createDataFrame([(2, "later"), (3, "later")], shape).coalesce(1).write.mode("append").json(f"{root}/landing/again")
