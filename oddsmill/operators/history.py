@@ -7,8 +7,11 @@ windows and arrays of one player are bounded by days, however many raw events a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,62 +67,121 @@ def day_features(log: DataFrame, probes: DataFrame, cutoff: str = "slate") -> Da
     }).drop("_mean", "_std", "_last", "_recent")
 
 
-DAY_BLOCK = 256
-
-
-def count_above(values: np.ndarray, upto: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """How many of the first ``upto[i]`` values exceed ``lines[i]``. Whole blocks of days are sorted once and searched; only the
-    block in which a query ends is compared value by value."""
-    out = np.zeros(len(lines), np.int64)
-    for start in range(0, len(values), DAY_BLOCK):
-        block = values[start : start + DAY_BLOCK]
-        whole = upto >= start + len(block)
-        out[whole] += len(block) - np.searchsorted(np.sort(block), lines[whole], side="right")
-        part = np.flatnonzero(~whole & (upto > start))
-        if len(part):
-            inside = np.arange(len(block))[None, :] < (upto[part] - start)[:, None]
-            out[part] += ((block[None, :] > lines[part, None]) & inside).sum(axis=1)
+#: Rows that are worked on at once, days and questions of many keys; of a key that goes on, the values of its days are carried over.
+SCANNED = 1 << 16
+#: Questions of one key that one task answers, about; the questions of a larger key are dealt out, its days go to each part.
+QUESTIONS = 200_000
+
+
+def count_above(values: np.ndarray, start: np.ndarray, upto: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """How many of ``values[start[i]:upto[i]]`` exceed ``lines[i]``, for all questions at once.
+
+    A prefix is a sum of blocks whose lengths are the powers of two in its end. Level by level all blocks of one length are
+    sorted, and the questions whose prefix has such a block search it: n log n sorting, log n searches a question."""
+    kinds = np.unique(values)
+    rank, least = np.searchsorted(kinds, values), np.searchsorted(kinds, lines, side="right")
+    base, out = len(kinds) + 1, np.zeros(len(lines), np.int64)
+    for level in range(int(upto.max(initial=0)).bit_length()):
+        size = 1 << level
+        blocks = np.arange(len(values)) >> level
+        ordered = np.sort(blocks * base + rank)
+        for end, sign in ((upto, 1), (start, -1)):
+            asked = np.flatnonzero(end >> level & 1)
+            block = (end[asked] >> level) - 1
+            out[asked] += sign * ((block + 1) * size - np.searchsorted(ordered, block * base + least[asked]))
     return out
 
 
-def _with_days(log: DataFrame, asked: DataFrame, compute, shape: str) -> DataFrame:
-    """Meet a key's days and its questions once, in one place: days by their number, questions by days times distinct lines; neither is copied to the other."""
-    def run(key, days: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        days = days.dropna(subset=["value"]).sort_values("game_date")
-        upto = np.searchsorted(pd.to_datetime(days["game_date"]).to_numpy(), pd.to_datetime(asked["_cut"]).to_numpy(), side="left")
-        return compute(days["value"].to_numpy(float), upto, asked)
-
-    return log.select(*KEYS, "game_date", "value").groupBy(*KEYS).cogroup(asked.groupBy(*KEYS)).applyInPandas(run, shape)
-
-
-def _shape(df: DataFrame, more: str) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", " + more
+def run_length(values: np.ndarray, start: np.ndarray, upto: np.ndarray, limits: np.ndarray, above: bool) -> np.ndarray:
+    """How many values directly before ``upto[i]``, down to ``start[i]``, are all above (or all not above) ``limits[i]``.
+
+    Smallest (largest) values of all stretches of 2^k are laid down; a question leaps over the longest stretches that hold."""
+    most = int((upto - start).max(initial=0)).bit_length()
+    tables, at = [values], upto.copy()
+    for level in range(1, most):
+        half, last = 1 << (level - 1), tables[-1]
+        tables.append((np.minimum if above else np.maximum)(last[: len(last) - half], last[half:]) if len(last) > half else last[:0])
+    for level in reversed(range(most)):
+        size, table = 1 << level, tables[level]
+        able = np.flatnonzero(at - size >= start)
+        edge = table[at[able] - size]
+        able = able[edge > limits[able] if above else edge <= limits[able]]
+        at[able] -= size
+    return upto - at
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], keys: int, compute, size: int) -> Iterator[pa.RecordBatch]:
+    """Answers over rows sorted by (keys, day, kind): questions (kind 0) look at the days (kind 1) before them."""
+    held, rows, last, carried = [], 0, None, np.zeros(0)
+
+    def answered(table: pa.Table) -> pa.RecordBatch:
+        nonlocal last, carried
+        b = table.combine_chunks().to_batches()[0]
+        kind, x = b.column(keys + 2).to_numpy(), b.column(keys + 3).to_numpy(zero_copy_only=False)
+        changed = np.ones(len(kind), bool)
+        changed[1:] = False
+        for c in b.columns[: keys + 1]:   # the keys and the part; a null is never the same as another
+            changed[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
+        key = [c[0].as_py() for c in b.columns[: keys + 1]]
+        changed[0] = key != last or None in key
+        day = kind == 1
+        values = np.concatenate((carried if not changed[0] else carried[:0], x[day]))
+        before = np.cumsum(day) - day + (len(values) - int(day.sum()))
+        start = np.maximum.accumulate(np.where(changed, before, 0))
+        asked = np.flatnonzero(~day)
+        found = compute(values, start[asked], before[asked], x[asked])
+        last, carried = [c[len(kind) - 1].as_py() for c in b.columns[: keys + 1]], values[start[-1] :]
+        rest = b.take(pa.array(asked))
+        return pa.RecordBatch.from_arrays([*rest.columns[:keys], rest.column(keys + 1), rest.column(keys + 3), *found], [*b.schema.names[:keys], "_cut", "_x", *[f"_f{i}" for i in range(len(found))]])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= size:
+            yield answered(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if held:
+        yield answered(pa.Table.from_batches(held))
+
+
+def _with_days(log: DataFrame, asked: DataFrame, compute, kinds: list[str]) -> DataFrame:
+    """``asked(keys, _cut, _x)`` with one column ``_f<i>`` per kind, computed over the key's earlier days.
+
+    Days and questions are sorted together and scanned in Arrow batches that hold many keys. Questions of a key with more than
+    ``QUESTIONS`` are dealt out in parts, each of which gets the key's days, so no key fills a task."""
+    large = asked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_q")).filter(F.col("_q") > QUESTIONS).select(*KEYS, F.ceil(F.col("_q") / QUESTIONS).cast("int").alias("_parts"))
+    parts = lambda df: df.join(large, KEYS, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    days = log.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*KEYS, F.col("game_date").cast("date").alias("_cut"), F.lit(1).alias("_kind"), F.col("value").cast("double").alias("_x"))
+    days = parts(days).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    questions = parts(asked.withColumn("_kind", F.lit(0))).withColumn("_part", F.pmod(F.xxhash64("_cut", "_x"), F.col("_parts")).cast("int"))
+    columns = [*KEYS, "_part", "_cut", "_kind", "_x"]
+    both = days.select(columns).unionByName(questions.select(columns)).repartition(*KEYS, "_part").sortWithinPartitions(*KEYS, "_part", "_cut", "_kind")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.select(*KEYS, "_cut", "_x").schema) + "".join(f", _f{i} {k}" for i, k in enumerate(kinds))
+    size = SCANNED
+    return both.mapInArrow(lambda batches: _scanned(batches, len(KEYS), compute, size), shape)
 
 
 def streaks(log: DataFrame, days: DataFrame) -> DataFrame:
     """Current run above, and not above, the own mean, per (player, measure, cut-off day)."""
-    asked = days.select(*KEYS, "_cut", "n", "hist_mean")
+    mean = F.when((F.col("n") > 0) & (F.col("hist_mean") > 0), F.col("hist_mean").cast("double")).otherwise(F.lit(float("nan")))
 
-    def compute(values: np.ndarray, upto: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
-        hot, cold = np.zeros(len(asked)), np.zeros(len(asked))
-        for i, (n, mean, end) in enumerate(zip(asked["n"].to_numpy(), asked["hist_mean"].to_numpy(float), upto)):
-            if n > 0 and mean > 0:
-                above = values[:end][::-1] > mean
-                stop = lambda marks: float(marks.argmax() if marks.any() else len(marks))
-                hot[i], cold[i] = stop(~above), stop(above)
-        return asked[[*KEYS, "_cut"]].assign(hot_streak_count=hot, cold_streak_count=cold)
+    def compute(values: np.ndarray, start: np.ndarray, upto: np.ndarray, means: np.ndarray) -> list[pa.Array]:
+        return [pa.array(run_length(values, start, upto, means, above).astype(float)) for above in (True, False)]
 
-    return _with_days(log, asked, compute, _shape(asked.select(*KEYS, "_cut"), "hot_streak_count double, cold_streak_count double"))
+    out = _with_days(log, days.select(*KEYS, "_cut", mean.alias("_x")), compute, ["double", "double"])
+    return out.select(*KEYS, "_cut", F.col("_f0").alias("hot_streak_count"), F.col("_f1").alias("cold_streak_count"))
 
 
 def line_wins(log: DataFrame, lines: DataFrame, cutoff: str = "slate") -> DataFrame:
     """History values over the line, once per distinct (player, measure, day, line); no pair is ever emitted."""
-    asked = lines.select(*KEYS, F.col(cutoff).cast("date").alias("_cut"), "line_score").distinct()
+    kind = lines.schema["line_score"].dataType.simpleString()
+    asked = lines.filter(F.col("line_score").isNotNull()).select(*KEYS, F.col(cutoff).cast("date").alias("_cut"), F.col("line_score").cast("double").alias("_x")).distinct()
 
-    def compute(values: np.ndarray, upto: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
-        return asked.assign(wins=count_above(values, upto, asked["line_score"].to_numpy(float)).astype("int32"))
+    def compute(values: np.ndarray, start: np.ndarray, upto: np.ndarray, lines: np.ndarray) -> list[pa.Array]:
+        return [pa.array(count_above(values, start, upto, lines).astype(np.int32))]
 
-    return _with_days(log, asked, compute, _shape(asked, "wins int"))
+    return _with_days(log, asked, compute, ["int"]).select(*KEYS, "_cut", F.col("_x").cast(kind).alias("line_score"), F.col("_f0").alias("wins"))
 
 
 def league_prior(log: DataFrame, probes: DataFrame, cutoff: str = "slate") -> DataFrame:
