@@ -288,21 +288,25 @@ def last_window_metrics(df: DataFrame, columns: list[str], order: list[str], win
     return everything.unionByName(recent)
 
 
+#: Positions of a first block, and blocks that are merged into one at each of the levels above: 2^56 positions end in one row.
+RUN_BLOCK, RUN_MERGED, RUN_LEVELS = 1 << 16, 1 << 10, 4
+
+
 def longest_run(df: DataFrame, flag: str, order: list[str]) -> DataFrame:
-    """Longest run of rows whose flag is 0. A run lies between two rows with flag 1, so only positions of
-    the ones matter; neighbouring ones are found block by block and joined through block edges."""
+    """Longest run of rows whose flag is 0. A run lies between two rows with flag 1, so only their positions matter.
+
+    A block of positions is summed up by its first and last one and the longest gap between. Two neighbours' summaries make
+    one, so blocks are merged level by level, a bounded number at a time, and no window holds more."""
     seq = sorted_positions(df.select(*order, F.col(flag).cast("int").alias("_f")), order)
     total = seq.agg(F.count(F.lit(1))).scalar()
-    ones = seq.filter("_f = 1").select("idx", F.floor(F.col("idx") / (1 << 16)).alias("_b"))
-    inner = Window.partitionBy("_b").orderBy("idx")
-    inside = ones.withColumn("_prev", F.lag("idx").over(inner)).agg(F.max(F.col("idx") - F.col("_prev") - 1).alias("gap"))
-    rim = ones.groupBy("_b").agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))   # one row per 65536 positions
-    chain = Window.orderBy("_b")
-    across = rim.withColumn("_prev", F.coalesce(F.lag("_hi").over(chain), F.lit(-1))).agg(
-        F.max(F.col("_lo") - F.col("_prev") - 1).alias("gap"))
-    end = ones.agg((total - 1 - F.coalesce(F.max("idx"), F.lit(-1))).alias("gap"))
-    gaps = inside.unionByName(across).unionByName(end)
-    return gaps.agg(big(F.coalesce(F.max("gap"), F.lit(0))).alias("max_drawdown"))
+    runs = seq.filter("_f = 1").select(F.col("idx").alias("_b"), F.col("idx").alias("lo"), F.col("idx").alias("hi"), F.lit(0).cast("bigint").alias("gap"))
+    for merged in [RUN_BLOCK] + [RUN_MERGED] * RUN_LEVELS:
+        runs = runs.withColumn("_g", F.floor(F.col("_b") / merged))
+        before = F.lag("hi").over(Window.partitionBy("_g").orderBy("_b"))
+        runs = runs.withColumn("gap", F.greatest("gap", F.col("lo") - before - 1)).groupBy(F.col("_g").alias("_b")).agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("gap").alias("gap"))
+    ends = runs.agg(F.max("gap").alias("gap"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return ends.select(big(F.coalesce(F.greatest("gap", "lo", total - 1 - F.col("hi")), total)).alias("max_drawdown"))
 
 
 def sharpe(df: DataFrame, day: Column, pnl: Column) -> DataFrame:

@@ -14,11 +14,11 @@ from oddsmill.operators import ensemble as E
 from oddsmill.operators import matching as J
 from oddsmill.operators import reports as R
 from oddsmill.operators.distribution import exact_quantiles
-from oddsmill.sources import snapshot_json as SJ
+from oddsmill.sources import inspect as IN
 
 from .adapters import GAME_LOG, LINES, LINE_SNAPSHOTS, PREDICTIONS, RESOLVED, TEAM_GAMES, pick_from, pseudo_prob, q_hit, q_loss, q_pick, q_r6, q_sum, sql_list, union_sql
 from .q_ensemble import CANDS, Q_CTX
-from .q_ingest import _lid, doc_items, payloads
+from .q_ingest import payloads
 from .q_reports import ALL, ORDER, TAIL, TIER_COLS, _tail, sql_bin
 from .q_scalar import EDGE, edge_rows, q_grade
 from .q_windows import LONG, LONG_SQL, logs
@@ -67,28 +67,26 @@ def agg_coverage(t):
     return AG.coverage(t.predictions(), EX)
 
 
-@query("agg_audit", f"""WITH {LINE_SNAPSHOTS}, d AS (SELECT DISTINCT snapshot_id, player_id FROM ls)
-SELECT 'data' AS source, count(*) AS n, count(CASE WHEN player_id % 19 = 0 THEN 1 END) AS line_score_null, count(CASE WHEN player_id % 23 = 0 THEN 1 END) AS player_missing, CAST(0 AS BIGINT) AS duplicate_ids FROM ls
-UNION ALL SELECT 'included', count(*), count(*), count(*), count(*) - count(DISTINCT player_id) FROM d""")
+_docs = f"""{LINE_SNAPSHOTS}, d AS (SELECT DISTINCT snapshot_id, player_id FROM ls), it AS (SELECT 'data' AS section, 'projection' AS type, snapshot_id || '-' || player_id || '-' || substr(stat_type, 1, 1) AS id, player_id FROM ls UNION ALL SELECT 'included', 'new_player', CAST(player_id AS VARCHAR), player_id FROM d)"""
+_lacks = {"attribute_null": {"line_score": "player_id % 19 = 0", "stat_type": "false", "projection_type": "true", "status": "true", "start_time": "false"},
+          "relationship_missing": {"new_player": "player_id % 23 = 0"} | {k: "true" for k in IN.LINE_RELATIONSHIPS[1:]}}
+_checks = [("'total'", "items", "total", "true")] + [(f"'{s}'", "required_missing", k, "false") for s in IN.SECTIONS for k in IN.REQUIRED[s]] + [("'data'", p, k, test) for p, v in _lacks.items() for k, test in v.items()]
+
+
+@query("agg_audit", f"""WITH {_docs} {' UNION ALL '.join(f"SELECT section, '{p}' AS part, '{k}' AS name, count(CASE WHEN {test} THEN 1 END) AS n FROM it WHERE {'true' if s == "'total'" else f'section = {s}'} GROUP BY 1" for s, p, k, test in _checks)}
+UNION ALL SELECT section, 'duplicates', 'id,type', count(*) - count(DISTINCT id) FROM it GROUP BY 1 UNION ALL SELECT section, 'type', type, count(*) FROM it GROUP BY 1, 3""")
 def agg_audit(t):
-    rows = doc_items(t).select("source", "id", "type", F.col("attributes")["line_score"].alias("_l"), SJ.related("new_player").alias("_p"))
-    per_id = rows.groupBy("source", "id", "type").agg(F.count(F.lit(1)).alias("c"), count_true(F.col("_l").isNull()).alias("nl"), count_true(F.col("_p").isNull()).alias("np"))
-    return per_id.groupBy("source").agg(F.sum("c").alias("n"), F.sum("nl").alias("line_score_null"), F.sum("np").alias("player_missing"), F.sum(F.col("c") - 1).alias("duplicate_ids"))
+    return IN.audit(payloads(t))
 
 
-@query("agg_inspect", f"""WITH {LINE_SNAPSHOTS}, d AS (SELECT DISTINCT snapshot_id, player_id FROM ls),
- a AS (SELECT 'projection' AS type, 'attribute' AS part, k AS name, count(*) AS n FROM ls, (SELECT unnest(['line_score', 'stat_type', 'odds_type', 'start_time', 'is_live']) AS k) WHERE k <> 'line_score' OR player_id % 19 <> 0 GROUP BY 3),
- b AS (SELECT 'projection', 'relationship:' || CASE WHEN k = 'new_player' THEN 'object' ELSE 'list' END, k, count(*) FROM ls, (SELECT unnest(['new_player', 'markets']) AS k) WHERE k <> 'new_player' OR player_id % 23 <> 0 GROUP BY 2, 3),
- c AS (SELECT 'new_player', 'attribute', k, count(*) FROM d, (SELECT unnest(['name', 'combo']) AS k) WHERE k <> 'combo' OR player_id % 5 = 0 GROUP BY 3)
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+@query("agg_inspect", f"""WITH {_docs}, a AS (SELECT 'data' AS section, 'projection' AS type, 'attribute' AS part, k AS name, count(*) AS n FROM ls, (SELECT unnest(['line_score', 'stat_type', 'odds_type', 'start_time', 'is_live']) AS k) WHERE k <> 'line_score' OR player_id % 19 <> 0 GROUP BY 4),
+ b AS (SELECT 'data', 'projection', 'relationship:' || CASE WHEN k = 'new_player' THEN 'object' ELSE 'list' END, k, count(*) FROM ls, (SELECT unnest(['new_player', 'markets']) AS k) WHERE k <> 'new_player' OR player_id % 23 <> 0 GROUP BY 3, 4),
+ c AS (SELECT 'included', 'new_player', 'attribute', k, count(*) FROM d, (SELECT unnest(['name', 'combo']) AS k) WHERE k <> 'combo' OR player_id % 5 = 0 GROUP BY 4),
+ e AS (SELECT section, type, 'total', 'items', count(*) FROM it GROUP BY 1, 2), h AS (SELECT 'payload', CAST(NULL AS VARCHAR), 'top_level', k, count(*) FROM d, (SELECT unnest(['data', 'included']) AS k) GROUP BY 4),
+ g AS (SELECT section, type, 'sample_id', id, count(*) FROM it GROUP BY 1, 2, 4 QUALIFY row_number() OVER (PARTITION BY section, type ORDER BY id) <= 3)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e UNION ALL SELECT * FROM h UNION ALL SELECT * FROM g""")
 def agg_inspect(t):
-    rows = doc_items(t)
-    attrs = rows.select("type", F.lit("attribute").alias("part"), F.explode(F.map_keys("attributes")).alias("name"))
-    rel = rows.select("type", F.explode("relationships").alias("name", "v"))
-    data = F.get_json_object("v", "$.data")
-    shape = F.when(data.isNull(), "null").when(data.startswith("["), "list").otherwise("object")
-    both = attrs.unionByName(rel.select("type", F.concat(F.lit("relationship:"), shape).alias("part"), "name"))
-    return both.groupBy("type", "part", "name").agg(F.count(F.lit(1)).alias("n"))
+    return IN.inspect(payloads(t))
 
 
 KINDS = {"purchase": "request_end", "error": "request_error", "view": "cache_hit", "click": "cache_miss", "signup": "validation"}
