@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions import constants as K
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import big, num, r6
+from oddsmill.operators import attribution as AT
 from oddsmill.operators import calibration as C
 from oddsmill.operators import ensemble as E
 from oddsmill.operators import history as H
@@ -474,7 +476,10 @@ def ens_oof(t):
 
 @query("ens_importance")
 def ens_importance(t):
+    """Mean absolute attribution of each feature to the margin of the boosted trees, over the rows that they were fitted on."""
     seq, names = training_rows(t)
-    _, model = fit_gbt(seq.filter(L.holdout(0.2) == "train"), names)
-    pairs = sorted(zip(names, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
-    return t.spark.createDataFrame([(i + 1, n, round(v, 6)) for i, (n, v) in enumerate(pairs)], "rank int, feature string, importance double")
+    train = seq.filter(L.holdout(0.2) == "train")
+    _, model = fit_gbt(train, names)
+    found = AT.mean_attributions(train, names, AT.ensemble_leaves(t.spark, model))
+    place = Window.partitionBy().orderBy(F.desc("importance"), "feature")   # one row per feature
+    return found.select(F.row_number().over(place).alias("rank"), "feature", r6("importance").alias("importance"))
