@@ -15,6 +15,7 @@ from oddsmill.session import durable
 
 from .chunks import slices
 from .tables import located, without_rows
+from .workers import frugal
 
 #: Words of a seed, and the share of an item's words that an alignment must match.
 WORDS, SIMILARITY = 5, 0.8
@@ -154,13 +155,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", simil
     alignment to do. Items with fewer words than a seed are sought whole; null or empty items and texts match nothing.
     Rows with the same key and repeated items are reported once."""
     out = None
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright: passages are few bytes, but each is work
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).alias("key"), "text")
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     for rows in _blocks(benchmark):
         items = Items(rows)
         holder = docs.sparkSession.sparkContext.broadcast(items)
-        found = _candidates(docs, kind, holder, similarity).repartition("key", "item", "start")
+        found = _candidates(docs, kind, holder, similarity).repartition(tasks, "key", "item", "start")
         aligned = _aligned(found, kind, holder, item_kind, similarity)
         out = aligned if out is None else out.unionByName(aligned)
     best = F.max_by(F.struct("similarity", "matched_words", "item_words", "score", "start_word", "end_word"), F.struct("score", "matched_words", -F.col("start_word"))).alias("best")
@@ -192,7 +194,7 @@ def _candidates(docs: DataFrame, kind: str, holder, similarity: float) -> DataFr
                     b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()),
                 ], ["key", "item", "start", "words"])
 
-    return docs.mapInArrow(run, f"key {kind}, item bigint, start bigint, words binary")
+    return docs.mapInArrow(frugal(run), f"key {kind}, item bigint, start bigint, words binary")
 
 
 def _aligned(found: DataFrame, kind: str, holder, item_kind: str, similarity: float) -> DataFrame:
@@ -220,11 +222,11 @@ def _aligned(found: DataFrame, kind: str, holder, item_kind: str, similarity: fl
 
     ITEM = to_arrow_type(_parse_datatype_string(item_kind))
     shape = f"key {kind}, item_id {item_kind}, similarity double, matched_words bigint, item_words bigint, score bigint, start_word bigint, end_word bigint"
-    return found.mapInArrow(run, shape)
+    return found.mapInArrow(frugal(run), shape)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that hold a test item."""
-    rows = located(docs)
-    leaks = find_leaks(rows.select("_at", "text"), benchmark, "_at")
-    return without_rows(rows, durable(leaks.select("_at").distinct()))
+    rows, at = located(docs)
+    leaks = find_leaks(rows.select(at, "text"), benchmark, at)
+    return without_rows(rows, durable(leaks.select(at).distinct()), at)

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from oddsmill.session import durable, scratch_path
 
@@ -27,7 +28,7 @@ def _disk_backed(spark: SparkSession):
     """The state store of streams started inside is RocksDB, without room set aside on disk for each small store, and with
     one bound on the memory of all stores of an executor."""
     prefix = "spark.sql.streaming.stateStore."
-    wanted = {prefix + "providerClass": ROCKSDB, prefix + "rocksdb.allowFAllocate": "false", prefix + "rocksdb.boundedMemoryUsage": "true", prefix + "rocksdb.maxMemoryUsageMB": "200"}
+    wanted = {prefix + "providerClass": ROCKSDB, prefix + "rocksdb.allowFAllocate": "false", prefix + "rocksdb.boundedMemoryUsage": "true", prefix + "rocksdb.maxMemoryUsageMB": "100"}
     old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -80,8 +81,10 @@ def deduplicate(spark: SparkSession, path: str, state_dir: str | None = None, id
     holds, in slices of a group so that no task gets a whole one, and rows that differ are grouped again by their full
     text."""
     state_dir = state_dir or scratch_path(spark, "dedup")
-    batch = spark.read.parquet(path)
-    groups = durable(stream_groups(spark, path, batch.schema, state_dir, id_col, text_col, digest))
+    kinds = spark.read.parquet(path).schema
+    schema = StructType([kinds[c] for c in dict.fromkeys((id_col, text_col))])  # no other column, whatever its name, is read
+    batch = spark.read.schema(schema).parquet(path)
+    groups = durable(stream_groups(spark, path, schema, state_dir, id_col, text_col, digest))
     copies = durable(groups.where("n > 1"))
     slices = F.ceil(F.col("n") / GROUP_SLICE).cast("int")
     hits = durable(_entries(batch, id_col, text_col, digest).join(sized(copies), "digest"))
@@ -106,5 +109,6 @@ def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that ``deduplicate`` drops."""
     path = scratch_path(spark, "docs")
     docs.write.parquet(path)
-    dropped = durable(deduplicate(spark, path).where(~F.col("kept")).select(F.struct("entry.path", "entry.row").alias("_at")))
-    return without_rows(located(spark.read.schema(docs.schema).parquet(path)), dropped)
+    dropped = durable(deduplicate(spark, path).where(~F.col("kept")).select(F.struct("entry.path", "entry.row")))
+    rows, at = located(spark.read.schema(docs.schema).parquet(path))
+    return without_rows(rows, dropped, at)

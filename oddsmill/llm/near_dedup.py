@@ -138,7 +138,7 @@ def documents_components(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate component: the one with the smallest identifier (of
     equal ones, the first in the files; a null identifier only where there is no other)."""
-    rows = located(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at")
+    rows, at = located(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(at).alias("at"))
     found = simhash_components(rows.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text")), "key")
-    return without_rows(rows, durable(found.where(F.col("key") != F.col("component")).select("key._at")))
+    return without_rows(rows, durable(found.where(F.col("key") != F.col("component")).select("key.at")), at)

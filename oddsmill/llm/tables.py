@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from oddsmill.session import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch at most. Texts are long, and a batch is held twice on each side of the pipe.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch at most (one row at least). Texts are long, and a batch is held twice on each side of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 #: A side with more rows than this is never broadcast; joins then shuffle both sides.
 BROADCAST_ROWS = 50_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` if they are larger: less memory, and the same rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are larger: less memory, and the same rows."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +42,24 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def located(docs: DataFrame, name: str = "_at") -> DataFrame:
-    """``docs`` with a column that identifies each row: its file and its position there. Rows that do not come straight
-    from files are written once, so a retried task can never see other positions."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that identifies each row, its file and its position there, and that column's name, which is
+    none of theirs. Rows that do not come straight from files are written once, so a retried task can never see
+    other positions."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
     except AnalysisException:
         docs = durable(docs)
-    return docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")))
+    place, name = docs.metadataColumn("_metadata"), free_name(docs, "_at")
+    return docs.withColumn(name, F.struct(place["file_path"].alias("path"), place["row_index"].alias("row"))), name
 
 
 def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,6 +67,7 @@ def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame, name: str = "_at") -> DataFrame:
-    """``docs`` (from ``located``) without the rows whose place is listed in ``dropped``; the place column goes too."""
+def without_rows(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``docs`` (from ``located``) without the rows whose place is in the one column of ``dropped``; the place column goes too."""
+    dropped = dropped.toDF(name)
     return docs.join(sized(dropped), name, "left_anti").drop(name)

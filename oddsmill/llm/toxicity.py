@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .chunks import slices
 from .labelled import labelled_texts, sample_labels
+from .workers import frugal
 
 #: Lengths of the n-grams in bytes of lower-cased text in which every run of other signs reads as spaces.
 SIZES = (4, 5, 6)
@@ -22,6 +24,8 @@ FEATURES, LEAST_Z = 4_096, 4.0
 #: Added to each count in the ratios.
 SMOOTHING = 1.0
 RIDGE, STEPS, RATE = 1e-4, 300, 0.05
+#: Bytes of text that are scored at a time; arrays of n-grams are some dozens of times as large.
+SCORED_BYTES = 500_000
 #: Documents with at least this score are predicted toxic.
 THRESHOLD = 0.3
 
@@ -92,10 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on the sampled labelled documents of ``docs(doc_id, text)``.
 
     Counts of buckets are combined by Spark; the driver gets the chosen features (``FEATURES`` at most) and, of the
-    sampled rows, the numbers of their features. Labels other than 0 count as 1. Without rows of both classes every score is
+    sampled rows, the numbers of their features. Repeated rows count each; empty tables count as without labels. Labels other than 0 count as 1. Without rows of both classes every score is
     the share of label 1 among the labelled rows (0 without any)."""
     train = labelled_texts(docs, sample_labels(labels, label)).withColumn("y", (F.col("y") != 0).cast("int"))
-    counts = train.select("text", "y").mapInArrow(_count, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = train.select("text", "y").mapInArrow(frugal(_count), "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = counts.persist()
     total = counts.where("bucket = -1").first()
     n0, n1 = (total.n0, total.n1) if total else (0, 0)
@@ -118,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 parts = np.split(found, np.searchsorted(row, np.arange(1, b.num_rows)))
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary())], ["y", "features"])
 
-    sample = train.select("text", "y").mapInArrow(rows, "y int, features binary").collect()
+    sample = train.select("text", "y").mapInArrow(frugal(rows), "y int, features binary").collect()
     y = np.array([r.y for r in sample], float)
     features = [np.frombuffer(r.features, "<u2") for r in sample]
     weight, bias = logistic(features, y, ratio)
@@ -143,13 +147,27 @@ def logistic(features: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tu
 
 
 def score_rows(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
-    """``docs``, all columns, with the score of each text (null: empty) in ``name``; no shuffle."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``docs``, all columns, with the score of each text (null: empty) in ``name``; no shuffle, and each text crosses to Python once.
+
+    Repeated rows are scored each; an empty table gives an empty one."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, at, SCORED_BYTES):
+                scores = pa.array(model.score([t or "" for t in b.column(at).to_pylist()]), pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, name])
+
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def kept_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns and no other, without the rows whose text scores ``threshold`` or more."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["row", "score"])
+            for b in slices(batch, at, SCORED_BYTES):
+                yield b.filter(pa.array(model.score([t or "" for t in b.column(at).to_pylist()]) < threshold))
 
-    shape = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"row {shape}, score double").select("row.*", F.col("score").alias(name))
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -20,11 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import PieceCache, slices
+from .workers import give_back
 
 #: Longer words stay outside the trie, which would get a node per letter; each walks its own path.
 TRIE_LETTERS = 1_000
-#: Pairs, encoded words and pieces of text that a worker remembers at most, of each.
-REMEMBERED = 500_000
+#: Words inside pieces that a worker remembers, about, and pieces of text of each generation; a task forgets both as it ends.
+REMEMBERED = 200_000
+#: Pairs of tokens that a worker knows to be valid or not, at most.
+REMEMBERED_PAIRS = 300_000
+#: Bytes of text that are worked on at a time.
+PART_BYTES = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,7 +63,7 @@ class TrieBpe:
                 self.sizes.setdefault(t[-2:], []).append(len(t))
         self.sizes = {k: sorted(set(v), reverse=True) for k, v in self.sizes.items()}
         self.size_of = {i: len(t) for t, i in vocab.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         back = {c: b for b, c in byte_letters().items()}
         plain = {i: bytes(back[c] for c in t) for i, t in self.token.items()}
@@ -75,11 +80,12 @@ class TrieBpe:
             ids[k : k + 2] = [self.merge[ids[k], ids[k + 1]][1]]
 
     def valid(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > REMEMBERED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.token[left] + self.token[right]) == [left, right]
+            known = self.pairs[pair] = self.merged(self.token[left] + self.token[right]) == [left, right]
         return known
 
     def last_token(self, word: str, n: int, last: list[int]) -> int:
@@ -176,9 +182,11 @@ class TrieBpe:
         found = self.walk(list(new))
         get = lambda w: w if isinstance(w, bytes) else found.get(w) or self.words[w]
         out = [get(row[0]) if len(row) == 1 else b"".join(map(get, row)) for row in parts]
-        if len(self.words) + len(found) > REMEMBERED:
+        if len(self.words) > REMEMBERED:
             self.words.clear()
-        self.words.update(found)
+        for row in parts:
+            if len(row) > 1:  # a piece that is one word is remembered by whoever asked for the piece
+                self.words.update((w, found[w]) for w in row if w in found)
         return out
 
     def decode(self, packed: bytes) -> str:
@@ -208,12 +216,15 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", path: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = _worker(path)
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, PART_BYTES):
                 ids = cache.texts([t or "" for t in b.column(1).to_pylist()])
                 columns = [b.column(0), pa.array(ids, pa.binary())]
                 if decoded:
                     columns.append(pa.array([bpe.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"][: len(columns)])
+        cache.forget()  # the worker process goes on with other stages
+        bpe.words.clear()
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"key {kind}, ids binary" + ", decoded string" * decoded)

@@ -9,7 +9,7 @@ from oddsmill.llm import decontaminate, toxicity, trie_bpe
 from oddsmill.llm.tables import keyed_text
 from tests.llm.test_decontaminate import brute_leaks
 from tests.llm.test_exact_dedup import low
-from tests.llm.test_near_dedup import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,8 +35,7 @@ def test_every_stage_matches_plain_python_and_run_is_their_chain(spark, tmp_path
             last = {low(r.text): i for i, r in sorted(kept.items())}
             kept = {i: kept[i] for i in last.values()}
         elif k == 2:
-            names = dict(brute_components([(i, brute_fingerprint(r.text)) for i, r in kept.items()]))
-            kept = {i: r for i, r in kept.items() if names[i] == i}
+            kept = {i: kept[i] for i in brute_kept([(i, r.text) for i, r in kept.items()])}
         else:
             bad = {d for d, _ in brute_leaks(items, [(i, r.text, "") for i, r in kept.items()])}
             kept = {i: r for i, r in kept.items() if i not in bad}
