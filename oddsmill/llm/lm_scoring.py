@@ -26,11 +26,11 @@ from .tables import held_out
 #: Documents whose crc32(doc_id as text) modulo FOLDS is FOLD are held out.
 FOLDS, FOLD = 5, 1
 #: Words whose counts every task gets at most, the most frequent ones; the others meet their counts in a join.
-LEXICON = 150_000
+LEXICON = 300_000
 #: Each round trains on its share of all training documents, from the average of the round before.
 ROUNDS = 2
 #: Symbols that a task holds at a time, and distinct words that it counts before it sends them on.
-CHUNK_SYMBOLS, CHUNK_WORDS = 1_000_000, 100_000
+CHUNK_SYMBOLS, CHUNK_WORDS = 2_000_000, 200_000
 SMOOTHING = 0.5
 #: Partial sums of parameters that the driver gets at most.
 MERGERS = 16
