@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import PieceCache, slices
-from .workers import give_back
+from .workers import keeps
 
 #: Longer words stay outside the trie, which would get a node per letter; each walks its own path.
 TRIE_LETTERS = 1_000
-#: Words inside pieces that a worker remembers, about, and pieces of text of each generation; a task forgets both as it ends.
+#: Words inside pieces that a worker remembers, about, and pieces of text of each generation, until a task of another operator empties both.
 REMEMBERED = 200_000
 #: Pairs of tokens that a worker knows to be valid or not, at most.
 REMEMBERED_PAIRS = 300_000
@@ -196,7 +196,15 @@ class TrieBpe:
 @lru_cache(maxsize=2)
 def _worker(path: str) -> tuple[TrieBpe, PieceCache]:
     bpe = TrieBpe(path)
-    return bpe, PieceCache(bpe.pieces, REMEMBERED)
+    cache = PieceCache(bpe.pieces, REMEMBERED)
+
+    def forget() -> None:
+        cache.forget()
+        bpe.words.clear()
+        bpe.pairs.clear()
+
+    keeps(forget)
+    return bpe, cache
 
 
 def default_path() -> str:
@@ -222,9 +230,6 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", path: str | None = No
                 if decoded:
                     columns.append(pa.array([bpe.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"][: len(columns)])
-        cache.forget()  # the worker process goes on with other stages
-        bpe.words.clear()
-        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"key {kind}, ids binary" + ", decoded string" * decoded)

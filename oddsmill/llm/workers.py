@@ -10,6 +10,14 @@ import pyarrow as pa
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+_forget: list[Callable[[], None]] = []
+
+
+def keeps(forget: Callable[[], None]) -> None:
+    """Says how to empty a cache that this worker keeps from task to task; tasks of other operators do so as they begin."""
+    _forget.append(forget)
+
+
 def give_back() -> None:
     """Hand memory that this process has freed back to the system, where the allocators can."""
     pa.default_memory_pool().release_unused()
@@ -20,9 +28,11 @@ def give_back() -> None:
 
 
 def frugal(run: Run) -> Run:
-    """``run``, and once a task is through, what it freed is handed back."""
+    """``run`` in a worker without the caches of other operators; once a task is through, what it freed is handed back."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for forget in _forget:
+            forget()
         yield from run(batches)
         give_back()
 
