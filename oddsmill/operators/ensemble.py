@@ -120,11 +120,6 @@ def hedge(df: DataFrame, experts: list[str], order: list[str], caps: dict[str, f
     return cut.groupBy("ctx", "_blk").applyInPandas(replay, schema)
 
 
-def final_weights(replayed: DataFrame, experts: list[str]) -> DataFrame:
-    names = [f"w_{e}" for e in experts]
-    return replayed.groupBy("ctx").agg(F.max_by(F.struct(*names), "pos").alias("_w")).select("ctx", "_w.*")
-
-
 # --- rolling strategies ------------------------------------------------------------------------------------
 def _rolled(df: DataFrame, experts: list[str], order: list[str], window: int, keys: list[str]) -> DataFrame:
     """Previous ``window`` rows (overall or per key): rows seen, and count and hit rate per expert."""

@@ -17,7 +17,8 @@ fn_coerce fn_name_key fn_stat_value fn_normal_prob fn_edge_score join_training_b
 flt_eligible topk_per_group set_distinct win_hist_base win_hist_trend win_hist_streak win_opp_rank win_travel win_market lab_resolve lab_update lab_train_frame lab_prequential
 fc_distribution fc_baseline cal_context_fit cal_conformal_apply cal_pit_map ens_weighted_pool ens_top_k ens_weight_search pol_threshold_fit pol_score_slate pol_logged_top
 src_json_flatten src_typed_rows src_resultset snk_jsonl_csv ing_dedupe_merge ing_upsert_mixed ing_log_split ing_snapshot_id ing_market_parse snap_line_move snap_recent_summaries
-agg_grouping_sets agg_inspect agg_collect_health qual_payload qual_pages qual_source_agree qual_page_gamelog st_snapshot_ingest st_line_move st_window_counts""".split()
+agg_grouping_sets agg_inspect agg_collect_health qual_payload qual_pages qual_source_agree qual_page_gamelog st_snapshot_ingest st_line_move st_window_counts
+agg_audit cal_context_as_of cal_isotonic_fit cal_isotonic_apply cal_platt cal_best ens_hedge st_online_hedge st_resolve""".split()
 ORACLE = entry.oracle_sql()
 NAMES = sorted(ORACLE) if os.environ.get("ODDSMILL_FULL") else CHOSEN
 
