@@ -104,7 +104,7 @@ class Tables:
         label = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
         line = F.floor(F.col("o_totalprice") / 1000).cast("double")
         return o.select(
-            F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 200).alias("player_id"),
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("player_id"),
             F.col("o_custkey").alias("cust"),
             F.col("o_orderpriority").alias("stat_type"), F.col("o_orderdate").alias("decision_time"),
             (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("snapshot_id"),
@@ -129,7 +129,7 @@ class Tables:
         return (
             o.groupBy(
                 (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("snapshot_id"),
-                (F.col("o_custkey") % 200).alias("player_id"), F.col("o_orderpriority").alias("stat_type"),
+                F.col("o_custkey").alias("player_id"), F.col("o_orderpriority").alias("stat_type"),
             )
             .agg(F.floor(F.min("o_totalprice") / 1000).cast("double").alias("line_score"))
         )
@@ -148,7 +148,7 @@ class Tables:
             "player_id", "team", "opp", F.col("game_date").alias("slate"), "minutes",
             F.col("leg.stat_type").alias("stat_type"), F.col("leg.actual").alias("actual"),
             (num(10) + num(5) * (F.col("player_id") % 5)).alias("line_score"),
-            ((F.col("player_id") * 1000 + F.dayofyear("game_date")) * 4 + F.col("leg.m")).alias("id"),
+            ((F.col("player_id") * 100000 + F.unix_date("game_date")) * 4 + F.col("leg.m")).alias("id"),
         )
         probs = {p: pseudo_prob(p, "id", "player_id") for p in PROB_COEFS}
         probs["p_tabdl"] = F.when(F.col("id") % 7 != 0, probs["p_tabdl"])
@@ -182,6 +182,10 @@ class Tables:
 
 # --- SQL twins -----------------------------------------------------------------------------------
 
+#: Days since 1970, so ids made of them never come back in a later year; below 100,000 until the year 2243.
+EPOCH_DAY = "(CAST({} AS DATE) - DATE '1970-01-01')"
+
+
 def _measure_sql(kind: str, name: str) -> str:
     return f"round(sum(CASE WHEN event_type = '{kind}' THEN value ELSE 0e0 END), 2) AS {name}"
 
@@ -206,7 +210,7 @@ _probs = ", ".join(
 )
 PREDICTIONS = f"""pr AS (
   SELECT *, CASE WHEN over_label IS NOT NULL THEN CASE WHEN (p_final >= 5e-1) = (over_label = 1) THEN 1 ELSE 0 END END AS is_correct
-  FROM (SELECT o_orderkey AS id, o_custkey % 200 AS player_id, o_custkey AS cust, o_orderpriority AS stat_type,
+  FROM (SELECT o_orderkey AS id, o_custkey AS player_id, o_custkey AS cust, o_orderpriority AS stat_type,
     o_orderdate AS decision_time,
     CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS snapshot_id,
     CAST(floor(o_totalprice / 1000) AS DOUBLE) AS line_score,
@@ -221,13 +225,13 @@ PREDICTIONS = f"""pr AS (
 RESOLVED = PREDICTIONS + ",\nrs AS (SELECT * FROM pr WHERE over_label IS NOT NULL)"
 
 LINE_SNAPSHOTS = """ls AS (
-  SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS snapshot_id, o_custkey % 200 AS player_id,
+  SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS snapshot_id, o_custkey AS player_id,
          o_orderpriority AS stat_type, CAST(floor(min(o_totalprice) / 1000) AS DOUBLE) AS line_score
   FROM orders GROUP BY 1, 2, 3)"""
 
 _legs = "\n UNION ALL ".join(
     f"SELECT player_id, team, opp, game_date AS slate, minutes, '{name}' AS stat_type, {col} AS actual, "
-    f"10e0 + 5e0 * (player_id % 5) AS line_score, (player_id * 1000 + dayofyear(game_date)) * 4 + {i} AS id FROM gl"
+    f"10e0 + 5e0 * (player_id % 5) AS line_score, (player_id * 100000 + {EPOCH_DAY.format('game_date')}) * 4 + {i} AS id FROM gl"
     for i, (name, col) in enumerate(zip(MEASURES, MEASURE_COLS))
 )
 _line_probs = ", ".join(_sql_prob(p, "id", "player_id") for p in PROB_COEFS if p != "p_tabdl")

@@ -16,7 +16,7 @@ from oddsmill.sources import market as MK
 from oddsmill.sources import snapshot_json as SJ
 from oddsmill.sources.files import scratch_path
 
-from .adapters import GAME_LOG, LINES, LINE_SNAPSHOTS, MARKET, PREDICTIONS, TEAM_GAMES, pick_from, q_case, q_r6, sql_list, union_sql
+from .adapters import EPOCH_DAY, GAME_LOG, LINES, LINE_SNAPSHOTS, MARKET, PREDICTIONS, TEAM_GAMES, pick_from, q_case, q_r6, sql_list, union_sql
 from .q_joins import FLAGS, SOURCE_CODES, flagged
 from .registry import query
 
@@ -186,16 +186,16 @@ def ing_dedupe_first(t):
     return I.first_keyed(e, ["player", "game"], ["event_id"])
 
 
-WIDE = GAME_LOG + f""", wd AS (SELECT player_id, 'P' || player_id AS player_name, ({sql_list(SOURCE_CODES)})[CAST(player_id % 30 + 1 AS INT)] AS team, least(player_id % 30, 29 - player_id % 30) * 1000 + dayofyear(game_date) AS game_id, game_date,
-  minutes, points, rebounds, assists, dayofyear(game_date) * 100000 + player_id AS seq, (list_position({sql_list(K.TEAMS)}, team) - 1 + day(game_date)) % 2 = 0 AS home FROM gl)"""
+WIDE = GAME_LOG + f""", wd AS (SELECT player_id, 'P' || player_id AS player_name, ({sql_list(SOURCE_CODES)})[CAST(player_id % 30 + 1 AS INT)] AS team, least(player_id % 30, 29 - player_id % 30) * 100000 + {EPOCH_DAY.format('game_date')} AS game_id, game_date,
+  minutes, points, rebounds, assists, {EPOCH_DAY.format('game_date')} * 1000000000 + player_id AS seq, (list_position({sql_list(K.TEAMS)}, team) - 1 + day(game_date)) % 2 = 0 AS home FROM gl)"""
 
 
 def wide_log(t):
     g, i = t.game_log(), F.col("player_id") % 30
     own, opp = pick_from(SOURCE_CODES, i), pick_from(SOURCE_CODES, 29 - i)
     home = (i + F.dayofmonth("game_date")) % 2 == 0
-    return g.select("player_id", F.concat(F.lit("P"), F.col("player_id").cast("string")).alias("player_name"), own.alias("team"), (F.least(i, 29 - i) * 1000 + F.dayofyear("game_date")).alias("game_id"), "game_date",
-                    "minutes", "points", "rebounds", "assists", (F.dayofyear("game_date") * 100000 + F.col("player_id")).alias("seq"),
+    return g.select("player_id", F.concat(F.lit("P"), F.col("player_id").cast("string")).alias("player_name"), own.alias("team"), (F.least(i, 29 - i) * 100000 + F.unix_date("game_date")).alias("game_id"), "game_date",
+                    "minutes", "points", "rebounds", "assists", (F.unix_date("game_date").cast("bigint") * 1000000000 + F.col("player_id")).alias("seq"),
                     F.when(home, F.concat_ws(" vs. ", own, opp)).otherwise(F.concat_ws(" @ ", own, opp)).alias("matchup"))
 
 
@@ -363,7 +363,7 @@ def ing_append_pred(t):
 # --- snapshots -------------------------------------------------------------------------------------------------------
 SNAPS = LINE_SNAPSHOTS + """, sn AS (SELECT snapshot_id, snapshot_id % 2 AS league, make_timestamp(CAST((snapshot_id - 1) // 12 AS BIGINT), CAST((snapshot_id - 1) % 12 + 1 AS BIGINT), 2, 10, 0, 0.0) AS fetched_at, count(*) AS data_count FROM ls GROUP BY 1),
 pv AS (SELECT *, lag(snapshot_id) OVER (PARTITION BY league ORDER BY fetched_at) AS prev FROM sn),
-kl AS (SELECT snapshot_id * 100000 + player_id * 10 + CAST(substr(stat_type, 1, 1) AS BIGINT) AS id, snapshot_id, player_id, stat_type, CASE WHEN player_id % 3 <> 0 THEN player_id % 10 END AS game_id, CASE WHEN player_id % 17 <> 0 THEN line_score END AS line_score FROM ls),
+kl AS (SELECT snapshot_id * 1000000000000 + player_id * 10 + CAST(substr(stat_type, 1, 1) AS BIGINT) AS id, snapshot_id, player_id, stat_type, CASE WHEN player_id % 3 <> 0 THEN player_id % 10 END AS game_id, CASE WHEN player_id % 17 <> 0 THEN line_score END AS line_score FROM ls),
 mv AS (SELECT c.*, o.line_score AS prev_line, c.line_score - o.line_score AS delta, CASE WHEN c.line_score IS NULL THEN NULL WHEN o.line_score IS NULL THEN 'new' WHEN c.line_score > o.line_score THEN 'up' WHEN c.line_score < o.line_score THEN 'down' ELSE 'same' END AS movement
   FROM kl c JOIN pv ON pv.snapshot_id = c.snapshot_id LEFT JOIN kl o ON o.snapshot_id = pv.prev AND o.player_id = c.player_id AND o.stat_type = c.stat_type AND o.game_id IS NOT DISTINCT FROM c.game_id)"""
 
@@ -375,7 +375,7 @@ def snapshots(t):
 
 def keyed_lines(t):
     p = F.col("player_id")
-    return t.line_snapshots().select((F.col("snapshot_id") * 100000 + p * 10 + F.substring("stat_type", 1, 1).cast("bigint")).alias("id"), "snapshot_id", "player_id", "stat_type",
+    return t.line_snapshots().select((F.col("snapshot_id") * 1000000000000 + p * 10 + F.substring("stat_type", 1, 1).cast("bigint")).alias("id"), "snapshot_id", "player_id", "stat_type",
                                      F.when(p % 3 != 0, p % 10).alias("game_id"), F.when(p % 17 != 0, F.col("line_score")).alias("line_score"))
 
 

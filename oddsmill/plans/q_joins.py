@@ -13,7 +13,7 @@ from oddsmill.operators import asof as A
 from oddsmill.operators import matching as J
 from oddsmill.operators.ordering import sorted_positions
 
-from .adapters import GAME_LOG, LINE_SNAPSHOTS, LINES, MARKET, MARKET_PROBES, MEASURE_COLS, MEASURES, PREDICTIONS, TEAM_GAMES, pick_from, q_case, q_r6, q_sum, sql_list
+from .adapters import EPOCH_DAY, GAME_LOG, LINE_SNAPSHOTS, LINES, MARKET, MARKET_PROBES, MEASURE_COLS, MEASURES, PREDICTIONS, TEAM_GAMES, pick_from, q_case, q_r6, q_sum, sql_list
 from .registry import query
 
 # --- an eight-way schema over the star tables: lines, features, players, games, teams, official games --------
@@ -21,16 +21,16 @@ from .registry import query
 SOURCE_CODES = ["PHO" if t == "PHX" else "NO" if t == "NOP" else "WSH" if t == "WAS" else t for t in K.TEAMS]   # source spelling
 WORLD = LINES + f""",
 teams AS (SELECT CAST(u.range AS BIGINT) AS team_id, ({sql_list(SOURCE_CODES)})[CAST(u.range + 1 AS INT)] AS abbreviation FROM range(30) u),
-games AS (SELECT DISTINCT least(player_id % 30, 29 - player_id % 30) * 1000 + dayofyear(game_date) AS game_id,
+games AS (SELECT DISTINCT least(player_id % 30, 29 - player_id % 30) * 100000 + {EPOCH_DAY.format('game_date')} AS game_id,
    CASE WHEN day(game_date) % 2 = 0 THEN least(player_id % 30, 29 - player_id % 30) ELSE greatest(player_id % 30, 29 - player_id % 30) END AS home_team_id,
    CASE WHEN day(game_date) % 2 = 0 THEN greatest(player_id % 30, 29 - player_id % 30) ELSE least(player_id % 30, 29 - player_id % 30) END AS away_team_id,
    CAST(game_date AS TIMESTAMP) + INTERVAL '23 hours 30 minutes' AS start_time FROM gl),
-official AS (SELECT DISTINCT 900000 + least(player_id % 30, 29 - player_id % 30) * 1000 + dayofyear(game_date) AS official_id, game_date,
+official AS (SELECT DISTINCT 90000000 + least(player_id % 30, 29 - player_id % 30) * 100000 + {EPOCH_DAY.format('game_date')} AS official_id, game_date,
    ({sql_list(K.TEAMS)})[CAST(CASE WHEN day(game_date) % 2 = 0 THEN least(player_id % 30, 29 - player_id % 30) ELSE greatest(player_id % 30, 29 - player_id % 30) END + 1 AS INT)] AS home,
    ({sql_list(K.TEAMS)})[CAST(CASE WHEN day(game_date) % 2 = 0 THEN greatest(player_id % 30, 29 - player_id % 30) ELSE least(player_id % 30, 29 - player_id % 30) END + 1 AS INT)] AS away
-   FROM gl WHERE dayofyear(game_date) % 9 <> 0),
+   FROM gl WHERE {EPOCH_DAY.format('game_date')} % 9 <> 0),
 nm AS (SELECT source_abbr, normalized_abbr FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in sorted(K.TEAM_OVERRIDES.items()))}) v(source_abbr, normalized_abbr)),
-ft AS (SELECT id, player_id, stat_type, line_score, slate, least(player_id % 30, 29 - player_id % 30) * 1000 + dayofyear(slate) AS game_id, CAST(id % 4 AS INT) AS odds_type,
+ft AS (SELECT id, player_id, stat_type, line_score, slate, least(player_id % 30, 29 - player_id % 30) * 100000 + {EPOCH_DAY.format('slate')} AS game_id, CAST(id % 4 AS INT) AS odds_type,
    CASE WHEN id % 13 = 0 THEN 'combo' END AS event_type FROM ln),
 gm AS (SELECT g.game_id, o.official_id FROM games g LEFT JOIN teams ht ON ht.team_id = g.home_team_id LEFT JOIN teams aw ON aw.team_id = g.away_team_id
    LEFT JOIN nm hm ON hm.source_abbr = upper(ht.abbreviation) LEFT JOIN nm am ON am.source_abbr = upper(aw.abbreviation)
@@ -48,10 +48,10 @@ class World:
         lo, hi, even = F.least(a, b), F.greatest(a, b), F.dayofmonth("game_date") % 2 == 0
         pair = g.select(lo.alias("lo"), hi.alias("hi"), "game_date").distinct()
         home, away = F.when(F.dayofmonth("game_date") % 2 == 0, F.col("lo")).otherwise(F.col("hi")), F.when(F.dayofmonth("game_date") % 2 == 0, F.col("hi")).otherwise(F.col("lo"))
-        self.games = pair.select((F.col("lo") * 1000 + F.dayofyear("game_date")).alias("game_id"), home.alias("home_team_id"), away.alias("away_team_id"),
+        self.games = pair.select((F.col("lo") * 100000 + F.unix_date("game_date")).alias("game_id"), home.alias("home_team_id"), away.alias("away_team_id"),
                                  (F.col("game_date").cast("timestamp_ntz") + F.expr("interval '23:30' hour to minute")).alias("start_time"))
-        self.official = pair.filter(F.dayofyear("game_date") % 9 != 0).select(
-            (F.lit(900000) + F.col("lo") * 1000 + F.dayofyear("game_date")).alias("official_id"), "game_date",
+        self.official = pair.filter(F.unix_date("game_date") % 9 != 0).select(
+            (F.lit(90000000) + F.col("lo") * 100000 + F.unix_date("game_date")).alias("official_id"), "game_date",
             pick_from(K.TEAMS, home).alias("home"), pick_from(K.TEAMS, away).alias("away"))
         self.teams = t.spark.range(30).select(F.col("id").alias("team_id"), pick_from(SOURCE_CODES, F.col("id")).alias("abbreviation"))
 
@@ -68,7 +68,7 @@ class World:
     def features(self):
         l = self.t.lines()
         a, b = F.col("player_id") % 30, 29 - F.col("player_id") % 30
-        return l.select("id", "player_id", "stat_type", "line_score", "slate", (F.least(a, b) * 1000 + F.dayofyear("slate")).alias("game_id"),
+        return l.select("id", "player_id", "stat_type", "line_score", "slate", (F.least(a, b) * 100000 + F.unix_date("slate")).alias("game_id"),
                         (F.col("id") % 4).cast("int").alias("odds_type"), F.when(F.col("id") % 13 == 0, "combo").alias("event_type"))
 
 
@@ -114,7 +114,7 @@ def join_game_resolve(t):
 
 
 COMBO = GAME_LOG + f""", cl AS (SELECT event_id AS line_id, CAST(ts AS DATE) AS game_date, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') ||
-  CASE WHEN event_id % 3 = 0 THEN ' + Customer#' || lpad(CAST((user_id + 30) % 150 AS VARCHAR), 9, '0') ELSE '' END AS name FROM events WHERE event_type = 'click'),
+  CASE WHEN event_id % 3 = 0 THEN ' + Customer#' || lpad(CAST(user_id + 1 AS VARCHAR), 9, '0') ELSE '' END AS name FROM events WHERE event_type = 'click'),
 ex AS (SELECT line_id, game_date, unnest(string_split(name, ' + ')) AS part FROM cl),
 ky AS (SELECT line_id, game_date, {_nkey.format('part')} AS name_key FROM ex),
 pl AS (SELECT c_custkey AS player_id, {_nkey.format('c_name')} AS name_key FROM customer)
@@ -129,7 +129,7 @@ def join_combo_decompose(t):
     e = t.base("events").filter("event_type = 'click'")
     u = F.col("user_id")
     lines = e.select(F.col("event_id").alias("line_id"), F.to_date("ts").alias("game_date"),
-                     F.concat(full(u), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" + "), full((u + 30) % 150))).otherwise("")).alias("name"))
+                     F.concat(full(u), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" + "), full(u + 1))).otherwise("")).alias("name"))
     players = t.base("customer").select(F.col("c_custkey").alias("player_id"), N.name_key("c_name").alias("name_key"))
     out = J.decompose_combos(lines, players, t.game_log(), "line_id", "name", "game_date", ["points", "rebounds"], N.name_key)
     return out.select("line_id", "expected", "matched", r6("points").alias("points"), r6("rebounds").alias("rebounds"))

@@ -12,7 +12,7 @@ from oddsmill.functions.exprs import big, num, r6
 from oddsmill.operators import labels as L
 from oddsmill.operators import matching as J
 
-from .adapters import LINES, MEASURE_COLS, PREDICTIONS, q_r6, sql_list, union_sql
+from .adapters import EPOCH_DAY, LINES, MEASURE_COLS, PREDICTIONS, q_r6, sql_list, union_sql
 from .q_joins import RESOLVE, WORLD, World, flagged, resolve_sides
 from .registry import query
 
@@ -38,7 +38,7 @@ def lab_candidates(t):
 RES = WORLD + ", " + RESOLVE + f""",
 mapl AS (SELECT line_id AS player_id, player_id AS official_player FROM src JOIN dim ON src.name_key = dim.name_key),
 bx AS (SELECT * FROM gl WHERE player_id % 11 <> 0),
-bc AS (SELECT 900000 + least(player_id % 30, 29 - player_id % 30) * 1000 + dayofyear(game_date) AS official_id, count(*) AS box_rows FROM bx GROUP BY 1),
+bc AS (SELECT 90000000 + least(player_id % 30, 29 - player_id % 30) * 100000 + {EPOCH_DAY.format('game_date')} AS official_id, count(*) AS box_rows FROM bx GROUP BY 1),
 cd AS (SELECT ft.*, CASE WHEN ln.p_final >= 5e-1 THEN 'OVER' ELSE 'UNDER' END AS pick FROM ft JOIN ln ON ln.id = ft.id),
 r0 AS (SELECT cd.*, bx.player_id IS NOT NULL AS matched, bx.player_id IS NULL AND coalesce(box_rows, 0) > 0 AS forced_push,
    CASE cd.stat_type WHEN 'Points' THEN points WHEN 'Rebounds' THEN rebounds WHEN 'Assists' THEN assists ELSE turnovers END AS val
@@ -57,7 +57,7 @@ def resolved_lines(t):
     games = w.games.select("game_id", J.eastern_date(F.col("start_time").cast("timestamp")).alias("game_date")).join(w.game_map(), "game_id", "left")
     boxes = t.game_log().filter("player_id % 11 <> 0")
     a, b = F.col("player_id") % 30, 29 - F.col("player_id") % 30
-    counts = boxes.groupBy((F.lit(900000) + F.least(a, b) * 1000 + F.dayofyear("game_date")).alias("official_id")).agg(F.count(F.lit(1)).alias("box_rows"))
+    counts = boxes.groupBy((F.lit(90000000) + F.least(a, b) * 100000 + F.unix_date("game_date")).alias("official_id")).agg(F.count(F.lit(1)).alias("box_rows"))
     picks = t.lines().select("id", F.when(X.pick_over("p_final"), "OVER").otherwise("UNDER").alias("pick"))
     lines = w.features().join(picks, "id")
     return L.resolve(lines, players, games, boxes.select(F.col("player_id").alias("official_player"), "game_date", *MEASURE_COLS), counts,

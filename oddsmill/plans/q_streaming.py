@@ -49,7 +49,7 @@ def st_snapshot_ingest(t):
  FROM ls c JOIN pv ON pv.snapshot_id = c.snapshot_id LEFT JOIN ls o ON o.snapshot_id = pv.prev AND o.player_id = c.player_id AND o.stat_type = c.stat_type""")
 def st_line_move(t):
     o = Streamed(t, "orders").base("orders")
-    lines = o.select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("snapshot_id"), (F.col("o_custkey") % 200).alias("player_id"), F.col("o_orderpriority").alias("stat_type"),
+    lines = o.select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("snapshot_id"), F.col("o_custkey").alias("player_id"), F.col("o_orderpriority").alias("stat_type"),
                      F.floor(F.col("o_totalprice") / 1000).cast("double").alias("line_score"))
     prev = S.previous_snapshot(snapshots(t)).select("snapshot_id", "prev_snapshot_id")
     state = ST.latest_updates(ST.materialise(t.spark, ST.line_minima(lines), "update"), ["player_id", "stat_type", "snapshot_id"])
