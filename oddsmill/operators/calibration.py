@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,19 +16,19 @@ from oddsmill.functions.exprs import num, r6
 from oddsmill.session import durable
 
 from .asof import asof_latest
-from .distribution import bucket_of, exact_quantiles, prefix_sums, value_counts
+from .distribution import exact_quantiles, prefix_sums, ranged, value_counts
 from .ordering import group_positions
 
 GLOBAL = "__global__"
 
 
 # --- context priors ----------------------------------------------------------------------------------------
-def fit_context_priors(df: DataFrame, scale: float = 1.0) -> DataFrame:
+def fit_context_priors(df: DataFrame) -> DataFrame:
     """Per measure: over rate, line tercile edges and bucket rates, with row floors. One row per measure."""
     floor = K.MIN_BUCKET_ROWS
     overall = df.agg(F.round(F.avg(F.col("over_label").cast("double")), 4)).scalar()
     stat = df.groupBy("stat_type").agg(F.count(F.lit(1)).alias("n"), F.count("line_score").alias("_nl"), F.avg(F.col("over_label").cast("double")).alias("_m"))
-    edges = exact_quantiles(df, ["stat_type"], "line_score", {"e1": 1 / 3, "e2": 2 / 3}, scale).select(
+    edges = exact_quantiles(df, ["stat_type"], "line_score", {"e1": 1 / 3, "e2": 2 / 3}).select(
         "stat_type", F.round("e1", 2).alias("e1"), F.round("e2", 2).alias("e2"))
     base = stat.join(edges, "stat_type", "left").withColumns({
         "global_prior": overall,
@@ -121,7 +124,7 @@ def fit_conformal(long: DataFrame, alpha: float = 0.10) -> DataFrame:
     """q-hat per expert: the quantile of 1 - P(true label) at the finite-sample level."""
     scored = long.withColumn("_s", F.when(F.col("over_label") == 1, num(1) - F.col("p")).otherwise(F.col("p")))
     level = F.least(num(1), num(1 - alpha) * (num(1) + num(1) / F.col("n")))
-    return exact_quantiles(scored, ["expert"], "_s", {"q_hat": level}, 10000.0)
+    return exact_quantiles(scored, ["expert"], "_s", {"q_hat": level})
 
 
 def majority_set_size(df: DataFrame, experts: list[str], q_hat: DataFrame) -> DataFrame:
@@ -166,33 +169,66 @@ def scoped(df: DataFrame) -> DataFrame:
     return df.withColumn("scope", F.explode(F.array(F.col("stat_type"), F.lit(GLOBAL))))
 
 
-def fit_gaussian(df: DataFrame, weight: str, min_rows: int) -> DataFrame:
-    """Weighted least squares of y on mu (a, b), then of squared residuals on sigma^2 (c^2, d^2), all from one
-    aggregate of moments per scope; negative components are clamped and the other one refitted."""
-    w, x, y, s = [F.col(c) for c in (weight, "mu_hat", "y_true", "sigma_hat")]
-    v = s * s
-    m = {"w": w, "x": w * x, "y": w * y, "xx": w * x * x, "xy": w * x * y, "yy": w * y * y, "v": w * v, "vv": w * v * v,
-         "vx": w * v * x, "vy": w * v * y, "vxx": w * v * x * x, "vxy": w * v * x * y, "vyy": w * v * y * y}
-    g = scoped(df).groupBy("scope").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(e).alias(f"_{k}") for k, e in m.items()]).filter(F.col("rows") >= min_rows)
-    S = {k: F.col(f"_{k}") for k in m}
-    det = S["w"] * S["xx"] - S["x"] * S["x"]
-    a = F.when(det > 1e-12, (S["w"] * S["xy"] - S["x"] * S["y"]) / det).otherwise(num(1))
-    g = g.withColumn("a", a).withColumn("b", (S["y"] - F.col("a") * S["x"]) / S["w"])
-    A_, B_ = F.col("a"), F.col("b")
-    e2 = S["yy"] - 2.0 * A_ * S["xy"] - 2.0 * B_ * S["y"] + A_ * A_ * S["xx"] + 2.0 * A_ * B_ * S["x"] + B_ * B_ * S["w"]
-    ve = S["vyy"] - 2.0 * A_ * S["vxy"] - 2.0 * B_ * S["vy"] + A_ * A_ * S["vxx"] + 2.0 * A_ * B_ * S["vx"] + B_ * B_ * S["v"]
-    g = g.withColumns({"_e": e2, "_ve": ve, "_det": S["w"] * S["vv"] - S["v"] * S["v"]})
-    slope = F.when(F.col("_det") > 1e-12, (S["w"] * F.col("_ve") - S["v"] * F.col("_e")) / F.col("_det")).otherwise(num(0))
-    g = g.withColumn("_c2", slope).withColumn("_d2", (F.col("_e") - F.col("_c2") * S["v"]) / S["w"])
-    c2 = F.when(F.col("_d2") < 0, F.greatest(F.col("_ve") / S["vv"], num(0))).otherwise(F.greatest(F.col("_c2"), num(0)))
-    d2 = F.when(F.col("_d2") < 0, num(0)).when(F.col("_c2") < 0, F.col("_e") / S["w"]).otherwise(F.col("_d2"))
-    return g.select("scope", "rows", "a", "b", F.sqrt(c2).alias("c"), F.sqrt(F.greatest(d2, num(0))).alias("d"))
+#: Rounds of Fisher scoring, and the smallest variance a row is weighted by.
+SCORING_ROUNDS, MIN_VARIANCE = 6, 1e-6
+_SPREAD = ("s", "o", "t")   # what the variance is made of: the forecast's own, a constant, and 1 / (n_eff + 1)
+
+
+def _not_negative(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The least squares solution of ``h @ x = g`` without negative entries: the best of the supports that have one."""
+    best, top = np.zeros(3), 0.0
+    for k in range(1, 4):
+        for support in itertools.combinations(range(3), k):
+            part = h[np.ix_(support, support)]
+            if np.linalg.det(part) <= 1e-12 * np.prod(np.diag(part)):
+                continue
+            x = np.linalg.solve(part, g[list(support)])
+            if (x > 0).all() and x @ g[list(support)] > top:
+                best, top = np.zeros(3), x @ g[list(support)]
+                best[list(support)] = x
+    return best
+
+
+def _scored(m: dict[str, float]) -> tuple[float, ...]:
+    """Next a, b and the three variance components from one scope's moments."""
+    det = m["o"] * m["xx"] - m["x"] * m["x"]
+    a = (m["o"] * m["xy"] - m["x"] * m["y"]) / det if det > 1e-12 * m["o"] * m["xx"] else 1.0
+    h = np.array([[m.get(f"h{p}{q}", m.get(f"h{q}{p}")) for q in _SPREAD] for p in _SPREAD])
+    return (a, (m["y"] - a * m["x"]) / m["o"], *(float(v) for v in _not_negative(h, np.array([m[f"g{c}"] for c in _SPREAD]))))
+
+
+def fit_gaussian(df: DataFrame, weight: str, min_rows: int, rounds: int = SCORING_ROUNDS) -> DataFrame:
+    """Per scope, the weighted likelihood fit of y as Normal(a mu + b, c^2 sigma^2 + d^2 + eta / (n_eff + 1)) by Fisher
+    scoring: ``scope, rows, a, b, c, d, eta``.
+
+    A round is one aggregate of moments per scope. The mean is least squares weighted by w / V, the variance least squares of
+    the squared residuals weighted by w / V^2 over components that may not turn negative; both are blocks of the same
+    information matrix. Only moments, one row per measure, reach the driver. A missing n_eff counts as 1; scopes
+    with fewer than ``min_rows`` rows have no fit."""
+    spark = df.sparkSession
+    x, y, s, t = F.col("mu_hat"), F.col("y_true"), F.col("sigma_hat") * F.col("sigma_hat"), num(1) / (F.coalesce("n_eff", num(1)) + num(1))
+    rows = scoped(df).select("scope", F.col(weight).alias("w"), x.alias("x"), y.alias("y"), s.alias("s"), num(1).alias("o"), t.alias("t"))
+    sizes = {r["scope"]: r["n"] for r in rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).collect()}
+    fit = dict.fromkeys(sizes, (1.0, 0.0, 1.0, 0.0, 0.0))
+    for _ in range(rounds if fit else 0):
+        now = spark.createDataFrame([(k, *p) for k, p in fit.items()], "scope string, a double, b double, ks double, ko double, kt double")
+        near = rows.join(F.broadcast(now), "scope")   # one row per measure
+        variance = F.greatest(F.col("ks") * F.col("s") + F.col("ko") + F.col("kt") * F.col("t"), num(MIN_VARIANCE))
+        near = near.withColumn("v", variance).withColumn("e", F.col("y") - F.col("a") * F.col("x") - F.col("b"))
+        u, q = F.col("w") / F.col("v"), F.col("w") / (F.col("v") * F.col("v"))
+        moments = {"o": u, "x": u * F.col("x"), "y": u * F.col("y"), "xx": u * F.col("x") * F.col("x"), "xy": u * F.col("x") * F.col("y")}
+        moments |= {f"h{a}{b}": q * F.col(a) * F.col(b) for a, b in itertools.combinations_with_replacement(_SPREAD, 2)}
+        moments |= {f"g{c}": q * F.col(c) * F.col("e") * F.col("e") for c in _SPREAD}
+        found = near.groupBy("scope").agg(*[F.sum(m).alias(k) for k, m in moments.items()]).collect()
+        fit |= {r["scope"]: _scored(r.asDict()) for r in found if r["o"] > 0}
+    out = [(k, sizes[k], a, b, ks ** 0.5, ko ** 0.5, kt) for k, (a, b, ks, ko, kt) in fit.items()]
+    return spark.createDataFrame(out, "scope string, rows bigint, a double, b double, c double, d double, eta double")
 
 
 def apply_gaussian(df: DataFrame) -> DataFrame:
-    """Adds mu_cal and sigma_cal from a, b, c, d columns."""
-    return df.withColumns({"mu_cal": F.col("a") * F.col("mu_hat") + F.col("b"),
-                           "sigma_cal": F.sqrt(F.pow(F.col("c") * F.col("sigma_hat"), num(2)) + F.pow("d", num(2)))})
+    """Adds mu_cal and sigma_cal from a, b, c, d and eta columns."""
+    wide = F.pow(F.col("c") * F.col("sigma_hat"), num(2)) + F.pow("d", num(2)) + F.col("eta") / (F.coalesce("n_eff", num(1)) + num(1))
+    return df.withColumns({"mu_cal": F.col("a") * F.col("mu_hat") + F.col("b"), "sigma_cal": F.sqrt(wide)})
 
 
 def pit(y: Column, mu: Column, sigma: Column) -> Column:
@@ -201,7 +237,7 @@ def pit(y: Column, mu: Column, sigma: Column) -> Column:
 
 def pit_knots(df: DataFrame, keys: list[str], u: str, knots: int = 512) -> DataFrame:
     """Empirical CDF of u at up to ``knots`` evenly spaced ranks: one row (keys, j, x, y) per knot."""
-    counts = value_counts(df, keys, u).withColumn("_b", bucket_of(u, 10000.0))
+    counts = ranged(value_counts(df, keys, u), keys, u)
     sizes = counts.groupBy(*keys).agg(F.sum("_cnt").alias("n"))
     placed = prefix_sums(counts, keys, "_b", u, {"_before": "_cnt"}).join(sizes, keys)
     n, lo, hi = F.col("n"), F.col("_before"), F.col("_before") + F.col("_cnt")
@@ -234,7 +270,7 @@ def interpolate(u: Column, kx: str = "kx", ky: str = "ky", left: float | None =
 
 def with_calibrator(df: DataFrame, params: DataFrame, knots: DataFrame | None = None, per_stat: list[str] | None = None) -> DataFrame:
     """Attach the measure's calibrator, else the global one; ``status`` says which. One row per scope on the right."""
-    right = params.select("scope", "a", "b", "c", "d")
+    right = params.select("scope", "a", "b", "c", "d", "eta")
     if knots is not None:
         right = right.join(knot_arrays(knots, ["scope"]), "scope")
     mine = right if per_stat is None else right.filter(F.col("scope").isin(*per_stat, GLOBAL))
@@ -261,7 +297,7 @@ def evaluate(df: DataFrame, keys: list[str], mu: str, sigma: str, tag: str) -> D
 
 
 def ks_uniform(df: DataFrame, keys: list[str], u: str) -> DataFrame:
-    counts = value_counts(df, keys, u).withColumn("_b", bucket_of(u, 10000.0))
+    counts = ranged(value_counts(df, keys, u), keys, u)
     sizes = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
     p = prefix_sums(counts, keys, "_b", u, {"_before": "_cnt"}).join(sizes, keys)
     gap = lambda rank: F.abs(rank / F.col("_n") - F.col(u))

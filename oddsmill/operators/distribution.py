@@ -1,4 +1,4 @@
-"""Exact order statistics without collecting a group: counts per value, then two-level prefix sums."""
+"""Exact order statistics without collecting a group: counts per value in ranges of equal size, then two-level prefix sums."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions.exprs import num
+from oddsmill.session import durable
 
 
 def prefix_sums(df: DataFrame, keys: list[str], coarse: str, order: str, columns: dict[str, str]) -> DataFrame:
@@ -28,22 +29,25 @@ def prefix_sums(df: DataFrame, keys: list[str], coarse: str, order: str, columns
     )
 
 
-def bucket_of(value: str, scale: float | Column) -> Column:
-    """Order-preserving bucket; ``scale`` buckets per unit (a Column when it differs per group)."""
-    return F.floor(F.col(value) * (scale if isinstance(scale, Column) else num(scale))).cast("bigint")
+def ranged(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Stored ``counts`` with ``_b``, an order-preserving bucket of ``order`` inside each group.
+
+    Buckets are ranges of (keys, order) that Spark's range partitioning chooses from a sample, so each holds about as many rows
+    however the values are spread: a peaked column or one large group is cut like any other. Stored, because a second
+    sample could place the edges elsewhere."""
+    return durable(counts.repartitionByRange(*keys, order).withColumn("_b", F.spark_partition_id()))
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, Column | float],
-                    scale: float | Column = 100.0) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, Column | float]) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per level; ``n`` is the group size.
 
     A level may be a Column of ``n`` (a finite-sample corrected level, for example).
     """
-    counts = value_counts(df, keys, value).withColumn("_b", bucket_of(value, scale))
+    counts = ranged(value_counts(df, keys, value), keys, value)
     placed = prefix_sums(counts, keys, "_b", value, {"_before": "_cnt"})
     sizes = counts.groupBy(*keys).agg(F.sum("_cnt").alias("n"))
     if keys:
@@ -67,13 +71,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str
     )
 
 
-def rank_auc(df: DataFrame, keys: list[str], score: str, label: str, scale: float = 10000.0) -> DataFrame:
+def rank_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve per group from counts per distinct score (ties count one half)."""
-    counts = (
+    counts = ranged(
         df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score)
-        .agg(F.sum((F.col(label) == 1).cast("bigint")).alias("_pos"), F.sum((F.col(label) == 0).cast("bigint")).alias("_neg"))
-        .withColumn("_b", bucket_of(score, scale))
-    )
+        .agg(F.sum((F.col(label) == 1).cast("bigint")).alias("_pos"), F.sum((F.col(label) == 0).cast("bigint")).alias("_neg")),
+        keys, score)
     placed = prefix_sums(counts, keys, "_b", score, {"_below": "_neg"})
     wins = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / num(2)))
     out = placed.groupBy(*keys).agg(

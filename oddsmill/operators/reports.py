@@ -228,17 +228,15 @@ def overall_and_each(df: DataFrame, key: str, fn, label: str = "__all__") -> Dat
     return fn(both, ["_scope"]).withColumnRenamed("_scope", key)
 
 
-def psi(df: DataFrame, scales: dict[str, float], is_baseline: str, bins: int = 10) -> DataFrame:
+def psi(df: DataFrame, features: list[str], is_baseline: str, bins: int = 10) -> DataFrame:
     """Population stability index per feature on baseline quantile bins, with smoothing.
 
-    All features go through one unpivoted pass; the edge table has one row per feature. ``scales`` gives the
-    bucket width used to spread the exact quantile search (buckets per unit of the feature).
+    All features go through one unpivoted pass; the edge table has one row per feature.
     """
-    long = unpivot(df.select(*[F.col(f).cast("double").alias(f) for f in scales], F.expr(is_baseline).alias("_base")),
-                   list(scales), ["_base"], "feature", "v")
+    long = unpivot(df.select(*[F.col(f).cast("double").alias(f) for f in features], F.expr(is_baseline).alias("_base")),
+                   features, ["_base"], "feature", "v")
     names = [f"q{i}" for i in range(1, bins)]
-    scale = X.lookup({f: float(s) for f, s in scales.items()}, F.col("feature"))
-    cuts = exact_quantiles(long.filter("_base"), ["feature"], "v", {q: i / bins for i, q in enumerate(names, 1)}, scale)
+    cuts = exact_quantiles(long.filter("_base"), ["feature"], "v", {q: i / bins for i, q in enumerate(names, 1)})
     fresh = [F.lit(True), *[F.col(b) != F.col(a) for a, b in zip(names, names[1:])]]   # repeated edges count once
     k = sum((new.cast("int") for new in fresh), F.lit(1)).cast("double")
     placed = long.join(F.broadcast(cuts.withColumn("_k", k).drop("n")), "feature")

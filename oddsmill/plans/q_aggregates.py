@@ -148,7 +148,7 @@ def agg_bias(t):
     under = lambda c: X.share(F.col(c) < 0.5)
     none = F.lit(None).cast("double")
     way = d.groupBy(F.when(X.pick_over("p_final"), "OVER").otherwise("UNDER").alias("name")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p_final")).alias("mean")).select(F.lit("direction").alias("part"), "name", "n", "mean", none.alias("share_under"))
-    med = exact_quantiles(d, [], "p_final", {"m": 0.5}, 10000.0).withColumn("share_under", r6(d.agg(under("p_final")).scalar())).select(F.lit("overall").alias("part"), F.lit("median").alias("name"), "n", r6("m").alias("mean"), "share_under")
+    med = exact_quantiles(d, [], "p_final", {"m": 0.5}).withColumn("share_under", r6(d.agg(under("p_final")).scalar())).select(F.lit("overall").alias("part"), F.lit("median").alias("name"), "n", r6("m").alias("mean"), "share_under")
     ex = R.unpivot(d, EX, ["id"]).groupBy(F.col("expert").alias("name")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p")).alias("mean"), r6(under("p")).alias("share_under")).withColumn("part", F.lit("expert"))
     st = d.groupBy(F.col("stat_type").alias("name")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p_final")).alias("mean"), r6(under("p_final")).alias("share_under")).withColumn("part", F.lit("stat"))
     gr = d.groupBy(X.grade("edge").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumns({"part": F.lit("grade"), "mean": none, "share_under": none})

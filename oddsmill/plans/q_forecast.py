@@ -87,31 +87,53 @@ def lab_backtest_set(t):
 
 
 MIN_ROWS = 200
-_mom = ", ".join(f"sum({e}) AS s_{k}" for k, e in {"w": "w", "x": "w*x", "y": "w*y", "xx": "w*x*x", "xy": "w*x*y", "v": "w*v", "vv": "w*v*v"}.items())
+_v = "greatest(ks * s + ko + kt * t, 1e-6)"
+_mom = {"o": f"w / {_v}", "x": f"w / {_v} * x", "y": f"w / {_v} * y", "xx": f"w / {_v} * x * x", "xy": f"w / {_v} * x * y"}
+_mom |= {f"h{p}{q}": f"w / ({_v} * {_v}) * {p} * {q}" for p, q in ("ss", "so", "st", "oo", "ot", "tt")}
+_mom |= {f"g{p}": f"w / ({_v} * {_v}) * {p} * (y - a * x - b) * (y - a * x - b)" for p in "sot"}
+
+
+def _support(*names: str) -> str:
+    """A variance fit on these components alone by Cramer's rule, as a struct that sorts by how well it fits; null where it has none."""
+    m = [["h" + "".join(sorted(p + q, key="sot".index)) for q in names] for p in names]
+
+    def det(rows):
+        if len(rows) == 1:
+            return rows[0][0]
+        return "(" + " + ".join(f"({'-' if i % 2 else ''}{x}) * {det([r[:i] + r[i + 1:] for r in rows[1:]])}" for i, x in enumerate(rows[0])) + ")"
+
+    whole = det(m)
+    x = {n: f"({det([r[:i] + [f'g{p}'] + r[i + 1:] for p, r in zip(names, m)])} / {whole})" for i, n in enumerate(names)}
+    ok = " AND ".join([f"{whole} > 1e-12 * {' * '.join(f'h{n}{n}' for n in names)}", *[f"{x[n]} > 0" for n in names]])
+    fit = " + ".join(f"{x[n]} * g{n}" for n in names)
+    return f"CASE WHEN {ok} THEN {{'fit': {fit}, " + ", ".join(f"'{n}': {x.get(n, '0e0')}" for n in "sot") + "} END"
+
+
+_best = "list_reverse_sort(list_filter([" + ", ".join(_support(*p) for p in ("s", "o", "t", "so", "st", "ot", "sot")) + "], lambda z: z IS NOT NULL))[1]"
 GAUSS = DIST + f""",
 ck AS (SELECT CAST(max(ts) AS DATE) AS c FROM events),
-g0 AS (SELECT s.scope, bt.*, exp(-greatest(date_diff('day', slate, c), 0) / 30e0) AS w, mu_hat AS x, y_true AS y, sigma_hat * sigma_hat AS v FROM bt, ck, (SELECT unnest([0, 1]) AS g) u, LATERAL (SELECT CASE WHEN g = 0 THEN bt.stat_type ELSE '__global__' END AS scope) s),
-g1 AS (SELECT scope, count(*) AS rows, {_mom} FROM g0 GROUP BY 1 HAVING count(*) >= {MIN_ROWS}),
-g2 AS (SELECT *, (s_w * s_xy - s_x * s_y) / (s_w * s_xx - s_x * s_x) AS a FROM g1), g3 AS (SELECT *, (s_y - a * s_x) / s_w AS b FROM g2),
-g4 AS (SELECT g0.scope, sum(w * (y - a * x - b) * (y - a * x - b)) AS e, sum(w * v * (y - a * x - b) * (y - a * x - b)) AS ve FROM g0 JOIN g3 ON g3.scope = g0.scope GROUP BY 1),
-g5 AS (SELECT g3.*, e, ve, (s_w * ve - s_v * e) / (s_w * s_vv - s_v * s_v) AS c2 FROM g3 JOIN g4 ON g4.scope = g3.scope), g6 AS (SELECT *, (e - c2 * s_v) / s_w AS d2 FROM g5),
-gp AS (SELECT scope, rows, a, b, sqrt(CASE WHEN d2 < 0 THEN greatest(ve / s_vv, 0e0) ELSE greatest(c2, 0e0) END) AS c, sqrt(greatest(CASE WHEN d2 < 0 THEN 0e0 WHEN c2 < 0 THEN e / s_w ELSE d2 END, 0e0)) AS d FROM g6)"""
+g0 AS (SELECT s.scope, bt.*, exp(-greatest(date_diff('day', slate, c), 0) / 30e0) AS w, mu_hat AS x, y_true AS y, sigma_hat * sigma_hat AS s, 1e0 AS o, 1e0 / (n_eff + 1e0) AS t FROM bt, ck, (SELECT unnest([0, 1]) AS g) u, LATERAL (SELECT CASE WHEN g = 0 THEN bt.stat_type ELSE '__global__' END AS scope) s),
+g1 AS (SELECT scope, count(*) AS rows FROM g0 GROUP BY 1 HAVING count(*) >= {MIN_ROWS}),
+gi AS (SELECT 0 AS r, scope, 1e0 AS a, 0e0 AS b, 1e0 AS ks, 0e0 AS ko, 0e0 AS kt FROM g1
+ UNION ALL SELECT r + 1, scope, na, (y - na * x) / o, coalesce(z.s, 0e0), coalesce(z.o, 0e0), coalesce(z.t, 0e0) FROM (SELECT *, CASE WHEN o * xx - x * x > 1e-12 * o * xx THEN (o * xy - x * y) / (o * xx - x * x) ELSE 1e0 END AS na, {_best} AS z FROM (
+  SELECT gi.r, gi.scope, {', '.join(f'sum({e}) AS {k}' for k, e in _mom.items())} FROM gi JOIN g0 ON g0.scope = gi.scope WHERE gi.r < 6 GROUP BY 1, 2))),
+gp AS (SELECT gi.scope, rows, a, b, sqrt(ks) AS c, sqrt(ko) AS d, kt AS eta FROM gi JOIN g1 ON g1.scope = gi.scope WHERE r = 6)"""
 
 
 def weighted(t):
     return durable(backtest(t)).withColumn("_clock", clock(t)).withColumn("w", C.recency_weight(F.col("slate"), F.col("_clock"), 30.0)).drop("_clock")
 
 
-@query("cal_gauss_fit", f"WITH {GAUSS} SELECT scope, rows, {q_r6('a')} AS a, {q_r6('b')} AS b, {q_r6('c')} AS c, {q_r6('d')} AS d FROM gp")
+@query("cal_gauss_fit", f"WITH RECURSIVE {GAUSS} SELECT scope, rows, {q_r6('a')} AS a, {q_r6('b')} AS b, {q_r6('c')} AS c, {q_r6('d')} AS d, {q_r6('eta')} AS eta FROM gp")
 def cal_gauss_fit(t):
-    return C.fit_gaussian(weighted(t), "w", MIN_ROWS).select("scope", "rows", *[r6(c).alias(c) for c in "abcd"])
+    return C.fit_gaussian(weighted(t), "w", MIN_ROWS).select("scope", "rows", *[r6(c).alias(c) for c in ("a", "b", "c", "d", "eta")])
 
 
 def q_pit(y, mu, s):
     return f"greatest(0e0, least(1e0, {q_cdf(f'(({y} - ({mu})) / greatest({s}, 1e-6))')}))"
 
 
-_cal = "(gp.a * mu_hat + gp.b)", "sqrt(gp.c * sigma_hat * gp.c * sigma_hat + gp.d * gp.d)"
+_cal = "(gp.a * mu_hat + gp.b)", "sqrt(gp.c * sigma_hat * gp.c * sigma_hat + gp.d * gp.d + gp.eta / (n_eff + 1e0))"
 PITMAP = GAUSS + f""",
 u0 AS (SELECT g0.scope, {_cal[0]} AS mu, {_cal[1]} AS sg, y_true FROM g0 JOIN gp ON gp.scope = g0.scope),
 u1 AS (SELECT scope, {q_pit('y_true', 'mu', 'sg')} AS u FROM u0),
@@ -122,13 +144,13 @@ kn AS (SELECT u2.scope, j, u AS x, (i + 5e-1) / n AS y FROM u2 JOIN (SELECT unne
 def fitted(t):
     """Backtest rows, parameters per scope and PIT knots per scope."""
     rows = weighted(t)
-    params = durable(C.fit_gaussian(rows, "w", MIN_ROWS))
+    params = C.fit_gaussian(rows, "w", MIN_ROWS)
     cal = C.apply_gaussian(C.scoped(rows).join(params, "scope"))
     cal = cal.withColumn("u", C.pit(F.col("y_true"), F.col("mu_cal"), F.col("sigma_cal")))
     return rows, params, cal, C.pit_knots(cal, ["scope"], "u")
 
 
-@query("cal_pit_map", f"WITH {PITMAP} SELECT scope, j, {q_r6('x')} AS x, {q_r6('y')} AS y FROM kn")
+@query("cal_pit_map", f"WITH RECURSIVE {PITMAP} SELECT scope, j, {q_r6('x')} AS x, {q_r6('y')} AS y FROM kn")
 def cal_pit_map(t):
     return fitted(t)[3].select("scope", "j", r6("x").alias("x"), r6("y").alias("y"))
 
@@ -152,18 +174,18 @@ def predictions(t):
     return j.withColumn("p_raw", FC.raw_probability(F.col("line_score"), F.col("mu_hat"), F.col("sigma_hat")))
 
 
-@query("cal_pit_apply", f"WITH {APPLY} SELECT id, status, {q_r6('p_cal')} AS p_over FROM ap WHERE status <> 'raw'")
+@query("cal_pit_apply", f"WITH RECURSIVE {APPLY} SELECT id, status, {q_r6('p_cal')} AS p_over FROM ap WHERE status <> 'raw'")
 def cal_pit_apply(t):
     return predictions(t).filter("status <> 'raw'").select("id", "status", r6("p_cal").alias("p_over"))
 
 
-@query("fc_predict", f"WITH {APPLY} SELECT id, status, {q_r6('p_raw')} AS prob_over_raw, {q_r6('coalesce(p_cal, p_raw)')} AS prob_over, CASE WHEN coalesce(p_cal, p_raw) >= 5e-1 THEN 'OVER' ELSE 'UNDER' END AS pick FROM ap")
+@query("fc_predict", f"WITH RECURSIVE {APPLY} SELECT id, status, {q_r6('p_raw')} AS prob_over_raw, {q_r6('coalesce(p_cal, p_raw)')} AS prob_over, CASE WHEN coalesce(p_cal, p_raw) >= 5e-1 THEN 'OVER' ELSE 'UNDER' END AS pick FROM ap")
 def fc_predict(t):
     p = F.coalesce("p_cal", "p_raw")
     return predictions(t).select("id", "status", r6("p_raw").alias("prob_over_raw"), r6(p).alias("prob_over"), F.when(p >= 0.5, "OVER").otherwise("UNDER").alias("pick"))
 
 
-@query("fc_status_summary", f"""WITH {APPLY} SELECT status, count(*) AS n, string_agg(DISTINCT stat_type, ',' ORDER BY stat_type) AS stats FROM ap GROUP BY 1
+@query("fc_status_summary", f"""WITH RECURSIVE {APPLY} SELECT status, count(*) AS n, string_agg(DISTINCT stat_type, ',' ORDER BY stat_type) AS stats FROM ap GROUP BY 1
  UNION ALL SELECT 'skipped', (SELECT count(*) FROM ln) - (SELECT count(*) FROM bt), NULL""")
 def fc_status_summary(t):
     p = predictions(t).select("id", "status", "stat_type")
@@ -184,7 +206,7 @@ def q_ks(mu, s, tag):
     return f"""SELECT scope, {q_r6('max(abs(i / CAST(n AS DOUBLE) - u))')} AS pit_ks_{tag} FROM (SELECT scope, u, row_number() OVER (PARTITION BY scope ORDER BY u) AS i, count(*) OVER (PARTITION BY scope) AS n FROM (SELECT scope, {q_pit('y_true', mu, s)} AS u FROM ev)) GROUP BY 1"""
 
 
-@query("cal_dist_eval", f"""WITH {GAUSS}, ev AS (SELECT g0.scope, y_true, mu_hat, sigma_hat, {_cal[0]} AS mu, {_cal[1]} AS sg FROM g0 JOIN gp ON gp.scope = g0.scope),
+@query("cal_dist_eval", f"""WITH RECURSIVE {GAUSS}, ev AS (SELECT g0.scope, y_true, mu_hat, sigma_hat, {_cal[0]} AS mu, {_cal[1]} AS sg FROM g0 JOIN gp ON gp.scope = g0.scope),
 e1 AS (SELECT scope, count(*) AS n, {q_eval('mu_hat', 'sigma_hat', 'before')}, {q_eval('mu', 'sg', 'after')} FROM ev GROUP BY 1), k1 AS ({q_ks('mu_hat', 'sigma_hat', 'before')}), k2 AS ({q_ks('mu', 'sg', 'after')})
 SELECT e1.*, pit_ks_before, pit_ks_after FROM e1 JOIN k1 ON k1.scope = e1.scope JOIN k2 ON k2.scope = e1.scope""")
 def cal_dist_eval(t):

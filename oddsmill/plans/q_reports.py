@@ -202,7 +202,7 @@ def sql_psi(feature: str, src: str = "dr") -> str:
      CAST(max(tb) AS BIGINT) AS n_baseline, CAST(max(tc) AS BIGINT) AS n_recent FROM h, t, k)"""
 
 
-FEATURES = {"p_final": 1000.0, "line_score": 1.0, "n_eff": 1.0}
+FEATURES = ["p_final", "line_score", "n_eff"]
 
 
 @query("rep_psi", f"WITH {DRIFT} SELECT feature, {q_r6('psi')} AS psi, n_baseline, n_recent FROM ({' UNION ALL '.join(f'SELECT * FROM {sql_psi(f)}' for f in FEATURES)})")

@@ -104,12 +104,63 @@ def test_rolling_sums_across_blocks(spark):
             assert (r["s_x"], r["n_x"], r["seen"]) == (sum(seen), len(seen), len(part))
 
 
+def test_gaussian_fit_is_the_best_likelihood(spark):
+    rng = np.random.default_rng(11)
+    n = 6000
+    mu, sigma, n_eff, w = rng.uniform(2, 30, n), rng.uniform(0.5, 6, n), rng.uniform(0, 20, n), rng.uniform(0.2, 1, n)
+    flat = np.where(np.arange(n) % 2 == 0, 0.0, 9.0)   # measure A has no share of its own from n_eff
+    spread = np.sqrt(0.8 * sigma**2 + 1.5 + flat / (n_eff + 1))
+    y = 0.9 * mu + 1.2 + spread * rng.normal(size=n)
+    kind = np.where(np.arange(n) % 2 == 0, "A", "B")
+    rows = [(str(k), *map(float, r)) for k, *r in zip(kind, mu, sigma, n_eff, w, y)] + [("few", 1.0, 1.0, 1.0, 1.0, 1.0)] * 5
+    df = spark.createDataFrame(rows, "stat_type string, mu_hat double, sigma_hat double, n_eff double, w double, y_true double")
+    got = {r["scope"]: r for r in CAL.fit_gaussian(df, "w", 200, rounds=12).collect()}
+    assert set(got) == {"A", "B", CAL.GLOBAL} and got["A"]["rows"] == n // 2
+
+    def loss(pick, p):
+        a, b, ks, ko, kt = p
+        v = ks * sigma[pick] ** 2 + ko + kt / (n_eff[pick] + 1)
+        return np.sum(w[pick] * (np.log(v) + (y[pick] - a * mu[pick] - b) ** 2 / v)) / 2
+
+    for scope in "AB":
+        r, pick = got[scope], kind == scope
+        best = [r["a"], r["b"], r["c"] ** 2, r["d"] ** 2, r["eta"]]
+        at = loss(pick, best)
+        assert abs(best[0] - 0.9) < 0.03 and min(best[2:]) >= 0
+        for i in range(5):
+            for step in (1e-2, -1e-2):
+                moved = [v + step * (i == j) for j, v in enumerate(best)]
+                if moved[i] >= 0 or i < 2:
+                    assert loss(pick, moved) > at - 1e-4, (scope, i, step)
+    assert got["B"]["eta"] > 4
+    out = CAL.apply_gaussian(CAL.scoped(df).join(CAL.fit_gaussian(df, "w", 200), "scope")).filter("scope = 'B'").first()
+    assert out["sigma_cal"] > 0
+    assert CAL.fit_gaussian(df.limit(0), "w", 200).count() == 0
+
+
+def test_peaked_columns_spread_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [("hot", 0.5 + rng.random() * 1e-6) for _ in range(9900)] + [("hot", rng.random() * 100) for _ in range(100)] + [("cold", 1.0), ("cold", float(2))]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = D.ranged(D.value_counts(spark.createDataFrame(rows, "g string, v double"), ["g"], "v"), ["g"], "v")
+        sizes = sorted(r["count"] for r in counts.groupBy("_b").count().collect())
+        got = {r["g"]: r["q"] for r in D.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"q": 0.37}).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(sizes) == 8 and sizes[-1] < 2 * sum(sizes) / 8
+    edges = counts.groupBy("g", "_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("g", "_b").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(edges, edges[1:]) if a["g"] == b["g"])
+    assert got["hot"] == np.quantile([v for g, v in rows if g == "hot"], 0.37) and got["cold"] == pytest.approx(1.37)
+
+
 def test_quantiles_and_auc(spark):
     rng = random.Random(3)
     rows = [(g, round(rng.gauss(0, 1), 2), rng.randrange(2)) for g in "aab" for _ in range(400)]
     df = spark.createDataFrame(rows, "g string, v double, y int")
-    q = {r["g"]: r for r in D.exact_quantiles(df, ["g"], "v", {"lo": 0.1, "mid": 1 / 3}, 10.0).collect()}
-    a = {r["g"]: r["auc"] for r in D.rank_auc(df, ["g"], "v", "y", 10.0).collect()}
+    q = {r["g"]: r for r in D.exact_quantiles(df, ["g"], "v", {"lo": 0.1, "mid": 1 / 3}).collect()}
+    a = {r["g"]: r["auc"] for r in D.rank_auc(df, ["g"], "v", "y").collect()}
     for g in "ab":
         v = np.array([r[1] for r in rows if r[0] == g])
         y = np.array([r[2] for r in rows if r[0] == g])
@@ -327,10 +378,10 @@ def test_threshold_fit_small_measures_fall_back(spark):
 def test_psi_and_ece_edges(spark):
     same = [(float(i % 50), i < 500) for i in range(1000)]
     df = spark.createDataFrame(same, "v double, base boolean")
-    assert R.psi(df, {"v": 1.0}, "base").first()["psi"] == pytest.approx(0.0, abs=1e-9)
+    assert R.psi(df, ["v"], "base").first()["psi"] == pytest.approx(0.0, abs=1e-9)
     moved = spark.createDataFrame([(v + (0 if b else 25), b) for v, b in same], "v double, base boolean")
-    assert R.psi(moved, {"v": 1.0}, "base").first()["psi"] > 0.2
+    assert R.psi(moved, ["v"], "base").first()["psi"] > 0.2
     few = spark.createDataFrame(same[:5], "v double, base boolean")
-    assert all(r["psi"] == 0.0 for r in R.psi(few, {"v": 1.0}, "base").collect())
+    assert all(r["psi"] == 0.0 for r in R.psi(few, ["v"], "base").collect())
     perfect = spark.createDataFrame([(1.0, 1), (0.0, 0)] * 10, "p_final double, over_label int")
     assert R.brier_ece(perfect, 10).first()["ece"] == pytest.approx(0.0)
