@@ -17,8 +17,13 @@ BLOCK = 256
 ESCAPES = [("%", "%25"), ("<|", "%3C|"), ("\n", "%0A")]
 
 
+#: Code points that count as one token at least, so a text without blanks isn't one token.
+LETTERS = 4
+
+
 def token_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    """Words, or code points over ``LETTERS``, whichever is more."""
+    return F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.ceil(F.char_length(text) / LETTERS))
 
 
 def escape(text: Column, newlines: bool = False) -> Column:
@@ -38,10 +43,10 @@ def plan_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, t
     ``is_system`` (the first turn, if it has that role), ``tokens``, the span's ``first`` and ``last`` position, and ``after``, the tokens from this turn to
     the span's end.
 
-    What a window may hold besides history and the system turn is halved into a cell. A turn belongs to the cell in
-    which its prefix sum starts, and a turn longer than a cell is a span of its own; so a span never goes beyond what
-    it may hold unless a single turn does. Sums are made per block of turn numbers and then over the blocks, so a
-    conversation with very many turns is not one task."""
+    A turn longer than half of what a window may hold besides history and the system turn is a span of its own. A cell is
+    what a window may hold less the conversation's longest other turn. A turn belongs to the cell in which its prefix sum starts; so a span
+    nearly fills a window and never goes beyond it unless a single turn does. Sums are made per block of turn numbers and then over the
+    blocks, so a conversation with very many turns is not one task; spans do not end with a block."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", (tokens(F.col("text")) + OVERHEAD).cast("bigint")).withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
@@ -58,12 +63,16 @@ def plan_spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, t
         "conv_id", "turn", "role", "text", "tokens", (F.col("pos0") + F.col("_pos")).alias("pos"), (F.col("sum0") + F.col("_before")).alias("before"), "n_turns",
         F.coalesce("system", F.lit(0)).alias("system"), "block",
     )
-    cell = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(max(2, budget // 4))) / 2
-    t = t.withColumn("cell", F.floor(F.col("before") / cell)).withColumn("alone", (F.col("tokens") > cell).cast("int"))
-    span = Window.partitionBy("conv_id", "cell", "block").orderBy("pos")
-    # within a cell of a block, turns after a long one are another span than those before it
+    t = t.withColumn("room", F.greatest(F.lit(budget - history) - F.col("system"), F.lit(max(2, budget // 4))))
+    t = t.withColumn("alone", (F.col("tokens") * 2 > F.col("room")).cast("int"))
+    longest = t.groupBy("conv_id", "block").agg(F.max(F.when(F.col("alone") == 0, F.col("tokens"))).alias("longest"))
+    longest = longest.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.coalesce(F.max("longest").over(Window.partitionBy("conv_id")), F.lit(0)).alias("longest"))
+    t = t.join(longest, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("block").eqNullSafe(F.col("_block"))).drop("_conv", "_block")
+    t = t.withColumn("cell", F.floor(F.col("before") / (F.col("room") - F.col("longest"))))
+    span = Window.partitionBy("conv_id", "cell").orderBy("pos")
+    # within a cell, turns after a long one are another span than those before it
     t = t.withColumn("run", F.coalesce(F.sum("alone").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = Window.partitionBy("conv_id", "block", "cell", "run", "alone").orderBy("pos")
+    whole = Window.partitionBy("conv_id", "cell", "run", "alone").orderBy("pos")
     every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return t.select(
         "conv_id", "turn", "role", "text", "tokens", "pos", "n_turns", ((F.col("pos") == 1) & (F.col("role") == "system")).alias("is_system"),

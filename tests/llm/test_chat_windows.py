@@ -54,6 +54,24 @@ def test_windows_hold_each_turn_once_and_read_back(spark, budget, history, block
         assert len(found[1]) > 5 and windows.where("conv_id = 1 AND n_repeated > 1").count() > 3
 
 
+def test_windows_fill_the_budget_across_blocks(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", " ".join(["word"] * 16), 0) for i in range(600)]
+    frame = spark.createDataFrame(turns, SHAPE)
+    windows = cw.format_windows(frame, 1024, 256).orderBy("window").collect()
+    per_turn = 20 + cw.OVERHEAD  # 79 code points count as 20 tokens
+    assert all(w.n_tokens <= 1024 for w in windows)
+    assert len(windows) <= -(-600 * per_turn // (768 - 2 * per_turn))
+    assert all(w.n_tokens - w.n_repeated * per_turn >= 768 - 2 * per_turn for w in windows[:-1])
+    assert cw.format_windows(frame, 10_000_000, 256).count() == 1
+
+
+def test_a_text_without_blanks_counts_its_letters(spark):
+    turns = [(1, 0, "user", "a" * 100_000, 0), (1, 1, "assistant", "b", 0), (2, 0, "user", "x" * 2_000_000, 0)]
+    windows = {(w.conv_id, w.window): w for w in cw.format_windows(spark.createDataFrame(turns, SHAPE)).collect()}
+    assert windows[1, 1].over_budget and windows[1, 1].n_tokens == 25_000 + cw.OVERHEAD
+    assert not windows[1, 2].over_budget and windows[2, 1].over_budget and len(windows) == 3
+
+
 def test_digests_match_plain_python(spark):
     windows = cw.format_windows(spark.createDataFrame(rows(), SHAPE), 60, 20)
     got = {r.conv_id: r for r in cw.conversation_digests(cw.read_windows(windows)).collect()}
