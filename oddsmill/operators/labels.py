@@ -27,12 +27,13 @@ def candidates(df: DataFrame, required: list[str], days: int = 21, lag_hours: in
     return open_rows.orderBy("decision_time", "id").limit(limit).withColumn("remaining", left)
 
 
-def resolve(lines: DataFrame, players: DataFrame, games: DataFrame, boxes: DataFrame, box_counts: DataFrame, value: Column) -> DataFrame:
+def resolve(lines: DataFrame, players: DataFrame, games: DataFrame, boxes: DataFrame, box_counts: DataFrame, value: Column, keep_open: bool = False) -> DataFrame:
     """Line -> player -> game -> box score -> label.
 
     ``players``: player_id, official_player; ``games``: game_id, game_date, official_id (null when unknown);
     ``boxes``: official_player, game_date and measures; ``box_counts``: official_id, box_rows.
-    A game with box scores in which the player has none is void: graded as a push at the line.
+    A game with box scores in which the player has none is void: graded as a push at the line. Lines that no fact
+    decides drop out, or stay without an outcome if ``keep_open``.
     """
     j = (
         lines.join(players, "player_id").join(games, "game_id")
@@ -43,8 +44,9 @@ def resolve(lines: DataFrame, players: DataFrame, games: DataFrame, boxes: DataF
     forced = ~has & F.col("line_score").isNotNull() & (F.coalesce("box_rows", F.lit(0)) > 0)
     j = j.withColumns({"matched": has, "forced_push": forced}).withColumn(
         "actual_value", F.when(F.col("forced_push"), F.col("line_score").cast("double")).otherwise(value))
-    j = j.filter(F.col("actual_value").isNotNull() & F.col("line_score").isNotNull())
-    res = F.when(F.col("forced_push"), "push").otherwise(outcome(F.col("actual_value"), F.col("line_score")))
+    known = F.col("actual_value").isNotNull() & F.col("line_score").isNotNull()
+    j = j if keep_open else j.filter(known)
+    res = F.when(~known, F.lit(None)).when(F.col("forced_push"), "push").otherwise(outcome(F.col("actual_value"), F.col("line_score")))
     j = j.withColumn("outcome", res)
     return j.withColumns({
         "over_label": F.when(F.col("outcome") == "over", 1).when(F.col("outcome") == "under", 0),
@@ -61,9 +63,10 @@ def fill_labels(log: DataFrame, labels: DataFrame, key: str, columns: list[str])
 
 
 def summary(resolved: DataFrame, n_candidates: Column) -> DataFrame:
+    """Counts over lines from ``resolve`` with ``keep_open``: a line with a box score is matched, graded or not."""
     push = F.col("outcome") == "push"
     return resolved.agg(
-        n_candidates.alias("candidates"), count_true(F.col("matched")).alias("matched_boxscores"), F.count(F.lit(1)).alias("updated"),
+        n_candidates.alias("candidates"), count_true(F.col("matched")).alias("matched_boxscores"), F.count("outcome").alias("updated"),
         count_true(F.coalesce("is_correct", F.lit(False))).alias("wins"), count_true(~F.coalesce("is_correct", F.lit(True))).alias("losses"),
         count_true(push).alias("pushes"), count_true(F.col("forced_push")).alias("forced_push"))
 

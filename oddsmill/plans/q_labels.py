@@ -50,7 +50,7 @@ rz AS (SELECT id, matched, forced_push, {q_r6('actual_value')} AS actual_value,
    CASE WHEN outcome <> 'push' THEN lower(pick) = outcome END AS is_correct FROM r2)"""
 
 
-def resolved_lines(t):
+def resolved_lines(t, keep_open=False):
     w = World(t)
     src, dim = resolve_sides(t)
     players = src.join(dim.withColumnRenamed("player_id", "official_player"), "name_key").select(F.col("line_id").alias("player_id"), "official_player")
@@ -61,7 +61,7 @@ def resolved_lines(t):
     picks = t.lines().select("id", F.when(X.pick_over("p_final"), "OVER").otherwise("UNDER").alias("pick"))
     lines = w.features().join(picks, "id")
     return L.resolve(lines, players, games, boxes.select(F.col("player_id").alias("official_player"), "game_date", *MEASURE_COLS), counts,
-                     M.measure_value("stat_type", MEASURE_COLS)).withColumn("actual_value", r6("actual_value"))
+                     M.measure_value("stat_type", MEASURE_COLS), keep_open).withColumn("actual_value", r6("actual_value"))
 
 
 RESULT = ["id", "matched", "forced_push", "actual_value", "outcome", "over_label", "is_correct"]
@@ -79,10 +79,10 @@ def lab_update(t):
     return L.fill_labels(log, resolved_lines(t), "id", ["actual_value", "outcome"])
 
 
-@query("lab_resolve_summary", f"""WITH {RES} SELECT (SELECT count(*) FROM ln) AS candidates, count(CASE WHEN matched THEN 1 END) AS matched_boxscores, count(*) AS updated, count(CASE WHEN is_correct THEN 1 END) AS wins,
+@query("lab_resolve_summary", f"""WITH {RES} SELECT (SELECT count(*) FROM ln) AS candidates, (SELECT count(CASE WHEN matched THEN 1 END) FROM r0) AS matched_boxscores, count(*) AS updated, count(CASE WHEN is_correct THEN 1 END) AS wins,
  count(CASE WHEN NOT is_correct THEN 1 END) AS losses, count(CASE WHEN outcome = 'push' THEN 1 END) AS pushes, count(CASE WHEN forced_push THEN 1 END) AS forced_push FROM rz""")
 def lab_resolve_summary(t):
-    return L.summary(resolved_lines(t), t.lines().agg(F.count(F.lit(1))).scalar())
+    return L.summary(resolved_lines(t, keep_open=True), t.lines().agg(F.count(F.lit(1))).scalar())
 
 
 @query("lab_canonical_view", f"WITH {PREDICTIONS} SELECT id, stat_type, outcome, over_label, p_final, is_correct FROM pr WHERE outcome IN ('over', 'under') AND over_label IS NOT NULL AND actual_value IS NOT NULL")

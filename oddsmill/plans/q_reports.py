@@ -9,6 +9,7 @@ from oddsmill.functions import constants as K
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import big, num, r6
 from oddsmill.operators import reports as R
+from oddsmill.session import durable
 
 from .adapters import LINES, PREDICTIONS, RESOLVED, q_hit, q_loss, q_pick, q_r6, q_sum, union_sql
 from .registry import query
@@ -180,10 +181,12 @@ def drift_correct():
 
 
 def drift_frame(t):
-    r = t.resolved()
-    clock = r.agg(F.max("decision_time")).scalar()
+    return time_windows(t.resolved().withColumn("correct", drift_correct()))
+
+
+def time_windows(r):
     return (
-        r.withColumns({"correct": drift_correct(), "_clock": clock})
+        r.withColumn("_clock", r.agg(F.max("decision_time")).scalar())
         .filter(F.col("decision_time") >= F.col("_clock") - F.expr("interval 37 days"))
         .withColumn("is_base", F.col("decision_time") < F.col("_clock") - F.expr("interval 7 days"))
     )
@@ -231,20 +234,68 @@ def drift_checks(d):
     return perf.unionByName(dist).unionByName(cal).withColumn("is_drifted", F.col("metric_value") > F.col("threshold"))
 
 
-DRIFT_CHECKS = DRIFT + f""",
+CHECKS = f""",
 rc AS (SELECT '__all__' AS stat_type, p_final, CASE WHEN actual_value > line_score THEN 1 ELSE 0 END AS over_label FROM dr WHERE NOT is_base),
 {sql_ece('rc', 10)},
 ck0 AS (SELECT 'performance' AS check_type, {q_r6('CASE WHEN count(CASE WHEN is_base THEN 1 END) >= 50 AND count(CASE WHEN NOT is_base THEN 1 END) >= 50 THEN avg(CASE WHEN is_base THEN correct END) - avg(CASE WHEN NOT is_base THEN correct END) ELSE 0e0 END')} AS metric_value, 5e-2 AS threshold FROM dr
   UNION ALL SELECT 'distribution', {q_r6('max(psi)')}, 2e-1 FROM ({' UNION ALL '.join(f'SELECT * FROM {sql_psi(f)}' for f in FEATURES)})
   UNION ALL SELECT 'calibration', CASE WHEN n >= 30 THEN {q_r6('ece')} ELSE 0e0 END, 1e-1 FROM ec),
 ck AS (SELECT *, metric_value > threshold AS is_drifted FROM ck0)"""
-
-
-@query("rep_drift_report", f"WITH {DRIFT_CHECKS} SELECT check_type, metric_value, threshold, is_drifted, CASE WHEN (SELECT bool_or(is_drifted) FROM ck) THEN 'drift_detected' ELSE 'ok' END AS status FROM ck")
+DRIFT_CHECKS = DRIFT + CHECKS
+
+# Fixed values of the report: rows a baseline needs, rows of the fallback's pool, hours until data count as stale.
+MIN_BASELINE, FALLBACK_POOL, STALE_HOURS = 200, 5000, 48
+
+
+def drift_windows(rows):
+    """``rows`` with ``correct``, ``is_base`` and ``window_mode``: the last 7 days against the 30 before, or, where that baseline has
+    under ``MIN_BASELINE`` rows, two row windows of equal size at the end of the log, if it is long enough."""
+    late = [F.col("decision_time").desc(), F.col("id").desc()]
+    rows = rows.withColumn("correct", drift_correct())
+    timed = time_windows(rows)
+    size = timed.agg(X.count_true(F.col("is_base")).alias("base"), X.count_true(~F.col("is_base")).alias("recent"))
+    tail = rows.orderBy(*late).limit(FALLBACK_POOL)
+    every = Window.orderBy(*late)   # FALLBACK_POOL rows at most
+    pool = tail.withColumns({"_rn": F.row_number().over(every), "_n": F.count(F.lit(1)).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_s": size.select(F.struct("base", "recent")).scalar()})
+    k = F.least(F.greatest(F.lit(MIN_BASELINE), F.col("_s.recent")), F.floor(F.col("_n") / 2))
+    fallback = pool.filter((F.col("_s.base") < MIN_BASELINE) & (F.col("_n") >= 2 * MIN_BASELINE) & (F.col("_rn") <= 2 * k)).withColumn("is_base", F.col("_rn") > k)
+    kept = [*rows.columns, "is_base"]
+    both = timed.select(*kept, F.lit("time_window").alias("window_mode")).unionByName(fallback.select(*kept, F.lit("row_fallback").alias("window_mode")))
+    # the later mode in this order wins: fallback rows exist only where they are wanted
+    both = durable(both)
+    return both.filter(F.col("window_mode") == both.agg(F.min("window_mode")).scalar())
+
+
+def report_status(checks, rows, now):
+    """The checks with ``actionable``, ``window_mode`` and the report's ``status``. Drift of the distribution alone is advisory in row-fallback
+    mode. First of: invalid baseline (recent rows alone), stale data, drift, insufficient data, ok."""
+    facts = rows.agg(F.max("window_mode").alias("mode"), X.count_true(F.col("is_base")).alias("base"), X.count_true(~F.col("is_base")).alias("recent"), F.max(F.when(~F.col("is_base"), F.col("decision_time"))).alias("latest"))
+    f = checks.withColumns({"_f": facts.select(F.struct("mode", "base", "recent", "latest")).scalar(), "_now": now})
+    whole = Window.partitionBy()   # three rows, one per check
+    hard = F.max(F.col("is_drifted") & (F.col("check_type") != "distribution")).over(whole)
+    f = f.withColumn("actionable", F.col("is_drifted") & (hard | (F.col("_f.mode") != "row_fallback")))
+    stale = F.col("_now") - F.expr(f"interval {STALE_HOURS} hours") > F.col("_f.latest")
+    status = (F.when((F.col("_f.base") == 0) & (F.col("_f.recent") > 0), "invalid_baseline").when(stale, "stale_data").when(F.max("actionable").over(whole), "drift_detected")
+              .when((F.col("_f.base") == 0) | (F.col("_f.recent") == 0), "insufficient_data").otherwise("ok"))
+    return f.select("check_type", "metric_value", "threshold", "is_drifted", "actionable", F.col("_f.mode").alias("window_mode"), status.alias("status"))
+
+
+_late = "ORDER BY decision_time DESC, id DESC"
+SWITCH = DRIFT.replace("dr AS (", "dt AS (", 1) + f""",
+fp AS (SELECT *, row_number() OVER ({_late}) AS rn, count(*) OVER () AS n FROM (SELECT rs.*, {DRIFT_CORRECT_SQL} AS correct FROM rs {_late} LIMIT {FALLBACK_POOL})),
+fk AS (SELECT *, least(greatest({MIN_BASELINE}, (SELECT count(*) FROM dt WHERE NOT is_base)), n // 2) AS k FROM fp),
+fb AS (SELECT * FROM fk WHERE n >= {2 * MIN_BASELINE} AND rn <= 2 * k AND (SELECT count(*) FROM dt WHERE is_base) < {MIN_BASELINE}),
+dr AS (SELECT id, decision_time, p_final, line_score, n_eff, actual_value, correct, is_base, 'time_window' AS window_mode FROM dt WHERE NOT EXISTS (SELECT 1 FROM fb)
+  UNION ALL SELECT id, decision_time, p_final, line_score, n_eff, actual_value, correct, rn > k, 'row_fallback' FROM fb)""" + CHECKS + f""",
+ca AS (SELECT *, is_drifted AND ((SELECT bool_or(is_drifted AND check_type <> 'distribution') FROM ck) OR window_mode <> 'row_fallback') AS actionable FROM ck, (SELECT max(window_mode) AS window_mode, count(CASE WHEN is_base THEN 1 END) AS nb, count(CASE WHEN NOT is_base THEN 1 END) AS nr, max(CASE WHEN NOT is_base THEN decision_time END) AS latest FROM dr))"""
+
+
+@query("rep_drift_report", f"""WITH {SWITCH} SELECT check_type, metric_value, threshold, is_drifted, actionable, window_mode, CASE WHEN nb = 0 AND nr > 0 THEN 'invalid_baseline'
+ WHEN (SELECT max(decision_time) FROM pr) - INTERVAL {STALE_HOURS} HOUR > latest THEN 'stale_data' WHEN (SELECT bool_or(actionable) FROM ca) THEN 'drift_detected' WHEN nb = 0 OR nr = 0 THEN 'insufficient_data' ELSE 'ok' END AS status FROM ca""")
 def rep_drift_report(t):
-    checks = drift_checks(drift_frame(t))
-    any_drift = F.max("is_drifted").over(Window.partitionBy())   # three rows, one per check
-    return checks.withColumn("status", F.when(any_drift, "drift_detected").otherwise("ok"))
+    """The newest prediction, graded or not, is the clock: graded rows that end 48 hours before it are stale."""
+    rows = drift_windows(t.resolved())
+    return report_status(drift_checks(rows), rows, t.predictions().agg(F.max("decision_time")).scalar())
 
 
 @query("rep_drift_policy", f"""WITH {DRIFT_CHECKS} SELECT check_type, is_drifted,
