@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import num
+from oddsmill.session import merged
 
 from . import asof as A
 from .history import KEYS, attach, day_features, league_prior, line_wins
@@ -93,7 +94,7 @@ def baseline(lines: DataFrame, log: DataFrame, cutoff: str = "slate") -> DataFra
     """Regressed mean with a Normal/empirical blend that trusts the empirical share as games accumulate."""
     days = day_features(log, lines, cutoff).select(*KEYS, "_cut", "n", "hist_mean", "hist_std")
     b = A.attach_prior(attach(lines, days, cutoff), league_prior(log, lines, cutoff), ["stat_type"], cutoff)
-    b = b.join(line_wins(log, lines, cutoff).withColumnRenamed("_cut", cutoff), [*KEYS, cutoff, "line_score"], "left").filter(F.col("n") >= MIN_GAMES)
+    b = b.join(merged(line_wins(log, lines, cutoff)).withColumnRenamed("_cut", cutoff), [*KEYS, cutoff, "line_score"], "left").filter(F.col("n") >= MIN_GAMES)
     k, n = X.stabilization("stat_type"), F.col("n")
     mean = (F.col("hist_mean") * n + F.col("league_mean") * k) / (n + k)
     normal = X.prob_over("line_score", mean, "hist_std")

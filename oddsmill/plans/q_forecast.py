@@ -11,7 +11,7 @@ from oddsmill.operators import asof as A
 from oddsmill.operators import calibration as C
 from oddsmill.operators import forecast as FC
 from oddsmill.operators import history as H
-from oddsmill.session import durable
+from oddsmill.session import durable, merged
 
 from .adapters import RESOLVED, q_case, q_cdf, q_logit, q_r6, q_sig, q_sum, union_sql
 from .q_windows import HIST, STAB, logs, probes
@@ -39,7 +39,7 @@ bt AS (SELECT fd.*, ln.actual AS y_true FROM fd JOIN ln ON ln.id = fd.id WHERE s
 @query("fc_weights", f"WITH {WEIGHTS} SELECT id, n AS n_used, {q_r6('rs')} AS rate_short, {q_r6('rl')} AS rate_long, {q_r6('ms')} AS minutes_short, {q_r6('ml')} AS minutes_long, {q_r6('vr')} AS rate_var, {q_r6('vm')} AS minutes_var, {q_r6('ne')} AS n_eff FROM w2")
 def fc_weights(t):
     d = FC.decay_stats(logs(t), probes(t)).filter("n_used > 0")
-    j = A.attach_prior(probes(t), d, H.KEYS, "slate").filter("n_used > 0")
+    j = H.attach(probes(t), d).filter("n_used > 0")
     return j.select("id", big("n_used").alias("n_used"), *[r6(c).alias(c) for c in ("rate_short", "rate_long", "minutes_short", "minutes_long", "rate_var", "minutes_var", "n_eff")])
 
 
@@ -51,7 +51,7 @@ def fc_league_priors(t):
 
 def distribution(t):
     """Lines with mu, sigma and effective n; lines without five games drop out."""
-    return A.attach_prior(probes(t), FC.distribution(logs(t), probes(t)), H.KEYS, "slate").filter(F.col("mu_hat").isNotNull())
+    return H.attach(probes(t), FC.distribution(logs(t), probes(t))).filter(F.col("mu_hat").isNotNull())
 
 
 @query("fc_distribution", f"WITH {DIST} SELECT id, {q_r6('mu_hat')} AS mu_hat, {q_r6('sigma_hat')} AS sigma_hat, {q_r6('n_eff')} AS n_eff FROM fd")
@@ -74,7 +74,7 @@ def fc_baseline(t):
 def backtest(t):
     """Every line with its forecast and true value. Stored once, because fitting and applying both read it."""
     truth = t.lines().select("id", F.col("actual").alias("y_true"))
-    return distribution(t).join(truth, "id").filter(F.col("sigma_hat") > 1e-6)
+    return distribution(t).join(merged(truth), "id").filter(F.col("sigma_hat") > 1e-6)
 
 
 def clock(t):

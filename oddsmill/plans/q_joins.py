@@ -12,6 +12,7 @@ from oddsmill.functions.exprs import big, num, r6
 from oddsmill.operators import asof as A
 from oddsmill.operators import matching as J
 from oddsmill.operators.ordering import sorted_positions
+from oddsmill.session import merged
 
 from .adapters import EPOCH_DAY, GAME_LOG, LINE_SNAPSHOTS, LINES, MARKET, MARKET_PROBES, MEASURE_COLS, MEASURES, PREDICTIONS, TEAM_GAMES, pick_from, q_case, q_r6, q_sum, sql_list
 from .registry import query
@@ -78,7 +79,7 @@ def join_training_base(t):
     w = World(t)
     f = w.features().filter((F.coalesce(F.nullif("odds_type", F.lit(3)), F.lit(0)) == 0) & (F.lower(F.coalesce("event_type", F.lit(""))) != "combo"))
     players = t.base("customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("player_name"))
-    return f.join(players, "player_id").join(w.game_map(), "game_id").select("id", "player_id", "stat_type", "line_score", "player_name", "official_id")
+    return f.join(merged(players), "player_id").join(w.game_map(), "game_id").select("id", "player_id", "stat_type", "line_score", "player_name", "official_id")
 
 
 @query("join_values_map", f"""WITH {WORLD} SELECT team_id, abbreviation, coalesce(nm.normalized_abbr, abbreviation) AS code, count(*) AS players FROM teams
@@ -188,7 +189,7 @@ def join_semi_anti(t):
 def join_indicator(t):
     g = t.game_log().filter("player_id % 3 <> 0").select("player_id", "game_date", "points", F.lit(True).alias("_hit"))
     e = t.base("events").select("event_id", F.col("user_id").alias("player_id"), F.to_date("ts").alias("game_date"))
-    return e.join(g, ["player_id", "game_date"], "left").select("event_id", F.when(F.col("_hit"), "both").otherwise("left_only").alias("indicator"), "points")
+    return e.join(merged(g), ["player_id", "game_date"], "left").select("event_id", F.when(F.col("_hit"), "both").otherwise("left_only").alias("indicator"), "points")
 
 
 @query("join_market_diag", f"""WITH {MARKET}, o AS (SELECT DISTINCT game_id, captured_on FROM mk WHERE game_id % 2 = 0 AND day(captured_on) <> 13), p AS (SELECT DISTINCT game_id, captured_on FROM mk WHERE game_id % 5 <> 0),
@@ -226,7 +227,7 @@ def join_priority_merge(t):
  FROM ln LEFT JOIN (SELECT player_id, game_date, points, rebounds, assists, turnovers FROM gl WHERE player_id % 11 <> 0) g ON g.player_id = ln.player_id AND g.game_date = ln.slate) l""".replace("gl.turnovers", "turnovers"))
 def join_outcome_find(t):
     box = t.game_log().filter("player_id % 11 <> 0").select("player_id", F.col("game_date").alias("slate"), *MEASURE_COLS)
-    l = t.lines().select("id", "player_id", "slate", "stat_type", "line_score").join(box, ["player_id", "slate"], "left")
+    l = t.lines().select("id", "player_id", "slate", "stat_type", "line_score").join(merged(box), ["player_id", "slate"], "left")
     return l.select("id", J.outcome(M.measure_value("stat_type", MEASURE_COLS), F.col("line_score")).alias("outcome"))
 
 

@@ -11,6 +11,7 @@ from oddsmill.functions import names as N
 from oddsmill.functions.exprs import big, num, r6
 from oddsmill.operators import labels as L
 from oddsmill.operators import matching as J
+from oddsmill.session import merged
 
 from .adapters import EPOCH_DAY, LINES, MEASURE_COLS, PREDICTIONS, q_r6, sql_list, union_sql
 from .q_joins import RESOLVE, WORLD, World, flagged, resolve_sides
@@ -53,13 +54,13 @@ rz AS (SELECT id, matched, forced_push, {q_r6('actual_value')} AS actual_value,
 def resolved_lines(t, keep_open=False):
     w = World(t)
     src, dim = resolve_sides(t)
-    players = src.join(dim.withColumnRenamed("player_id", "official_player"), "name_key").select(F.col("line_id").alias("player_id"), "official_player")
+    players = src.join(merged(dim).withColumnRenamed("player_id", "official_player"), "name_key").select(F.col("line_id").alias("player_id"), "official_player")
     games = w.games.select("game_id", J.eastern_date(F.col("start_time").cast("timestamp")).alias("game_date")).join(w.game_map(), "game_id", "left")
     boxes = t.game_log().filter("player_id % 11 <> 0")
     a, b = F.col("player_id") % 30, 29 - F.col("player_id") % 30
     counts = boxes.groupBy((F.lit(90000000) + F.least(a, b) * 100000 + F.unix_date("game_date")).alias("official_id")).agg(F.count(F.lit(1)).alias("box_rows"))
     picks = t.lines().select("id", F.when(X.pick_over("p_final"), "OVER").otherwise("UNDER").alias("pick"))
-    lines = w.features().join(picks, "id")
+    lines = w.features().join(merged(picks), "id")
     return L.resolve(lines, players, games, boxes.select(F.col("player_id").alias("official_player"), "game_date", *MEASURE_COLS), counts,
                      M.measure_value("stat_type", MEASURE_COLS), keep_open).withColumn("actual_value", r6("actual_value"))
 

@@ -12,7 +12,7 @@ from oddsmill.operators import calibration as C
 from oddsmill.operators import matching as J
 from oddsmill.operators import policy as P
 from oddsmill.operators import reports as R
-from oddsmill.session import durable
+from oddsmill.session import durable, merged
 
 from .adapters import PREDICTIONS, RESOLVED, pick_from, q_case, q_hit, q_logit_mean, q_pick, q_r6, q_shrink, q_sum, sql_list, union_sql
 from .q_ensemble import q_clip, sql_prior_of, sql_priors, sql_priors_as_of
@@ -78,7 +78,7 @@ def slate_input(t):
     lines = t.lines()
     d = distribution(t).select("id", "n_eff", "mu_hat", "sigma_hat")
     labelled = lines.select("stat_type", "slate", "line_score", (F.col("actual") > F.col("line_score")).cast("int").alias("over_label"))
-    j = lines.select("id", "player_id", "stat_type", "slate", "line_score", *EX).join(d, "id", "left")
+    j = lines.select("id", "player_id", "stat_type", "slate", "line_score", *EX).join(merged(d), "id", "left")
     j = C.context_prior_as_of(j, C.priors_as_of(labelled, labelled))
     return j.withColumns({"slate": F.col("slate").cast("string"), "set_size": F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 50 == 1, None).otherwise(1),
                           "status": F.when(F.col("id") % 4 == 0, "per_stat").otherwise("raw")})

@@ -9,6 +9,7 @@ from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import big, count_true, num, r6
 from oddsmill.operators import aggregates as AG
 from oddsmill.operators import matching as J
+from oddsmill.session import merged
 from oddsmill.sources import files as FL
 from oddsmill.sources import snapshot_json as SJ
 
@@ -109,7 +110,7 @@ def qual_preflight(t):
     with_game = w.features().select("player_id", "game_id", "slate").join(w.game_map(), "game_id", "left_semi")
     boxes = t.game_log().filter("player_id % 11 <> 0").select("player_id", F.col("game_date").alias("slate"))
     parts = [span(t.lines(), "lines", F.col("slate")), span(w.games, "games", F.to_date("start_time")), span(w.official, "official_games", F.col("game_date")), size(w.game_map(), "matched_games"),
-             size(src.join(dim, "name_key"), "mapped_players"), size(with_game, "lines_with_game"), size(with_game.join(boxes, ["player_id", "slate"], "left_semi"), "lines_with_stats")]
+             size(src.join(merged(dim), "name_key"), "mapped_players"), size(with_game, "lines_with_game"), size(with_game.join(merged(boxes), ["player_id", "slate"], "left_semi"), "lines_with_stats")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
