@@ -2,7 +2,8 @@
 
 toxicity          documents that the classifier, fitted on ``labels``, predicts toxic go
 exact_dedup       of equal texts the row with the largest id stays
-simhash_dedup     of texts connected by 0.8 of their five-word shingles or more, the document with the smallest id stays
+simhash_dedup     of texts connected by SimHash fingerprints within 3 of 64 bits, or by 0.8 of their five-word shingles or more (which 3 bits
+                  do not always show), the document with the smallest id stays
 decontaminate     documents that hold a passage of ``benchmark`` go
 trie_bpe          what is left, as token ids and as the text they decode to
 
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmill.llm import decontaminate, exact_dedup, near_copies, toxicity, trie_bpe
+from oddsmill.llm import decontaminate, exact_dedup, near_copies, near_dedup, toxicity, trie_bpe
 from oddsmill.llm.tables import keyed_text, small_batches, table
 from oddsmill.session import scratch_path
 
@@ -32,7 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_copies.kept_documents(docs)
+    return near_dedup.kept_documents(docs, further=near_copies.copies)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

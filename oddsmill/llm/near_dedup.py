@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +14,7 @@ from oddsmill.session import durable
 
 from .components import connected_components
 from .tables import keyed_text, located, without_rows
+from .workers import frugal
 
 #: Bits in which linked fingerprints may differ.
 DISTANCE = 3
@@ -51,7 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, fp)`` of each row of ``docs(key, text)``."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(_fingerprints, f"key {kind}, fp bigint")
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(frugal(_fingerprints), f"key {kind}, fp bigint")
 
 
 def block_masks(mask: int) -> list[int]:
@@ -135,10 +136,18 @@ def documents_components(docs: DataFrame) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, further: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate component: the one with the smallest identifier (of
-    equal ones, the first in the files; a null identifier only where there is no other)."""
+    equal ones, the first in the files; a null identifier only where there is no other).
+
+    ``further`` gives ``key, component`` of ``(key, text)`` by another measure. Components then run over the links of both, so
+    a text may connect two others by one link of each."""
     rows, at = located(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(at).alias("at"))
-    found = simhash_components(rows.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text")), "key")
-    return without_rows(rows, durable(found.where(F.col("key") != F.col("component")).select("key.at")), at)
+    texts = rows.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    moved = lambda found: found.where(F.col("key") != F.col("component")).select("key", "component")
+    gone = moved(simhash_components(texts, "key"))
+    if further is not None:
+        edges = gone.unionByName(moved(further(texts))).select(F.col("component").alias("a"), F.col("key").alias("b"))
+        gone = moved(connected_components(edges).withColumnRenamed("node", "key"))
+    return without_rows(rows, durable(gone.select("key.at")), at)

@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from oddsmill.llm import decontaminate, toxicity, trie_bpe
+from oddsmill.llm import decontaminate, near_copies, near_dedup, toxicity, trie_bpe
 from oddsmill.llm.tables import keyed_text
 from tests.llm.test_decontaminate import brute_leaks
 from tests.llm.test_exact_dedup import low
@@ -57,3 +57,18 @@ def test_odd_documents_pass_through_all_stages(spark, odd, no_documents, tmp_pat
     left = sorted((r.doc_id for r in docs.collect()), key=str)
     # 1 and 2 are equal texts, 4, 3 and 9 have no words, 5 and 6 differ by a letter beyond A-Z, the tail of 7 and the rest are alone
     assert left == ([] if empty else sorted([2, 5, 6, 7, 8, 4, None], key=str)) or decontaminate.SIMILARITY != 0.8
+
+
+def test_near_copies_are_found_by_simhash_and_by_similarity_and_both_connect(spark):
+    """1 and 2 have one fingerprint, for they repeat most of their words, but share few of their distinct shingles; 3 shares most of
+    them with 2. 5 and 6 share no link with the rest."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    a, b, c = "one two three " * 2000 + words("p", 12), "one two three " * 2000 + words("q", 60), words("q", 60) + " one two three" * 2
+    assert near_dedup.fingerprint(a) == near_dedup.fingerprint(b) and (near_dedup.fingerprint(b) ^ near_dedup.fingerprint(c)).bit_count() > 3
+    rows = [(1, a), (2, b), (3, c), (5, words("r", 40)), (6, words("s", 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    sets = {i: near_copies.shingles(t) for i, t in rows}
+    assert share(sets[1], sets[2]) < 0.8 <= share(sets[2], sets[3]) and share(sets[1], sets[3]) < 0.8
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 5, 6]
