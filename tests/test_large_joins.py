@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from oddsmill.operators import calibration as C
 from oddsmill.operators import history as H
 from oddsmill.operators import labels as L
 from oddsmill.plans.adapters import Tables
@@ -37,3 +40,25 @@ def test_labels_are_filled_without_a_broadcast(spark, capsys):
     out = L.fill_labels(log, spark.createDataFrame([(1, 9.0), (2, 8.0), (None, 7.0)], "id bigint, actual_value double"), "id", ["actual_value"])
     assert not broadcast_keys(out, capsys)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 9.0), (2, 5.0), (None, None), (3, None)], key=str)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 511, 512, 1023, 1024, 2000])
+def test_interpolation_looks_its_place_up_by_halving(spark, n):
+    """Ties, both ends, maps of any size, null and NaN; the filter over all knots is evaluated for none of the usual sizes."""
+    rnd = np.random.default_rng(n)
+    kx, ky = np.sort(rnd.integers(0, n, n) / n), np.sort(rnd.random(n))
+    u = [-1.0, 0.0, 1.0, 2.0, float("nan"), None, *rnd.random(40).tolist(), *rnd.choice(kx, 20).tolist()]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(u)], "i int, u double").crossJoin(spark.createDataFrame([(kx.tolist(), ky.tolist())], "kx array<double>, ky array<double>"))
+    got = {r.i: r for r in rows.select("i", C._at_or_below("kx", F.col("u")).alias("at"), F.size(F.filter("kx", lambda k: k <= F.col("u"))).alias("want"), C.interpolate(F.col("u")).alias("y")).collect()}
+    assert all(r.at == r.want for r in got.values())
+    for i, v in enumerate(u):
+        at = got[i].want
+        if 0 < at < n and v == v:
+            assert kx[at] > kx[at - 1] and abs(got[i].y - (ky[at - 1] + (v - kx[at - 1]) / (kx[at] - kx[at - 1]) * (ky[at] - ky[at - 1]))) < 1e-12
+    assert got[0].y == 0.0 and got[5].y == 0.0 and got[3].y == 1.0
+
+
+def test_without_knots_there_is_no_value(spark):
+    r = spark.sql("SELECT CAST(null AS array<double>) AS kx, CAST(null AS array<double>) AS ky, 0.5D AS u").select(C.interpolate(F.col("u")).alias("y")).first()
+    assert r.y is None
+    assert str(C.interpolate(F.col("u"))).count("filter(") == 1   # once a row: ten times before
