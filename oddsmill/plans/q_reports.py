@@ -9,6 +9,7 @@ from oddsmill.functions import constants as K
 from oddsmill.functions import exprs as X
 from oddsmill.functions.exprs import big, num, r6
 from oddsmill.operators import reports as R
+from oddsmill.operators.ordering import sorted_positions
 from oddsmill.session import durable
 
 from .adapters import LINES, PREDICTIONS, RESOLVED, q_hit, q_loss, q_pick, q_r6, q_sum, union_sql
@@ -254,9 +255,9 @@ def drift_windows(rows):
     rows = rows.withColumn("correct", drift_correct())
     timed = time_windows(rows)
     size = timed.agg(X.count_true(F.col("is_base")).alias("base"), X.count_true(~F.col("is_base")).alias("recent"))
-    tail = rows.orderBy(*late).limit(FALLBACK_POOL)
-    every = Window.orderBy(*late)   # FALLBACK_POOL rows at most
-    pool = tail.withColumns({"_rn": F.row_number().over(every), "_n": F.count(F.lit(1)).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_s": size.select(F.struct("base", "recent")).scalar()})
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    pool = sorted_positions(rows, late, "_rn").withColumns({
+        "_rn": F.col("_rn") + 1, "_n": F.least(total, F.lit(FALLBACK_POOL)), "_s": size.select(F.struct("base", "recent")).scalar()})
     k = F.least(F.greatest(F.lit(MIN_BASELINE), F.col("_s.recent")), F.floor(F.col("_n") / 2))
     fallback = pool.filter((F.col("_s.base") < MIN_BASELINE) & (F.col("_n") >= 2 * MIN_BASELINE) & (F.col("_rn") <= 2 * k)).withColumn("is_base", F.col("_rn") > k)
     kept = [*rows.columns, "is_base"]
