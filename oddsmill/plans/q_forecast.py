@@ -145,7 +145,7 @@ def fitted(t):
     """Backtest rows, parameters per scope and PIT knots per scope."""
     rows = weighted(t)
     params = C.fit_gaussian(rows, "w", MIN_ROWS)
-    cal = C.apply_gaussian(C.scoped(rows).join(params, "scope"))
+    cal = C.apply_gaussian(C.with_params(C.scoped(rows), params))
     cal = cal.withColumn("u", C.pit(F.col("y_true"), F.col("mu_cal"), F.col("sigma_cal")))
     return rows, params, cal, C.pit_knots(cal, ["scope"], "u")
 

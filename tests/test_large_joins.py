@@ -62,3 +62,17 @@ def test_without_knots_there_is_no_value(spark):
     r = spark.sql("SELECT CAST(null AS array<double>) AS kx, CAST(null AS array<double>) AS ky, 0.5D AS u").select(C.interpolate(F.col("u")).alias("y")).first()
     assert r.y is None
     assert str(C.interpolate(F.col("u"))).count("filter(") == 1   # once a row: ten times before
+
+
+def test_fitted_scopes_are_broadcast_so_no_scope_fills_a_task(spark, capsys):
+    """A join by shuffle sends every row of a scope, and with it half of all rows, to one task."""
+    rows = spark.createDataFrame([(1, "a", 0.1), (2, "a", 0.2), (3, "b", 0.3), (4, None, 0.4)], "id int, scope string, u double")
+    params = spark.createDataFrame([("a", 1.0), (None, 2.0)], "scope string, a double")
+    out = C.with_params(rows, params)
+    capsys.readouterr()
+    out.explain()
+    assert "hashpartitioning(scope" not in capsys.readouterr().out
+    assert sorted((r.id, r.a) for r in out.collect()) == [(1, 1.0), (2, 1.0)]
+    C.ks_uniform(rows, ["scope"], "u").explain()
+    assert "BroadcastHashJoin [scope" in capsys.readouterr().out
+    assert {(r.scope, r.j, r.x) for r in C.pit_knots(rows, ["scope"], "u").collect()} == {("a", 0, 0.1), ("a", 1, 0.2), ("b", 0, 0.3)}
