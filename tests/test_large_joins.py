@@ -76,3 +76,25 @@ def test_fitted_scopes_are_broadcast_so_no_scope_fills_a_task(spark, capsys):
     C.ks_uniform(rows, ["scope"], "u").explain()
     assert "BroadcastHashJoin [scope" in capsys.readouterr().out
     assert {(r.scope, r.j, r.x) for r in C.pit_knots(rows, ["scope"], "u").collect()} == {("a", 0, 0.1), ("a", 1, 0.2), ("b", 0, 0.3)}
+
+
+def test_trees_are_fitted_on_partitions_of_bounded_size(spark):
+    from oddsmill.plans import q_ensemble as Q
+
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 100 * cores, 1, 1).select(F.col("id").alias("idx"), (F.col("id") % 2).cast("double").alias("label"))
+    assert Q.tree_partitions(df, 100) is df
+    out = Q.tree_partitions(df, 20)
+    parts = out.select("*", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.idx for r in parts) == list(range(100 * cores))
+    assert len({r.p for r in parts}) > 4 * cores and max(sum(r.p == k for r in parts) for k in {r.p for r in parts}) <= 60
+
+
+def test_boosted_trees_deal_their_rows_out(spark, monkeypatch):
+    from oddsmill.plans import q_ensemble as Q
+
+    asked = []
+    monkeypatch.setattr(Q, "tree_partitions", lambda df: asked.append(df.columns) or df)
+    rows = spark.range(60).select(F.col("id").alias("idx"), (F.col("id") % 2).cast("double").alias("label"), F.col("id").cast("double").alias("x"))
+    Q.fit_gbt(rows, ["x"], rounds=2)
+    assert asked and "idx" in asked[0]
