@@ -33,6 +33,8 @@ def frugal(run: Run) -> Run:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for forget in _forget:
             forget()
+        if _forget:
+            give_back()  # before this task takes memory of its own
         yield from run(batches)
         give_back()
 
