@@ -36,11 +36,12 @@ class Streamed(Tables):
 
 @query("st_snapshot_ingest", f"WITH {LINE_SNAPSHOTS} SELECT snapshot_id, count(DISTINCT player_id) AS docs FROM ls GROUP BY 1")
 def st_snapshot_ingest(t):
-    """The same documents land twice: the second run must add nothing."""
+    """The same documents land twice, as compressed files: the second run must add nothing."""
     root = scratch_path(t.spark, "ingest")
     docs = payloads(t)
     for name in ("first", "again"):
-        docs.write.json(f"{root}/landing/{name}")
+        docs.write.option("compression", "gzip").json(f"{root}/landing/{name}")
+        docs = t.spark.read.schema(docs.schema).json(f"{root}/landing/first")
         table = ST.ingest(t.spark, f"{root}/landing/*", docs.schema, ["snapshot_id", "player_id"], root)
     return table.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("docs"))
 
