@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from oddsmill.functions.exprs import finite
-from oddsmill.session import scratch_path  # noqa: F401  (sinks need a place to write)
+from oddsmill.session import durable, scratch_path  # noqa: F401  (sinks need a place to write)
 
 RESULT_SETS = "struct<resultSets:array<struct<name:string,headers:array<string>,rowSet:array<array<string>>>>>"
 
@@ -43,6 +43,8 @@ def stringify(df: DataFrame) -> DataFrame:
 
 
 def write_tables(df: DataFrame, folder: str) -> tuple[str, str]:
+    """Both files hold the same rows, which are computed once."""
+    df = durable(df)
     df.write.mode("errorifexists").json(f"{folder}/jsonl")
     stringify(df).write.mode("errorifexists").option("header", True).option("escape", '"').csv(f"{folder}/csv")   # doubled quotes, as CSV readers expect
     return f"{folder}/jsonl", f"{folder}/csv"
