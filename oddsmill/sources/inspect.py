@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsmill.session import durable
+
 SECTIONS = ("data", "included")
 #: What an item must have, by section, and what is counted in the items of ``data``. Fixed values.
 REQUIRED = {"data": ("id", "type", "attributes", "relationships"), "included": ("id", "type", "attributes")}
@@ -50,15 +52,16 @@ def inspect(docs: DataFrame) -> DataFrame:
     heads = heads.select(F.lit("payload").alias("section"), F.lit(None).cast("string").alias("type"), "h.part", F.explode("h.names").alias("name"))
     rows = items(docs)
     relation = F.transform(keys_of("item", "$.relationships"), lambda k: F.struct(F.lit(None).cast("string").alias("part"), k.alias("name")))
-    own = F.concat(F.array(F.struct(F.lit("total").alias("part"), F.lit("items").alias("name"))),
+    sample = F.when(text_at("$.id").isNotNull(), F.struct(F.lit("sample_id").alias("part"), text_at("$.id").alias("name")))
+    own = F.concat(F.array_compact(F.array(F.struct(F.lit("total").alias("part"), F.lit("items").alias("name")), sample)),
                    F.transform(keys_of("item", "$.attributes"), lambda k: F.struct(F.lit("attribute").alias("part"), k.alias("name"))), relation)
     parts = rows.select("section", "type", F.explode(own).alias("p"), F.try_variant_get("item", "$.relationships", "map<string,variant>").alias("_r"))
     data = F.try_variant_get(F.col("_r")[F.col("p.name")], "$.data", "variant")
     parts = parts.select("section", "type", F.coalesce("p.part", F.concat(F.lit("relationship:"), shape_of(data))).alias("part"), "p.name")
-    ids = rows.select("section", "type", text_at("$.id").alias("name")).filter("name IS NOT NULL").groupBy("section", "type", "name").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("section", "type").orderBy("name")
-    samples = ids.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= SAMPLES).select("section", "type", F.lit("sample_id").alias("part"), "name", "n")
-    return count(heads).unionByName(count(parts)).unionByName(samples)
+    counts = durable(count(parts))   # of every id too, so that each item is taken apart once
+    first = Window.partitionBy("section", "type", "part").orderBy("name")
+    samples = counts.filter("part = 'sample_id'").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= SAMPLES).drop("_k")
+    return count(heads).unionByName(counts.filter("part <> 'sample_id'")).unionByName(samples)
 
 
 def audit(docs: DataFrame) -> DataFrame:

@@ -52,3 +52,12 @@ def test_audit(spark):
         assert got["data", "relationship_missing", k] == sum(not isinstance(r, dict) or r.get("data") is None for r in rel)
     assert got["data", "duplicates", "id,type"] == 1 and got["data", "type", "unknown"] == 1 and got["included", "type", "new_player"] == 1
     assert IN.audit(tables(spark).limit(0)).count() == 0
+
+
+def test_items_are_taken_apart_once(spark, monkeypatch):
+    """The counts, the ids among them, come from one pass over the items."""
+    stored, keep = [], IN.durable
+    monkeypatch.setattr(IN, "durable", lambda df: stored.append(df) or keep(df))
+    out = IN.inspect(tables(spark))
+    assert len(stored) == 1 and "sample_id" in {r.part for r in stored[0].collect()}
+    assert {r.n for r in out.filter("part = 'sample_id' AND name = '1'").collect()} == {2}
