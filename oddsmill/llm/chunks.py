@@ -8,6 +8,7 @@ costs time and changes nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 #: Pieces that a generation of a worker's cache remembers at most, unless the encoder says otherwise.
 REMEMBERED = 400_000
 MARKS = ".,;:!?"
+#: A space that no visible character follows: no cut there.
+UNCUT = re.compile(r" (?:\s|\Z)")
 #: Bytes of text that are worked on at a time (one whole text at least).
 SLICE_BYTES = 1_500_000
 
@@ -23,7 +26,7 @@ SLICE_BYTES = 1_500_000
 def cut(text: str) -> list[str]:
     """Pieces of ``text``: ``" ".join(cut(text)) == text``, every joint is a sure cut, the space belongs to the right piece."""
     parts = text.split(" ")
-    if all(p and not p[0].isspace() for p in parts[1:]):
+    if not UNCUT.search(text):
         return parts
     out = parts[:1]
     for p in parts[1:]:

@@ -19,6 +19,7 @@ A shard is a row of a Parquet folder, so that any store Spark can reach holds it
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +54,7 @@ def _encoder(path: str) -> tuple[PieceCache, int]:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    pack = lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+    pack = lambda pieces: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
     return PieceCache(pack), tok.get_vocab_size(with_added_tokens=True)
 
 

@@ -30,6 +30,8 @@ REMEMBERED = 200_000
 REMEMBERED_PAIRS = 300_000
 #: Bytes of text that are worked on at a time.
 PART_BYTES = 1_000_000
+#: Above every merge: two neighbours that do not merge.
+NO_MERGE = 1 << 62
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,14 +55,14 @@ class TrieBpe:
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.merge = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(merges)}  # rank, then the token made
         self.letters = {c: vocab[c] for c in byte_letters().values() if c in vocab}
         self.token = {i: t for t, i in vocab.items()}
         self.whole = {t: i for t, i in vocab.items() if self.merged(t) == [i]}
-        self.sizes: dict[str, list[int]] = {}  # by the last two letters, the lengths of tokens that end so, long ones first
+        self.sizes: dict[str, list[int]] = {}  # by the last four letters, the lengths of tokens that end so, long ones first
         for t in self.whole:
-            if len(t) > 1:
-                self.sizes.setdefault(t[-2:], []).append(len(t))
+            if len(t) > 3:
+                self.sizes.setdefault(t[-4:], []).append(len(t))
         self.sizes = {k: sorted(set(v), reverse=True) for k, v in self.sizes.items()}
         self.size_of = {i: len(t) for t, i in vocab.items()}
         self.pairs: dict[int, bool] = {}
@@ -71,13 +73,20 @@ class TrieBpe:
 
     def merged(self, word: str) -> list[int]:
         """Encoding by the definition: the pair of lowest rank merges first, from the left. For single tokens and pairs."""
-        ids = [self.letters[c] for c in word]
-        while True:
-            best = min(((self.merge[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merge), default=None)
-            if best is None:
-                return ids
-            k = best[1]
-            ids[k : k + 2] = [self.merge[ids[k], ids[k + 1]][1]]
+        ids, merge = [self.letters[c] for c in word], self.merge.get
+        found = [merge(p, NO_MERGE) for p in zip(ids, ids[1:])]  # of each two neighbours
+        while found:
+            best = min(found)
+            if best == NO_MERGE:
+                break
+            k = found.index(best)
+            ids[k : k + 2] = [best & 0xFFFFFFFF]
+            del found[k]
+            if k:
+                found[k - 1] = merge((ids[k - 1], ids[k]), NO_MERGE)
+            if k < len(found):
+                found[k] = merge((ids[k], ids[k + 1]), NO_MERGE)
+        return ids
 
     def valid(self, left: int, right: int) -> bool:
         pair = left << 32 | right
@@ -90,12 +99,17 @@ class TrieBpe:
 
     def last_token(self, word: str, n: int, last: list[int]) -> int:
         """The last token of the encoding of the first ``n`` letters of ``word``, given those of all shorter prefixes."""
-        if n > 1:
-            for size in self.sizes.get(word[n - 2 : n], ()):
+        whole = self.whole.get
+        if n > 3:
+            for size in self.sizes.get(word[n - 4 : n], ()):
                 if size <= n:
-                    t = self.whole.get(word[n - size : n])
+                    t = whole(word[n - size : n])
                     if t is not None and (size == n or self.valid(last[n - size], t)):
                         return t
+        for size in (3, 2) if n > 2 else (2,) if n > 1 else ():
+            t = whole(word[n - size : n])
+            if t is not None and (size == n or self.valid(last[n - size], t)):
+                return t
         return self.letters[word[n - 1]]
 
     def spelled(self, size: int, last: list[int]) -> bytes:

@@ -95,3 +95,30 @@ def test_no_shards(spark, no_documents, tmp_path):
     token_shards.write_shards(keyed_text(no_documents), out)
     assert token_shards.read_shards(spark, out).count() == 0
     assert token_shards.lookup(spark, out, [1]).count() == 0
+
+
+def test_a_cut_is_any_space_before_a_visible_letter():
+    for text in samples():
+        parts = chunks.cut(text)
+        assert " ".join(parts) == text
+        assert len(parts) == 1 + sum(c == " " and i + 1 < len(text) and not text[i + 1].isspace() for i, c in enumerate(text))
+
+
+def test_work_per_word_is_small(monkeypatch):
+    """Tokens that may end a prefix are found by its last four letters; merging looks each pair up once."""
+    looked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return dict.get(self, key, default)
+
+    bpe = trie_bpe._worker(trie_bpe.default_path())[0]
+    word = "\u0120internationalisation"
+    monkeypatch.setattr(bpe, "whole", Counted(bpe.whole))
+    bpe.walk([word])
+    assert len(looked) <= 5 * len(word)
+    looked.clear()
+    monkeypatch.setattr(bpe, "merge", Counted(bpe.merge))
+    bpe.merged(word)
+    assert len(looked) <= 3 * len(word)
