@@ -15,7 +15,7 @@ from oddsmill.operators import reports as R
 from oddsmill.session import durable, merged
 
 from .adapters import PREDICTIONS, RESOLVED, pick_from, q_case, q_hit, q_logit_mean, q_pick, q_r6, q_shrink, q_sum, sql_list, union_sql
-from .q_ensemble import q_clip, sql_prior_of, sql_priors, sql_priors_as_of
+from .q_ensemble import q_clip, rolled, sql_prior_of, sql_priors, sql_priors_as_of
 from .q_forecast import DIST, distribution
 from .q_joins import WORLD
 from .q_scalar import q_edge, q_grade
@@ -261,6 +261,7 @@ def rep_backtest(t):
     from .q_reports import WINDOWS
     from .registry import CATALOGUE
 
+    t._view("rolled", lambda: durable(rolled(t)))   # two strategies start from it
     parts = [CATALOGUE[q].plan(t).select(F.lit(n).alias("strategy"), F.lit(i).alias("ord"), "id", "p") for i, (n, q) in enumerate(STRATEGIES.items())]
     st = parts[0]
     for p in parts[1:]:
