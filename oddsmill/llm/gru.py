@@ -18,6 +18,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(1) / (np.float32(1) + np.exp(-x))
 
 
+def _log_softmax(weight: np.ndarray, bias: np.ndarray, states: np.ndarray, target: np.ndarray, slopes: bool):
+    """Log-probability of each target class at the positions of ``states`` (units by positions); with ``slopes`` also the
+    gradient of its negated sum in each class."""
+    e = weight.T @ states
+    e += bias[:, None]
+    e -= e.max(axis=0)
+    at = np.arange(states.shape[1])
+    ll = e[target, at]
+    np.exp(e, out=e)
+    total = e.sum(axis=0)
+    ll -= np.log(total)
+    if slopes:
+        e /= total
+        e[target, at] -= 1
+    return ll, e
+
+
 @dataclass
 class Shape:
     """Symbols 0.. are ``head`` words in classes of ``per_class`` (the last may be smaller), then one symbol for each of
@@ -124,56 +141,57 @@ class Network:
         return states, h, kept
 
     def outputs(self, states: np.ndarray, y: np.ndarray, slopes: bool):
-        """Natural log-likelihood of each target; with ``slopes`` also the gradients of its negated sum."""
+        """Natural log-likelihood of each target; with ``slopes`` also the gradients of its negated sum.
+
+        Arrays of classes have the positions last, so that a step over them runs through memory in order however few classes there are."""
         p, shape = self.p, self.shape
+        s = np.ascontiguousarray(states.T)
         word = y < shape.head
         cls = np.where(word, y // shape.per_class, y - shape.head + shape.head_classes)
-        logit = states @ p["c"] + p["cb"]
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1)
-        rows = np.arange(len(y))
-        ll = logit[rows, cls] - np.log(total)
+        ll, e = _log_softmax(p["c"], p["cb"], s, cls, slopes)
         grads, back = {}, None
         if slopes:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads = {"c": states.T @ e, "cb": e.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-            back = e @ p["c"].T
-        order = np.argsort(np.where(word, cls, shape.head_classes), kind="stable")
-        edges = np.searchsorted(cls[order[: word.sum()]], np.arange(shape.head_classes + 1))
+            grads = {"c": s @ e.T, "cb": e.sum(axis=1), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+            back = e.T @ p["c"].T
+        order = np.argsort(np.where(word, cls, shape.head_classes).astype(np.uint16), kind="stable")[: int(word.sum())]  # two bytes: sorted by digits
+        edges = np.searchsorted(cls[order], np.arange(shape.head_classes + 1))
+        s, target = np.ascontiguousarray(states[order].T), y[order] - cls[order] * shape.per_class
+        inner, part = np.empty(len(order), ll.dtype), np.empty((len(order), HIDDEN), np.float32)
         for k in range(shape.head_classes):
-            at = order[edges[k] : edges[k + 1]]
-            if not len(at):
+            at = slice(edges[k], edges[k + 1])
+            if at.start == at.stop:
                 continue
-            s, target = states[at], y[at] - k * shape.per_class
-            logit = s @ p["w"][k] + p["wb"][k]
-            logit -= logit.max(axis=1, keepdims=True)
-            e = np.exp(logit)
-            total, rows = e.sum(axis=1), np.arange(len(at))
-            ll[at] += logit[rows, target] - np.log(total)
+            inner[at], e = _log_softmax(p["w"][k], p["wb"][k], s[:, at], target[at], slopes)
             if slopes:
-                e /= total[:, None]
-                e[rows, target] -= 1
-                grads["w"][k], grads["wb"][k] = s.T @ e, e.sum(axis=0)
-                back[at] += e @ p["w"][k].T
+                grads["w"][k], grads["wb"][k] = s[:, at] @ e.T, e.sum(axis=1)
+                part[at] = e.T @ p["w"][k].T
+        ll[order] += inner
+        if slopes:
+            back[order] += part
         return ll, grads, back
 
     def back(self, x: np.ndarray, fresh: np.ndarray, kept: list, back: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the recurrent part, cut at the start of the window."""
         n, p = HIDDEN, self.p
+        h, z, r, c, new = (np.stack([k[i] for k in kept]) for i in range(5))
         da = np.empty((*x.shape, 3 * n), np.float32)
-        du, dh = np.zeros_like(p["u"]), np.zeros(back.shape[1:], np.float32)
+        dg = np.empty_like(da)
+        to_z, to_new, to_r = (h - new) * z * (1 - z), (1 - z) * (1 - new * new), c * r * (1 - r)  # what does not depend on the steps behind
+        z, up, dh = z * (~fresh)[:, :, None], p["u"].T, np.zeros(back.shape[1:], np.float32)
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, c, new = kept[t]
-            dh = dh + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            d = da[t]
-            d[:, :n], d[:, n : 2 * n], d[:, 2 * n :] = dh * (h - new) * z * (1 - z), dnew * c * r * (1 - r), dnew
-            dg = d.copy()
-            dg[:, 2 * n :] *= r
-            du += h.T @ dg
-            dh = (dh * z + dg @ p["u"].T) * (~fresh[t])[:, None]
+            dh += back[t]
+            d, g = da[t], dg[t]
+            dnew = dh * to_new[t]
+            np.multiply(dh, to_z[t], out=d[:, :n])
+            np.multiply(dnew, to_r[t], out=d[:, n : 2 * n])
+            d[:, 2 * n :] = dnew
+            g[:, : 2 * n] = d[:, : 2 * n]
+            np.multiply(dnew, r[t], out=g[:, 2 * n :])
+            dh *= z[t]
+            through = g @ up
+            through[fresh[t]] = 0
+            dh += through
+        du = h.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         flat, at = da.reshape(-1, 3 * n), x.ravel()
         order = np.argsort(at, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0)))

@@ -123,11 +123,14 @@ def encode(docs: DataFrame, holder, ticket: str) -> DataFrame:
         look, end_known = lex.index.get, int(lex.total > 0)
         for batch in batches:
             for b in slices(batch, 1):
-                texts = [_words(t) for t in b.column(1).to_pylist()]
-                words = [w for t in texts for w in (*t, b"")]
+                texts, words, ends = b.column(1).to_pylist(), [], [0]
+                for t in texts:
+                    words += _words(t)
+                    words.append(b"")
+                    ends.append(len(words))
                 at = np.fromiter(map(look, words, repeat(-1)), np.int64, len(words))
-                ends = np.cumsum([len(t) + 1 for t in texts])
-                doc = np.repeat(np.arange(len(texts)), np.diff(np.concatenate(([0], ends))))
+                sizes = np.diff(ends)
+                doc = np.repeat(np.arange(len(texts)), sizes)
                 known, rest = at >= 0, np.flatnonzero(at < 0)
                 symbol = lex.symbol[at]
                 others: list[Counter] = [Counter() for _ in texts]
@@ -136,9 +139,9 @@ def encode(docs: DataFrame, holder, ticket: str) -> DataFrame:
                 symbol[rest] = [lex.head + lex.ending(words[i]) for i in rest.tolist()]
                 sums = [np.bincount(doc[known], v[at[known]], minlength=len(texts)) for v in (lex.base, lex.inside)]
                 n_known = np.bincount(doc[known], minlength=len(texts)) - (1 - end_known)
-                packed = np.split(symbol.astype("<u2"), ends[:-1])
+                packed = symbol.astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array(np.diff(np.concatenate(([0], ends))), pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([p.tobytes() for p in packed], pa.binary()),
+                    b.column(0), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([packed[2 * i : 2 * j] for i, j in zip(ends, ends[1:])], pa.binary()),
                     pa.array([list(o.keys()) for o in others], pa.list_(pa.binary())), pa.array([list(o.values()) for o in others], pa.list_(pa.int32())),
                     pa.array([[lex.ending(w) for w in o] for o in others], pa.list_(pa.int32())),
                 ], ["doc_id", "n_tokens", "n_known", "base", "inside", "symbols", "words", "times", "kinds"])

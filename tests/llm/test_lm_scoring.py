@@ -112,3 +112,14 @@ def test_model_beats_the_counts_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in lm_scoring.score_documents(keyed_text(docs)).collect() if r.held_out]
     assert sum(r.score for r in rows) > 0.98 * sum(r.base_score for r in rows)
+
+
+def test_log_softmax_has_positions_last_and_matches_float64():
+    rng = np.random.default_rng(5)
+    weight, bias, states = rng.normal(size=(4, 7)).astype("f4"), rng.normal(size=7).astype("f4"), rng.normal(size=(4, 50)).astype("f4")
+    target = rng.integers(0, 7, 50)
+    logit = weight.T.astype(float) @ states + bias[:, None]
+    share = np.exp(logit) / np.exp(logit).sum(axis=0)
+    ll, slopes = gru._log_softmax(weight, bias, states, target, True)
+    assert np.allclose(ll, np.log(share[target, np.arange(50)]), atol=1e-5)
+    assert slopes.shape == (7, 50) and np.allclose(slopes, share - (np.arange(7)[:, None] == target), atol=1e-5)
