@@ -18,6 +18,8 @@ A shard is a row of a Parquet folder, so that any store Spark can reach holds it
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,18 +34,39 @@ from pyspark.sql import functions as F
 from .chunks import PieceCache, gathered
 from .perfect_hash import PerfectHash
 from .tables import sized
-from .trie_bpe import default_path
+from .trie_bpe import byte_letters, default_path
 
 #: Ids after which a shard ends with its document.
 SHARD_IDS = 2_000_000
 #: Bytes of text that are encoded at a time: new pieces go to the encoder in one list.
 ENCODED_BYTES = 4_000_000
+#: Words of one or two characters whose ids a worker remembers beside the pieces.
+REMEMBERED_SIGNS = 10_000
+#: Letters and signs of which the pre-tokenizer makes words by these two rules alone; the apostrophe and the signs of added tokens have others.
+LETTERS, SIGNS = "".join(c for c in map(chr, range(0x250)) if c.isalpha()), "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+PLAIN = re.compile(f" ?[{LETTERS}{re.escape(SIGNS)}]++(?:\n[{LETTERS}{re.escape(SIGNS)}]++)*+").fullmatch
+WORDS = re.compile(f" ?[{LETTERS}]+| ?[{re.escape(SIGNS)}]+|\n").findall
+#: The letters that stand for the bytes of each of them in a byte-level vocabulary.
+SPELLED = {ord(c): "".join(byte_letters()[b] for b in c.encode()) for c in LETTERS + SIGNS + " \n"}
 BINARY = ["payload", "keys", "ends", "slot_doc", "mph_words", "mph_ranks", "mph_sizes", "mph_prints"]
 NUMBERS = {"part": pa.int32(), "seq": pa.int32(), "before": pa.int64(), "n_ids": pa.int64(), "n_docs": pa.int64(), "low": pa.int64(), "high": pa.int64(), "n_null": pa.int64(), "width": pa.int32()}
 SHAPE = ", ".join(f"{k} {'int' if t == pa.int32() else 'bigint'}" for k, t in NUMBERS.items()) + "".join(f", {k} binary" for k in BINARY)
 ARROW = pa.schema([*NUMBERS.items(), *((k, pa.binary()) for k in BINARY)])
 
 
+def takes_plain_words(tok) -> bool:
+    """Whether ``tok`` cuts texts of ``LETTERS`` and ``SIGNS`` into the words of ``plain_words``, each spelled by its bytes' letters."""
+    setup = json.loads(tok.to_str())
+    before = setup["pre_tokenizer"] or {}
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return byte_level and setup["normalizer"] is None and not any(set(a["content"]) <= {*map(chr, SPELLED)} for a in setup["added_tokens"])
+
+
+def plain_words(piece: str) -> list[str] | None:
+    """The pre-tokenizer's words of a piece of letters and signs, with a space at its front or none; None: it has other signs."""
+    return WORDS(piece) if PLAIN(piece) else None
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[PieceCache, int]:
     import os
@@ -54,7 +77,28 @@ def _encoder(path: str) -> tuple[PieceCache, int]:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    pack = lambda pieces: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+    merge, plain = tok.model.tokenize, takes_plain_words(tok)
+
+    def ids(word: str) -> list[int]:
+        return [t.id for t in merge(word.translate(SPELLED))]
+
+    sign = lru_cache(maxsize=REMEMBERED_SIGNS)(ids)
+
+    def pack(pieces: list[str]) -> list[bytes]:
+        """Plain pieces go word by word to the library's model, all others through its whole chain."""
+        cuts = [plain_words(p) if plain else None for p in pieces]
+        others = iter(tok.encode_batch_fast([p for p, c in zip(pieces, cuts) if c is None], add_special_tokens=False))
+        out = []
+        for words in cuts:
+            if words is None:
+                found = next(others).ids
+            else:
+                found = []
+                for w in words:
+                    found += sign(w) if len(w) < 3 else ids(w)
+            out.append(array("I", found).tobytes())
+        return out
+
     return PieceCache(pack), tok.get_vocab_size(with_added_tokens=True)
 
 

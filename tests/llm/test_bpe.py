@@ -122,3 +122,33 @@ def test_work_per_word_is_small(monkeypatch):
     monkeypatch.setattr(bpe, "merge", Counted(bpe.merge))
     bpe.merged(word)
     assert len(looked) <= 3 * len(word)
+
+
+def test_shards_send_plain_words_straight_to_the_model_and_nothing_else():
+    import random
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    from oddsmill.llm import token_shards
+
+    path = token_shards.default_path()
+    tok = Tokenizer.from_file(path)
+    assert token_shards.takes_plain_words(tok)
+    assert token_shards.plain_words(" sé.\nAnd") == [" sé", ".", "\n", "And"] and token_shards.plain_words(" $$a") == [" $$", "a"]
+    assert [p for p in ("", " ", "a\n", " a\n\nb", "a b", "it's", "a1", "<|endoftext|>", "中", "a\tb", "é") if token_shards.plain_words(p) is not None] == []
+    rng = random.Random(3)
+    signs = [*"abcXYZéßªµǅʰɏɐ'.,!?$%&_<|>/\\^`~", " ", " ", " ", "\n", "\t", " ", "1", "²", "中", "é", "<|endoftext|>", "'s", "\x85"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(5_000)]
+    want = [array("I", e.ids).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert token_shards._encoder(path)[0].texts(texts) == want
+
+
+def test_a_tokenizer_with_added_letters_has_no_plain_words():
+    from tokenizers import AddedToken, Tokenizer
+
+    from oddsmill.llm import token_shards
+
+    tok = Tokenizer.from_file(token_shards.default_path())
+    tok.add_tokens([AddedToken("word", normalized=False)])
+    assert not token_shards.takes_plain_words(tok)
