@@ -42,7 +42,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    out = trie_bpe.encode_documents(keyed_text(docs), decoded=True)
+    out = trie_bpe.encode_documents(keyed_text(docs), decoded=True, remember=False)
     return out.select(F.col("key").alias("doc_id"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

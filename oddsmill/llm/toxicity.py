@@ -24,7 +24,7 @@ FEATURES, LEAST_Z = 4_096, 4.0
 #: Added to each count in the ratios.
 SMOOTHING = 1.0
 RIDGE, STEPS, RATE = 1e-4, 300, 0.05
-#: Bytes of text that are scored at a time; arrays of n-grams are some dozens of times as large.
+#: Bytes of text that are counted or scored at a time; arrays of n-grams are some dozens of times as large.
 SCORED_BYTES = 500_000
 #: Documents with at least this score are predicted toxic.
 THRESHOLD = 0.3
@@ -78,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that hold a bucket, added up over the task; class totals under bucket -1."""
     seen, total = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        for b in slices(batch, 0):
+        for b in slices(batch, 0, SCORED_BYTES):
             y = np.array(b.column(1).to_pylist())
             bucket, row = buckets_of([t or "" for t in b.column(0).to_pylist()])
             bucket, row = bucket.reshape(len(SIZES), -1), row[: len(row) // len(SIZES)]
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 0):
+            for b in slices(batch, 0, SCORED_BYTES):
                 row, found = present([t or "" for t in b.column(0).to_pylist()], slot)
                 parts = np.split(found, np.searchsorted(row, np.arange(1, b.num_rows)))
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary())], ["y", "features"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import PieceCache, slices
-from .workers import keeps
+from .workers import emptied, keeps
 
 #: Longer words stay outside the trie, which would get a node per letter; each walks its own path.
 TRIE_LETTERS = 1_000
@@ -227,12 +227,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", path: str | None = None, decoded: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, key: str = "doc_id", path: str | None = None, decoded: bool = False, remember: bool = True) -> DataFrame:
     """``key, ids`` (little-endian unsigned 32-bit, packed) of each row of ``docs(key, text)``, in one pass without a
     shuffle; with ``decoded`` also the text that the ids decode to.
 
     Null texts count as empty and have no ids. Special strings inside a text are taken as their special token, as the
-    tokenizer file says. Repeated rows are returned as often as they occur."""
+    tokenizer file says. Repeated rows are returned as often as they occur. Without ``remember`` a worker keeps no pieces
+    from task to task: more time, the same rows, and memory for what else the executor does."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", path: str | None = No
                 yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"key {kind}, ids binary" + ", decoded string" * decoded)
+    return docs.select(key, "text").mapInArrow(run if remember else emptied(run), f"key {kind}, ids binary" + ", decoded string" * decoded)
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -27,6 +27,18 @@ def give_back() -> None:
         pass  # another libc: it keeps what it has
 
 
+def emptied(run: Run) -> Run:
+    """``run`` in a worker that empties its caches once a task is through, so that it idles without them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for forget in _forget:
+            forget()
+        give_back()
+
+    return task
+
+
 def frugal(run: Run) -> Run:
     """``run`` in a worker without the caches of other operators; once a task is through, what it freed is handed back."""
 

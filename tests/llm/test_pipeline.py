@@ -72,3 +72,20 @@ def test_near_copies_are_found_by_simhash_and_by_similarity_and_both_connect(spa
     assert share(sets[1], sets[2]) < 0.8 <= share(sets[2], sets[3]) and share(sets[1], sets[3]) < 0.8
     kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == [1, 5, 6]
+
+
+def test_workers_of_the_last_stage_idle_with_empty_caches(spark):
+    from oddsmill.llm import workers
+
+    bpe, cache = trie_bpe._worker(trie_bpe.default_path())
+
+    def run(batches):
+        cache.texts(["some words to be remembered"])
+        assert cache.known and bpe.pairs
+        yield from batches
+
+    list(workers.emptied(run)(iter([])))
+    assert not (cache.known or cache.older or bpe.words or bpe.pairs)
+    docs = keyed_text(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    rows = [sorted((r.key, bytes(r.ids)) for r in trie_bpe.encode_documents(docs, remember=keep).collect()) for keep in (True, False)]
+    assert rows[0] == rows[1] and rows[0]
